@@ -14,22 +14,30 @@ labelled row at all, every text is `und`. Extra columns of the input are ignored
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import words
+
 UND = "und"
 ORDER = 5
 #: Labelled documents of each language that a model is fitted on (expected number, drawn by hash).
-SAMPLE = 2500
+SAMPLE = 1000
 #: Of those, one in so many only calibrates the rejection limit.
 CALIBRATION = 5
-#: The limit is the largest deviation among calibration texts times this.
-SLACK = 1.5
+#: The limit above the mean is the largest deviation among calibration texts times SLACK, or the way to
+#: the cross-entropy of letters drawn at random times FAR, whichever is more; short texts get SHORT / sqrt(n) besides.
+SLACK = 1.2
+FAR = 0.75
+SHORT = 4.0
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _SCHEMA = "doc_id long, lang_pred string, score double, cross_entropy double, n_letters long, rejected boolean"
 
@@ -112,24 +120,20 @@ class Model:
         n_sym = np.bincount(token, minlength=len(tokens)).astype(np.int64)
         return np.stack([np.bincount(token, weights=out[:, j], minlength=len(tokens)) for j in range(len(self.langs))], 1), n_sym
 
-    def texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def texts(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy of each text by language (nats per symbol) and its number of symbols."""
-        ids: dict[str, int] = {}
-        flat, lens = [], np.zeros(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            words = t.lower().split() if t else ()
-            lens[i] = len(words)
-            flat += [ids.setdefault(w, len(ids)) for w in words]
+        arr = pc.utf8_lower(words.as_arrow(texts))
+        distinct, at, lens = words.split(arr)
         total, n = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64)
-        if flat:
-            score, n_sym = self.token_scores(list(ids))
-            at, doc = np.array(flat), np.repeat(np.arange(len(texts)), lens)
+        if len(at):
+            score, n_sym = self.token_scores(distinct.to_pylist())
+            doc = np.repeat(np.arange(len(texts)), lens)
             n = np.bincount(doc, weights=n_sym[at], minlength=len(texts)).astype(np.int64)
             for j in range(len(self.langs)):
                 total[:, j] = np.bincount(doc, weights=score[at, j], minlength=len(texts))
         return -total / np.maximum(n, 1)[:, None], n
 
-    def decide(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def decide(self, texts) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         if not self.langs:
             z = np.zeros(len(texts))
             return [UND] * len(texts), z, z, z.astype(np.int64), z == 0
@@ -138,7 +142,7 @@ class Model:
         sharp = np.exp(-(h - h.min(1, keepdims=True)) * np.minimum(n, 60)[:, None])
         score = np.where(real, 1 / sharp.sum(1), 0.0)
         own = h[np.arange(len(h)), best]
-        far = (own - self.mean[best]) * np.sqrt(np.maximum(n, 1)) > self.limit[best]
+        far = own - self.mean[best] > self.limit[best] + SHORT / np.sqrt(np.maximum(n, 1))
         return [self.langs[b] if r else UND for b, r in zip(best, real)], score, np.where(real, own, 0.0), n, far | ~real
 
 
@@ -165,7 +169,6 @@ def train(counts: pd.DataFrame, calibration: pd.DataFrame) -> Model:
     vocab = max(2, len(np.unique(np.concatenate([p[0][0] for p in per]))))
     uniform = np.log(0.5 / vocab / 50)
     model.floor = float(uniform)
-    lower: list[dict] = []
     for n in range(1, ORDER + 1):
         union = np.unique(np.concatenate([p[n - 1][0] for p in per]))
         contexts = np.unique(np.concatenate([p[n - 1][2] for p in per]))
@@ -194,32 +197,32 @@ def train(counts: pd.DataFrame, calibration: pd.DataFrame) -> Model:
         model.logp.append(logp)
         model.contexts.append(contexts)
         model.backoff.append(back)
-        lower.append({})
     model.mean, model.limit = np.zeros(len(langs)), np.full(len(langs), np.inf)
     for j, lang in enumerate(langs):
         own = calibration.loc[calibration["lang"] == lang, "text"].tolist()
-        if own:
+        alphabet = [c for c in dict.fromkeys("".join(counts.loc[counts["lang"] == lang, "word"].head(5000))) if c.isalpha()]
+        if own and alphabet:
             h, n = model.texts(own)
-            h, n = h[n > 0, j], n[n > 0]
-            if len(h) >= 5:
-                model.mean[j] = np.average(h, weights=np.sqrt(n))
-                model.limit[j] = max(1.0, SLACK * float(np.max((h - model.mean[j]) * np.sqrt(n))))
+            if (n > 0).sum() >= 5:
+                model.mean[j] = np.average(h[n > 0, j], weights=np.sqrt(n[n > 0]))
+                noise, _ = model.texts([" ".join("".join(w) for w in np.random.default_rng(j).choice(alphabet, (2000, 7)))])
+                model.limit[j] = max(SLACK * float(np.max(h[n > 0, j] - model.mean[j])), FAR * float(noise[0, j] - model.mean[j]))
     return model
 
 
-def _count_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        counts: dict[tuple[str, str], int] = {}
-        for lang, text in zip(frame["lang"], frame["text"]):
-            for w in text.lower().split():
-                counts[lang, w] = counts.get((lang, w), 0) + 1
-        yield pd.DataFrame({"lang": [k[0] for k in counts], "word": [k[1] for k in counts], "n": list(counts.values())})
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lang = np.array(batch.column("lang").to_pylist(), dtype=object)
+        for one in dict.fromkeys(lang):
+            distinct, at, _ = words.split(pc.utf8_lower(words.as_arrow(batch.column("text").filter(pa.array(lang == one)))))
+            n = np.bincount(at, minlength=len(distinct))
+            yield pa.RecordBatch.from_arrays([pa.array([one] * len(distinct), pa.string()), distinct.cast(pa.string()), pa.array(n, pa.int64())], ["lang", "word", "n"])
 
 
 def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> Model:
     """Fits on an expected number of `sample` documents of each language among the rows where `learn`
-    holds, drawn by a hash of text, so that neither order nor partitioning matters. What reaches the
-    driver is bounded by `sample` texts of each language."""
+    holds, drawn by a hash of text, so that neither order nor partitioning matters. The model
+    is built in one task whose input `sample` bounds, and the driver gets the model alone."""
     rows = docs.where(learn & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", "text")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
@@ -228,25 +231,27 @@ def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> Model:
     chance = F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(min(1.0, sample / v)))])
     drawn = rows.withColumn("draw", draw / chance[F.col("lang")]).where("draw < 1")
     part = F.floor(F.col("draw") * 1000 * CALIBRATION) % CALIBRATION
-    counts = drawn.where(part != 0).select("lang", "text").mapInPandas(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
-    if not len(counts):
-        counts = drawn.select("lang", "text").mapInPandas(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
-    if not len(counts):
-        return Model([])
-    return train(counts, drawn.where(part == 0).select("lang", "text").limit(sample * len(sizes)).toPandas())
+    counted = drawn.where(part != 0).select("lang", "text").mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    rows = counted.select("lang", "word", "n").unionByName(drawn.where(part == 0).select("lang", F.col("text").alias("word"), F.lit(0).cast("long").alias("n")))
+
+    def build(frame: pd.DataFrame) -> pd.DataFrame:
+        held = frame["n"] == 0
+        counts = frame[~held] if (~held).any() else pd.DataFrame({"lang": frame["lang"], "word": frame["word"], "n": 1})
+        return pd.DataFrame({"model": [pickle.dumps(train(counts, frame[held].rename(columns={"word": "text"})))]})
+
+    # one task, of bounded input: the sample's distinct words and its calibration texts
+    return pickle.loads(rows.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(build, "model binary").first()["model"])
 
 
-def predict(docs: DataFrame, model: Model, block_chars: int = 8_000_000) -> DataFrame:
+def predict(docs: DataFrame, model: Model, block_bytes: int = 8_000_000) -> DataFrame:
     """doc_id, lang_pred, score, cross_entropy, n_letters, rejected; one row for each input row."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts = [t if isinstance(t, str) else None for t in frame["text"]]
-            ends = np.cumsum([len(t or "") for t in texts]) // block_chars
-            for b in np.unique(ends):
-                at = np.flatnonzero(ends == b)
-                lang, score, entropy, n, rejected = sent.value.decide([texts[i] for i in at])
-                yield pd.DataFrame({"doc_id": frame["doc_id"].iloc[at].to_numpy(), "lang_pred": lang, "score": score, "cross_entropy": entropy, "n_letters": n, "rejected": rejected})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = words.as_arrow(batch.column("text"))
+            for a, b in words.blocks(texts, block_bytes):
+                lang, score, entropy, n, rejected = sent.value.decide(texts.slice(a, b - a))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a).cast(pa.int64()), pa.array(lang, pa.string()), pa.array(score), pa.array(entropy), pa.array(n), pa.array(rejected)], ["doc_id", "lang_pred", "score", "cross_entropy", "n_letters", "rejected"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, _SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(run, _SCHEMA)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, secrets
+from . import langid, mixing, packing, secrets
 from .common import crc_mod, table
 
 
@@ -26,10 +26,14 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_secret_scan": op3_secret_scan,
     "op5_mixing": op5_mixing,
+    "op6_packing": op6_packing,
 }
 ORACLES = {"op3_secret_scan": secrets.oracle()}
-__all__ = ["ORACLES", "QUERIES", "F"]
