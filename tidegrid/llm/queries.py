@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, mixing, packing, secrets
+from . import jaccard, langid, mixing, neardup, packing, secrets
 from .common import crc_mod, table
 
 
@@ -34,11 +34,16 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_vector_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.link(table(spark, sf_dir, "embeddings"), limit=0.98)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_secret_scan": op3_secret_scan,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_mixing": op5_mixing,
     "op6_packing": op6_packing,
+    "op10_vector_neardup": op10_vector_neardup,
 }
 ORACLES = {"op3_secret_scan": secrets.oracle()}
