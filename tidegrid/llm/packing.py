@@ -7,8 +7,9 @@ penalties: f(e) = penalty(e) + size - p(e) + min(f(s) + p(s)) over cuts s at mos
 the minimum held in a monotone queue, so each cut is looked at once. A window left open at the end of
 a block of the stream goes into the next block; a partition leaves at most one short window.
 
-White space always separates this vocabulary's pre-tokens, so each distinct blank-separated string is
-encoded once and reused; ids equal those of encoding the whole text.
+White space always separates this vocabulary's pre-tokens, and marks end a run of letters, so each distinct
+blank-separated string, without the marks behind it, is encoded once and reused; ids equal those of encoding
+the whole text.
 
 Defined results: null and empty texts are the END id alone; repeated rows are documents of their own;
 an empty table gives no piece. Extra columns are ignored. A partition's windows depend on its rows and
@@ -21,6 +22,7 @@ import os
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,8 @@ GRID = 32
 BLOCK = 1_000_000
 #: Distinct strings whose ids a worker keeps.
 CACHE = 1_000_000
+#: Words of ASCII letters with such marks behind them: the vocabulary's pre-tokeniser cuts between the two.
+TAILED, MARKS, LETTERS = r"^[a-z]+[.,!?;:]+$", ".,!?;:", "abcdefghijklmnopqrstuvwxyz"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -69,34 +73,43 @@ class Coder:
         self.flat = [np.zeros(0, np.uint32)]
         self.sizes = [np.zeros(0, np.int64)]
 
+    def _units(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Each unit's place among the batch's distinct ones, and theirs in the cache; new ones are encoded."""
+        index, known, coded = self.index, len(self.index), units.dictionary_encode()
+        spoken = coded.dictionary.to_pylist()
+        local = np.array([index.setdefault(u, len(index)) for u in spoken], np.int64)
+        if len(index) > known:
+            fresh = np.flatnonzero(local >= known)
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([spoken[i] for i in fresh.tolist()], add_special_tokens=False)]
+            self.sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            self.flat.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(self.sizes[-1].sum())))
+            self.flat, self.sizes = [np.concatenate(self.flat)], [np.concatenate(self.sizes)]
+        return coded.indices.to_numpy().astype(np.int64), local
+
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, each text ended by END, and the number of each text."""
         if len(self.index) > CACHE:
             self.clear()
-        index, known = self.index, len(self.index)
         distinct, code, words_in = words.split(words.as_arrow(texts))
-        spoken = distinct.to_pylist()
-        local = np.array([index.setdefault(w, len(index)) for w in spoken], np.int64)
-        if len(index) > known:
-            fresh = np.flatnonzero(local >= known)
-            new = [""] * len(fresh)
-            for at in fresh.tolist():
-                new[local[at] - known] = spoken[at]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            self.sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
-            self.flat.append(np.fromiter((x for e in ids for x in e), np.uint32, int(self.sizes[-1].sum())))
-            self.flat, self.sizes = [np.concatenate(self.flat)], [np.concatenate(self.sizes)]
-        size, ids = self.sizes[0], self.flat[0]
+        low = pc.if_else(pc.string_is_ascii(distinct), pc.ascii_lower(distinct), distinct)
+        plain = pc.match_substring_regex(low, TAILED)
+        stem, stems = self._units(pc.if_else(plain, pc.utf8_rtrim(low, MARKS), low))
+        tail, tails = self._units(pc.if_else(plain, pc.utf8_ltrim(low, LETTERS), pa.scalar("", pa.large_string())))
+        both = np.stack([stems[stem], tails[tail]], 1).ravel() if len(distinct) else np.zeros(0, np.int64)
+        all_size, all_ids = self.sizes[0], self.flat[0]
+        all_first = np.cumsum(all_size) - all_size
+        n = all_size[both]
+        ids = all_ids[np.repeat(all_first[both] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        size = n.reshape(-1, 2).sum(1)
         first = np.cumsum(size) - size
-        word = local[code] if len(code) else code
-        n = size[word]
+        n = size[code]
         doc = np.repeat(np.arange(len(texts)), words_in)
         per = np.bincount(doc, weights=n, minlength=len(texts)).astype(np.int64) + 1
         out = np.full(int(per.sum()), END, np.uint32)
         ends = np.cumsum(per) - 1
         fill = np.ones(len(out), bool)
         fill[ends] = False
-        out[fill] = ids[np.repeat(first[word] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        out[fill] = ids[np.repeat(first[code] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
         return out, per
 
 
