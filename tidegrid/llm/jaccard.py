@@ -9,9 +9,11 @@ estimated cost of its lists and candidates falls. A pair is a candidate when it
 
 Only components are wanted, so candidates are looked at in two passes. First every document is held
 against the hubs of its prefix's lists (one for each shingle and size class), and links verified there are
-united. Then all candidates that still lie in different components are verified, so no link between
-components is lost, while the pairs inside a group of copies are never spelled out. Verification compares
-whole sets: 100 * intersection >= percent * union.
+united. Then all candidates that still lie in different components are looked at, so no link between
+components is lost: pairs of short lists one by one; documents that long lists tie together as a cluster, in
+pairs of blocks, where sketches rule out most pairs, and only a spanning forest of the verified links goes on.
+So the pairs inside a group of copies are never spelled out. Verification compares whole sets:
+100 * intersection >= percent * union.
 
 Defined results: null texts, empty texts and texts without words have no shingle and link with nothing;
 fewer words than the shingle length make one shingle of the whole sequence; a doc_id that occurs in several
@@ -36,6 +38,14 @@ from .components import components
 #: Of 256 parts of the hash space, those whose shingles are ordered by document frequency.
 RANKED = 52
 MOST_MATCHES = 4
+#: Lists up to this length have their pairs spelled out.
+SHORT = 16
+#: Members of a cluster's block, expected; two blocks meet in a task.
+CLUSTER_BLOCK = 1000
+#: Bits of the parity sketch that rules out pairs within a cluster.
+SKETCH = 1024
+#: Ids (with a 32-letter signature each, some 30 MB in all) that are broadcast at most.
+SENT = 200_000
 BLOCK_BYTES = 6_000_000
 _M = np.uint64(0xD6E8FEB86659FD93)
 
@@ -176,9 +186,12 @@ def _near_size(a: str, b: str, percent: int):
     return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of class representatives that link."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(classes.select("doc_id", "sig"), "doc_id")
+def held_sets(wanted: DataFrame, docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """doc_id, shingles (packed, sorted) of the wanted class representatives. Their ids are broadcast while
+    there are at most SENT of them, so that texts stay where they are; more are joined by shuffling."""
+    wanted = cut(wanted.distinct().join(classes.select("doc_id", "sig"), "doc_id"))
+    if wanted.count() <= SENT:
+        wanted = F.broadcast(wanted)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,22 +203,67 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, perc
                 raw = [s[e - c : e].tobytes() for e, c in zip(ends.tolist(), n.tolist())]
                 yield pa.RecordBatch.from_arrays([ids.slice(int(rows[0]), len(rows)), pa.array(raw, pa.binary())], ["doc_id", "shingles"]).filter(pa.array(own))
 
-    held = docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "text", "sig").mapInArrow(sets, "doc_id long, shingles binary")
-    held = cut(held)
+    return docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "text", "sig").mapInArrow(sets, "doc_id long, shingles binary")
+
+
+def verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of held sets that link."""
     both = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(held.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                same = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                good.append(100 * same >= percent * (len(x) + len(y) - same))
+            good = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return both.select("a", "b", "x", "y").mapInArrow(test, "a long, b long").distinct()
 
 
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    same = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
+    return 100 * same >= percent * (len(x) + len(y) - same)
+
+
+def spanning(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """A forest of verified links between the components of two blocks (or within one): doc_id, component,
+    block, shingles. Sets whose parity sketches differ in more bits than linked sets may differ in
+    shingles cannot link; the rest is compared whole unless its ends are joined already."""
+    frame = frame.drop_duplicates(["doc_id", "block"]).sort_values(["block", "doc_id"], ignore_index=True)
+    sets = [np.frombuffer(x, np.uint64) for x in frame["shingles"]]
+    n = np.array([len(x) for x in sets], np.float32)
+    bits = np.zeros((len(sets), SKETCH), np.float32)
+    for i, x in enumerate(sets):
+        bits[i] = np.bincount((x >> np.uint64(20)).astype(np.int64) & (SKETCH - 1), minlength=SKETCH) & 1
+    block = frame["block"].to_numpy()
+    left = np.flatnonzero(block == block[0])
+    right = np.flatnonzero(block != block[0]) if block[-1] != block[0] else left
+    weight = bits.sum(1)
+    apart = weight[left][:, None] + weight[right][None] - 2 * bits[left] @ bits[right].T
+    names, root = np.unique(frame["component"].to_numpy(), return_inverse=True)
+    may = (apart <= (n[left][:, None] + n[right][None]) * ((100 - percent) / (100 + percent)) + 1e-3) & (root[left][:, None] != root[right][None])
+    i, j = np.nonzero(may)
+    order = np.argsort(apart[i, j], kind="stable")
+    i, j = left[i[order]], right[j[order]]
+    lead = np.arange(len(names))
+
+    def find(x: int) -> int:
+        while lead[x] != x:
+            lead[x] = lead[lead[x]]
+            x = lead[x]
+        return x
+
+    ids, out = frame["doc_id"].to_numpy(), []
+    for a in range(0, len(i), 4096):
+        tops = np.array([find(x) for x in range(len(names))])
+        x, y = i[a : a + 4096], j[a : a + 4096]
+        open_ = tops[root[x]] != tops[root[y]]
+        for u, v in zip(x[open_].tolist(), y[open_].tolist()):
+            p, q = find(root[u]), find(root[v])
+            if p != q and similar(sets[u], sets[v], percent):
+                lead[p] = q
+                out.append((ids[u], ids[v]))
+    return pd.DataFrame(out, columns=["a", "b"])
+
+
 def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id; one row for each input row."""
     sets = cut(sized(docs, k))
@@ -218,18 +276,33 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     votes = placed.join(hubs.select("token", "level", "hub"), ["token", "level"]).where("doc_id <> hub").groupBy("doc_id", "hub").agg(F.count("*").alias("votes"))
     top = votes.groupBy("doc_id").agg(F.max(F.struct("votes", -F.col("hub"))).alias("t"))
     tried = cut(top.select((-F.col("t.col2")).alias("a"), F.col("doc_id").alias("b")))
-    links = cut(verified(tried, docs, classes, k, percent))
+    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    links = cut(verified(tried, cut(held_sets(ends(tried), docs, classes, k)), percent))
     united = components(links)
     # pass 2: candidates whose ends still lie apart
     apart = listed.join(united.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed_lists = apart.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    apart = cut(apart.join(mixed_lists, "token", "left_semi"))
-    left = apart.select("token", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("component").alias("ca"))
-    right = apart.select("token", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("m").alias("mb"), F.col("component").alias("cb"))
+    mixed_lists = apart.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.min("doc_id").alias("hub")).where("lo < hi")
+    apart = cut(apart.join(mixed_lists.select("token", "size", "hub"), "token"))
+    # short lists: their pairs are spelled out, and must share as many shingles as both prefixes ask
+    short = apart.where(F.col("size") <= SHORT)
+    left = short.select("token", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("component").alias("ca"))
+    right = short.select("token", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("m").alias("mb"), F.col("component").alias("cb"))
     rest = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _near_size("na", "nb", percent))
     rest = rest.groupBy("a", "b").agg(F.count("*").alias("shared"), F.least(F.first("ma"), F.first("mb")).alias("m")).where("shared >= m").select("a", "b")
     seen = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = verified(cut(rest.join(seen, ["a", "b"], "left_anti")), docs, classes, k, percent)
+    rest = cut(rest.join(seen, ["a", "b"], "left_anti"))
+    # long lists: documents that they tie together form a cluster, looked through in pairs of blocks
+    long = apart.where(F.col("size") > SHORT)
+    tied = components(long.where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct())
+    count = tied.groupBy("component").agg(F.ceil(F.count("*") / CLUSTER_BLOCK).alias("blocks"))
+    members = tied.join(count, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("block"))
+    members = cut(members.join(united.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
+    held = cut(held_sets(ends(rest).unionByName(members.select("doc_id")), docs, classes, k))
+    more = verified(rest, held, percent)
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    dealt = members.join(held, "doc_id").withColumn("other", other).select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc_id", "component", "shingles")
+    forest = dealt.groupBy("cluster", "lo", "hi").applyInPandas(lambda frame: spanning(frame, percent), "a long, b long")
+    more = cut(more.unionByName(forest))
     final = components(links.unionByName(more))
     reached = classes.select("sig", "n", F.col("doc_id").alias("node")).join(final, "node", "left").select("sig", "n", F.coalesce("component", "node").alias("component_id"))
     return sets.join(reached, ["sig", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
