@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, mixing, neardup, packing, secrets
+from . import jaccard, langid, mixing, neardup, packing, secrets, suffix_array, suffix_tree
 from .common import crc_mod, table
 
 
@@ -38,12 +38,22 @@ def op10_vector_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.link(table(spark, sf_dir, "embeddings"), limit=0.98)
 
 
+def op2_substring_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.dedup(table(spark, sf_dir, "documents"))
+
+
+def op9_substring_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_substring_words": op2_substring_words,
     "op3_secret_scan": op3_secret_scan,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_mixing": op5_mixing,
     "op6_packing": op6_packing,
+    "op9_substring_bytes": op9_substring_bytes,
     "op10_vector_neardup": op10_vector_neardup,
 }
 ORACLES = {"op3_secret_scan": secrets.oracle()}
