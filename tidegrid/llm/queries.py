@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, mixing, neardup, packing, secrets, suffix_array, suffix_tree
+from . import jaccard, langid, mixing, neardup, packing, secrets, suffix_array, suffix_tree, winnow
 from .common import crc_mod, table
 
 
@@ -46,6 +46,10 @@ def op9_substring_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.compare(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_substring_words": op2_substring_words,
@@ -53,6 +57,7 @@ QUERIES = {
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_mixing": op5_mixing,
     "op6_packing": op6_packing,
+    "op8_winnowing": op8_winnowing,
     "op9_substring_bytes": op9_substring_bytes,
     "op10_vector_neardup": op10_vector_neardup,
 }
