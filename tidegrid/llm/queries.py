@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, mixing, neardup, packing, secrets, suffix_array, suffix_tree, winnow
+from . import jaccard, langid, lmscore, mixing, neardup, packing, secrets, suffix_array, suffix_tree, winnow
 from .common import crc_mod, table
 
 
@@ -50,6 +50,10 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.compare(table(spark, sf_dir, "documents"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score(table(spark, sf_dir, "documents"), crc_mod("doc_id", 10) == 0)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_substring_words": op2_substring_words,
@@ -57,6 +61,7 @@ QUERIES = {
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_mixing": op5_mixing,
     "op6_packing": op6_packing,
+    "op7_lm_score": op7_lm_score,
     "op8_winnowing": op8_winnowing,
     "op9_substring_bytes": op9_substring_bytes,
     "op10_vector_neardup": op10_vector_neardup,

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import census
+from .words import release
 
 SPAN = 50
 GRAM = 24
@@ -166,16 +167,18 @@ def _settle(rows: np.ndarray, doc: np.ndarray, equal: Callable[[np.ndarray], np.
     answer = {}
     if len(many):
         off, n = kinds[many, -2].astype(np.int64), kinds[many, -1].astype(np.int64)
-        own = np.repeat(np.arange(len(many)), n)
-        step = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
         line = np.concatenate([kinds[many][:, SPAN:-2], kinds[many][:, :SPAN]], 1)
-        start = PLACES - 1 - off[own] + step
-        view = np.lib.stride_tricks.sliding_window_view(line, SPAN, axis=1)
-        w_cls = equal(view[own, start])
-        w_least = np.full(int(w_cls.max()) + 1, _LAST)
-        np.minimum.at(w_least, w_cls, least[many][own])
-        got = w_least[w_cls]
         begin = np.cumsum(n) - n
+        got = np.empty(int(n.sum()), np.int64)
+        # equal windows lie equally far before their anchors, so each distance is a question of its own
+        for far in range(PLACES):
+            own = np.flatnonzero((far <= off) & (far > off - n))
+            if not len(own):
+                continue
+            w_cls = equal(np.ascontiguousarray(line[own, PLACES - 1 - far : PLACES - 1 - far + SPAN]))
+            w_least = np.full(int(w_cls.max()) + 1, _LAST)
+            np.minimum.at(w_least, w_cls, least[many][own])
+            got[begin[own] + off[own] - far] = w_least[w_cls]
         flat = np.minimum.reduceat(got, begin) == np.maximum.reduceat(got, begin)
         size[many] = np.where(flat, 1, n)
         answer = {int(m): got[b : b + (1 if f else k)] for m, b, k, f in zip(many, begin, n, flat)}
@@ -217,6 +220,7 @@ def remove(docs: DataFrame, read: Callable[[pd.Series], Tokens], partition: Call
             return pd.DataFrame({"chunk": [], "bucket": [], "keys": [], "extra": []})
         _, _, ids, _, _, _, _, hashes, doc = begin(frame, told)
         keys, several, _ = _census(ids, doc, hashes)
+        release()
         return census.deal(int(frame["chunk"].iloc[0]), keys, buckets, several.astype(np.uint8))
 
     def reply(unique: np.ndarray, place: np.ndarray, extras: list[bytes], _: np.ndarray) -> np.ndarray:
@@ -244,6 +248,7 @@ def remove(docs: DataFrame, read: Callable[[pd.Series], Tokens], partition: Call
         use, kinds, to, rank = pick(told, ids, t, lo, hi, a, hashes, doc)
         least = np.full(len(kinds), _LAST)
         np.minimum.at(least, rank, ids[doc[use]])
+        release()
         heads = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else np.zeros(0, int)
         ends = np.r_[heads[1:], len(to)] if len(to) else heads
         return pd.DataFrame({"chunk": int(frame["chunk"].iloc[0]), "bucket": to[heads], "keys": [kinds[x:y].tobytes() for x, y in zip(heads, ends)], "extra": [least[x:y].tobytes() for x, y in zip(heads, ends)]})
@@ -296,6 +301,7 @@ def remove(docs: DataFrame, read: Callable[[pd.Series], Tokens], partition: Call
             else:
                 out.append(finish(t, k, gone[t.offsets[k] : t.offsets[k + 1]]))
                 k += 1
+        release()
         made = pd.DataFrame(out, columns=names)
         made.insert(0, "doc_id", frame["doc_id"].astype("Int64"))
         return made

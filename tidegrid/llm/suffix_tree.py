@@ -104,7 +104,7 @@ def finish(t: Tokens, k: int, gone: np.ndarray) -> tuple:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256; one row for each input row."""
-    return remove(docs, read, partition, "n_words long, n_removed long, kept_sha256 string", finish)
+    return remove(docs, read, partition, "n_words long, n_removed long, kept_sha256 string", finish, mb=1.0)
 
 
 def cleaned(docs: DataFrame) -> DataFrame:

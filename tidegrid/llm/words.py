@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -32,3 +35,10 @@ def blocks(texts: pa.Array, most_bytes: int) -> list[tuple[int, int]]:
     group = (np.cumsum(sizes) - sizes) // most_bytes
     edges = np.r_[np.flatnonzero(np.r_[True, np.diff(group) > 0]), len(sizes)] if len(sizes) else np.zeros(1, int)
     return list(zip(edges[:-1].tolist(), edges[1:].tolist()))
+
+
+def release() -> None:
+    """Gives a worker's freed memory back to the machine, which its next group may not need."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
