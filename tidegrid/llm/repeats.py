@@ -33,7 +33,7 @@ GRAM = 24
 #: Places of GRAM in SPAN.
 PLACES = SPAN - GRAM + 1
 #: Tokens hashed at a time; positions must fit into the low bits of a hash.
-BLOCK_BITS = 20
+BLOCK_BITS = 18
 _LAST = np.iinfo(np.int64).max
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
 

@@ -106,7 +106,7 @@ def finish(t: Tokens, k: int, gone: np.ndarray) -> tuple:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; one row for each input row."""
-    return remove(docs, read, partition, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", finish)
+    return remove(docs, read, partition, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", finish, mb=1.0)
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
