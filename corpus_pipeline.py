@@ -1,12 +1,64 @@
-"""From raw documents to packed sequences: language filter, near-duplicate removal, secret redaction, mixing, packing."""
+"""From raw documents to packed sequences.
+
+Language filter, near-duplicate removal, secret redaction, mixing and packing, each by one operator of
+tidegrid.llm over everything that the stage before it kept. All stages but the last return the columns of
+documents. Nulls, empty and long texts, repeated rows, empty tables and extra columns are handled as the
+operators' docstrings say; a repeated doc_id counts as one document where one of a group stays.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidegrid.llm import jaccard, langid, mixing, packing, secrets
+from tidegrid.llm.common import shared_folder, table
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the models recognise; those without letters or far from every language go."""
+    return langid.keep(docs, langid.fit(docs, F.lit(True)))
+
+
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the smallest doc_id, of each group linked by five-word shingles at 0.8 or more."""
+    gone = jaccard.link(docs, k=5, percent=80).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every secret's characters replaced by a mark."""
+    findings, _ = secrets.scan(docs)
+    clean = secrets.redact(docs, findings)
+    return clean.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else clean
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them (0 to 3 times)."""
+    taken = mixing.mix(docs).where("taken > 0").groupBy("doc_id").agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("_times"))
+    out = docs.join(taken, "doc_id").withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return out.select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the mixed documents in sequences of at most 4096 ids."""
+    return packing.pack(docs)
+
 
-STAGES: list = []
+STAGES = [("language_id", language_id), ("ngram_jaccard", ngram_jaccard), ("secret_scan", secret_scan), ("mixing", mix_sources), ("packing", pack)]
+#: Packing and mixing choose among equally good answers, and models are learnt: SQL cannot state the rows.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """STAGES over documents, each stage's rows written to the shared folder and read again."""
+    folder, docs = f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}", table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if k == len(STAGES) - 1:
+            return out
+        out.write.parquet(path := f"{folder}/{k}-{name}")
+        docs = spark.read.parquet(path)
+    return docs

@@ -17,7 +17,8 @@ So the pairs inside a group of copies are never spelled out. Verification compar
 
 Defined results: null texts, empty texts and texts without words have no shingle and link with nothing;
 fewer words than the shingle length make one shingle of the whole sequence; a doc_id that occurs in several
-rows gets a row each, judged by the row's own text. Extra columns are ignored.
+rows gets a row each, judged by the row's own text; a row without doc_id gets the component of an equal set, or
+null. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -267,7 +268,8 @@ def spanning(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
 def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id; one row for each input row."""
     sets = cut(sized(docs, k))
-    classes = sets.where("sig IS NOT NULL").groupBy("sig", "n").agg(F.min("doc_id").alias("doc_id"))
+    docs = docs.where("doc_id IS NOT NULL")
+    classes = sets.where("sig IS NOT NULL AND doc_id IS NOT NULL").groupBy("sig", "n").agg(F.min("doc_id").alias("doc_id"))
     listed = cut(postings(docs, classes, k, percent))
     # pass 1: each document against the hubs of its lists
     level = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).alias("level")

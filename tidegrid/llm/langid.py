@@ -255,3 +255,16 @@ def predict(docs: DataFrame, model: Model, block_bytes: int = 8_000_000) -> Data
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a).cast(pa.int64()), pa.array(lang, pa.string()), pa.array(score), pa.array(entropy), pa.array(n), pa.array(rejected)], ["doc_id", "lang_pred", "score", "cross_entropy", "n_letters", "rejected"])
 
     return docs.select("doc_id", "text").mapInArrow(run, _SCHEMA)
+
+
+def keep(docs: DataFrame, model: Model, block_bytes: int = 8_000_000) -> DataFrame:
+    """The rows of docs, all columns, whose text is not rejected."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = words.as_arrow(batch.column("text"))
+            for a, b in words.blocks(texts, block_bytes):
+                yield batch.slice(a, b - a).filter(pa.array(~sent.value.decide(texts.slice(a, b - a))[4]))
+
+    return docs.mapInArrow(run, docs.schema)
