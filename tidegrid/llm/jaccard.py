@@ -1,8 +1,9 @@
 """N-gram Jaccard self-join by adaptive multi-match prefixes, and the components of its links.
 
 A document's set holds the hashes of its distinct word shingles. Documents with equal sets form a class;
-the class's smallest doc_id stands for it. Shingles have one global order: those of a fifth of the hash
-space by ascending document frequency (exact, from a census over all documents), then the others by hash.
+the class's smallest doc_id stands for it. Shingles have one global order: those of a part of the hash space,
+twice as large as a prefix, by ascending document frequency (exact, from a census over all documents), then
+the others by hash.
 Two sets of similarity t or more share at least m of the first n - ceil(t n) + m shingles of each. m is
 each document's own choice: the prefix is lengthened, and more shared shingles are asked for, while the
 estimated cost of its lists and candidates falls. A pair is a candidate when it shares min(m, m').
@@ -36,8 +37,8 @@ from . import census, words
 from .common import cut
 from .components import components
 
-#: Of 256 parts of the hash space, those whose shingles are ordered by document frequency.
-RANKED = 52
+#: How many times the longest share of a set that a prefix for one match takes is ordered by document frequency.
+RANKED = 2.1
 MOST_MATCHES = 4
 #: Lists up to this length have their pairs spelled out.
 SHORT = 16
@@ -138,7 +139,8 @@ def postings(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataF
     without the shingles known to occur in one document only."""
     dealt, chunks = census.chunked(docs)
     buckets = max(8, chunks // 4)
-    ranked = lambda s: (s & np.uint64(255)) < RANKED
+    share = min(256, int(np.ceil(256 * RANKED * (100 - percent) / 100)))
+    ranked = lambda s: (s & np.uint64(255)) < share
 
     def ask(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         got = [np.unique(s[ranked(s)], return_counts=True) for _, _, s in _sets(frame, k)]
