@@ -1,7 +1,393 @@
-"""Registered queries and their DuckDB SQL."""
+"""Registered queries: the operators over the driver's tables. plans.oracle has the same rows in DuckDB SQL."""
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidegrid.functions import text as T
+from tidegrid.functions import vectors as V
+from tidegrid.operators import audit, features, grid, joins, lsa, report, ridge, segments, signal, stats
+from tidegrid.plans.oracle import ORACLES
+from tidegrid.sources import store
+
 FLAGSHIP = "grid_projection"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+HOUR = 3600.0
+EPOCH = 1704067200  # 2024-01-01T00:00:00Z, where the events begin
+KINDS = ("click", "error", "purchase", "signup", "view")
+N_TIME = 64
+
+
+def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _r(c, name: str, places: int = 6):
+    """Rounded, with -0.0 as 0.0, so that both engines print alike."""
+    return (F.round(c, places) + F.lit(0.0)).alias(name)
+
+
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    """doc, pos, token: blank-separated tokens in order."""
+    d = _t(spark, sf, "documents").where("text IS NOT NULL")
+    return d.select(F.col("doc_id").alias("doc"), "lang", "source", F.posexplode(F.split("text", r"[\x20\x09-\x0D]+")).alias("pos", "token")).where("token <> ''")
+
+
+def _intervals(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as intervals, in hours from EPOCH: from an event to the user's next, six hours at most."""
+    # by a difference of local times, so the session's time zone does not matter
+    past = "(cast(ts AS timestamp_ntz) - timestamp_ntz'2024-01-01 00:00:00')"
+    micros = f"(extract(DAY FROM {past}) * 86400000000L + extract(HOUR FROM {past}) * 3600000000L + extract(MINUTE FROM {past}) * 60000000L + cast(extract(SECOND FROM {past}) * 1000000 AS bigint))"
+    e = _t(spark, sf, "events").select("user_id", "event_id", "event_type", "value", (((F.expr(micros) + EPOCH * 1_000_000) / 1e6 - EPOCH) / HOUR).alias("t0"))
+    by = Window.partitionBy("user_id").orderBy("t0", "event_id")
+    nxt = F.lead("t0").over(by)
+    return e.select(F.col("user_id").alias("story"), F.row_number().over(by).cast("long").alias("ord"), "t0", F.least(F.coalesce(nxt, F.col("t0") + 6), F.col("t0") + 6).alias("t1"), "event_type", "value", "event_id")
+
+
+def _sizes(x: DataFrame) -> DataFrame:
+    return grid.sizes_of(x, 1.0)
+
+
+def audit_subject_counts(spark, sf):
+    s = _t(spark, sf, "customer").join(_t(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"))
+    out = audit.by_subject(s, "c_custkey", "o_orderstatus", "o_totalprice")
+    return out.select("c_custkey", "total_sessions", "unique_items", _r(F.col("total_sec"), "total_sec", 2), _r(F.col("total_min"), "total_min", 4))
+
+
+def audit_story_counts(spark, sf):
+    return audit.by_item(_t(spark, sf, "orders"), "o_orderpriority", "o_custkey", "o_totalprice")
+
+
+def coverage_left_join(spark, sf):
+    o = _t(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("presentations"), audit.joined_names("o_orderstatus").alias("status_list"))
+    return joins.covered(_t(spark, sf, "customer").select("c_custkey"), o, "c_custkey", "presentations")
+
+
+def pause_statistics(spark, sf):
+    x = _intervals(spark, sf)
+    gap = F.lead("t0").over(Window.partitionBy("story").orderBy("ord")) - F.col("t0")
+    d = audit.distribution(x.withColumn("gap", gap).where("gap IS NOT NULL"), ["event_type"], "gap")
+    return d.select("event_type", "n", *[_r(F.col(c), c) for c in ("mean", "min", "p25", "median", "p75", "max")])
+
+
+def token_inventory(spark, sf):
+    return audit.top(_docs(spark, sf).select(F.lower("token").alias("token")), ["token"], 50)
+
+
+def chunk_describe(spark, sf):
+    by = _docs(spark, sf).where("lang = 'en'").withColumn("ends", F.col("token").rlike("[.!?]$").cast("int"))
+    clause = F.coalesce(F.sum("ends").over(Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    n = by.withColumn("clause", clause).groupBy("source", "doc", "clause").agg(F.count("*").alias("words"))
+    d = audit.distribution(n, ["source"], "words")
+    return d.select("source", "n", *[_r(F.col(c), c) for c in ("mean", "std", "min", "p25", "median", "p75", "max")])
+
+
+def noise_and_clean_tokens(spark, sf):
+    x = _docs(spark, sf).withColumn("noise", T.is_noise(F.col("token"))).withColumn("word", T.clean_word(F.col("token")))
+    return x.groupBy("source").agg(F.count("*").alias("tokens"), F.count_if("noise").alias("noise_tokens"), F.count_if(~F.col("noise") & (F.col("word") != "")).alias("words"), F.count_if(~F.col("noise") & (F.col("word") == "")).alias("neither"), F.sum(F.when(~F.col("noise"), F.length("word"))).alias("letters"))
+
+
+def url_field_extract(spark, sf):
+    u, digits = F.col("url"), F.regexp_extract("url", r"(\d+)[^\d]*$", 1)
+    host = F.regexp_extract(u, r"^[a-z]+://([^/:]+)", 1)
+    return _t(spark, sf, "pages").select("page_id", F.when(host == "", "host-unknown").otherwise(F.lower(host)).alias("host"), F.when(digits == "", "run-1").otherwise(F.concat(F.lit("run-"), digits.cast("decimal(38,0)").cast("string"))).alias("run"), T.stem_of(u).alias("stem"))
+
+
+def name_contains_join(spark, sf):
+    p = _t(spark, sf, "part")
+    names = p.select(F.explode(F.split("p_name", " ")).alias("name")).union(p.select("p_type")).distinct()
+    files = p.select("p_partkey", F.concat_ws("/", F.upper("p_name"), "p_type", "p_brand").alias("file"))
+    return joins.name_in_name(files, names, "file", "name").select("p_partkey", "name")
+
+
+def source_precedence(spark, sf):
+    given = _t(spark, sf, "labels").select("doc_id", F.col("quality").cast("long").alias("quality"), F.lit("label").alias("origin"))
+    default = _t(spark, sf, "documents").select("doc_id", (F.col("n_chars") > 200).cast("long").alias("quality"), F.lit("default").alias("origin"))
+    return joins.preferred([given, default], "doc_id")
+
+
+def grid_projection(spark, sf):
+    x = _intervals(spark, sf)
+    out = grid.project(x, _sizes(x), ["value"], 1.0)
+    return out.select("story", "k", _r(F.col("value"), "value"))
+
+
+def grid_runs(spark, sf):
+    x = _intervals(spark, sf)
+    flag = x.withColumn("state", F.when(F.col("event_type") == "purchase", 1).otherwise(0))
+    return grid.runs(grid.project(flag, _sizes(x), ["state"], 1.0), ["state"])
+
+
+def grid_onehot_features(spark, sf):
+    x = _intervals(spark, sf)
+    x = x.withColumns({f"is_{k}": (F.col("event_type") == k).cast("long") for k in KINDS[:3]})
+    return grid.project(x, _sizes(x), [f"is_{k}" for k in KINDS[:3]], 1.0, zero_writes=False)
+
+
+def clause_segmentation(spark, sf):
+    x = _intervals(spark, sf).withColumn("t1", F.col("t0"))
+    s = segments.spans(segments.clauses_by_gap(x, 6.0))
+    return s.select("story", "clause", _r(F.col("t0"), "t0"), _r(F.col("t1"), "t1"), "words")
+
+
+def _transcript(spark, sf):
+    """Events as a transcript: some kinds are pauses as long as their value, the others words."""
+    x = _intervals(spark, sf)
+    pause = F.col("event_type").isin("click", "view")
+    return x.select("story", "ord", F.col("ord").cast("double").alias("t0"), (F.col("ord") + F.when(pause, F.col("value") / 100).otherwise(0.2)).alias("t1"), F.when(pause, "").otherwise(F.col("event_type")).alias("text"))
+
+
+def punctuation_inference(spark, sf):
+    return segments.punctuated(_transcript(spark, sf)).select("story", "ord", "word", "mark")
+
+
+def text_rebuild_offsets(spark, sf):
+    return segments.offsets(segments.punctuated(_transcript(spark, sf))).select("story", "ord", "word", F.col("char_start").cast("long").alias("char_start"), F.col("char_end").cast("long").alias("char_end"))
+
+
+def text_rebuild(spark, sf):
+    return segments.text_of(segments.punctuated(_transcript(spark, sf)))
+
+
+def fit_clauses(spark, sf):
+    return segments.spans(segments.clauses_by_pause(_transcript(spark, sf))).select("story", "clause", "words")
+
+
+def _rebuilt(spark, sf):
+    d = _docs(spark, sf).where("lang = 'es'").select(F.col("doc").alias("story"), F.col("pos").cast("long").alias("ord"), F.lit(0.0).alias("t0"), F.lit(0.0).alias("t1"), F.col("token").alias("word"), F.lit("").alias("mark"))
+    return segments.offsets(d)
+
+
+def char_token_containment(spark, sf):
+    w = _rebuilt(spark, sf)
+    tok = w.withColumn("i", F.col("ord")).select("story", "i", F.col("char_start").alias("idx"), F.expr("substring(word, 1, greatest(1, length(word) - 1))").alias("text"))
+    return joins.char_to_token(w, tok).groupBy("story").agg(F.count("*").alias("matched"), F.sum("i").alias("sum_i"), F.sum(F.length("token")).alias("letters"))
+
+
+def token_class_priority(spark, sf):
+    w = F.lower("token")
+    x = _docs(spark, sf).where("lang = 'en'").select("source", w.alias("text"), F.when(w.rlike("(ed|ing|en)$"), "VERB").when(w.rlike("ly$"), "ADV").when(w.isin("the", "a", "an"), "DET").otherwise("NOUN").alias("pos"), F.when(w.rlike("ing$"), "VBG").when(w.rlike("[ae]ted$"), "VBN").when(w.rlike("(ed|en)$"), "VBD").otherwise("NN").alias("tag"))
+    x = features.tense(features.categorical(x))
+    return x.groupBy("source").agg(*[F.sum(F.col(c).cast("long")).alias(c) for c in ("noun", "adverb", "determiner", "non_finite_verb", "past_regular", "past_irregular", "past_total")])
+
+
+def phone_features(spark, sf):
+    """Upper-case letter pairs of documents as phones, by source."""
+    x = _docs(spark, sf).where("lang = 'en'").select("source", F.upper(F.regexp_replace(F.substring("token", 1, 2), "[^a-zA-Z]", "")).alias("text"))
+    x = features.phonological(x)
+    return x.groupBy("source").agg(*[F.sum(F.col(c).cast("long")).alias(c) for c in ("vocalic", "consonantal", "voiced", "fricative", "nasal", "approximant")])
+
+
+def lexical_features(spark, sf):
+    d = _docs(spark, sf)
+    freq = d.groupBy(F.col("token").alias("word")).agg((F.log10(F.count("*").cast("double")) + 3).alias("zipf")).where("zipf >= 4")
+    x = features.lexical(d.where("lang = 'de'").select("source", F.col("token").alias("word"), F.lit(0.0).alias("t0"), F.lit(0.25).alias("t1")), freq)
+    return x.groupBy("source").agg(_r(F.sum("word_presence"), "presence"), _r(F.avg("lexical_frequency"), "frequency"), _r(F.avg("word_length_chars"), "chars"), _r(F.sum("word_duration_secs"), "seconds"))
+
+
+def parent_depth(spark, sf):
+    r = _t(spark, sf, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("i"), F.concat(F.lit("r"), "r_regionkey").alias("head_i"))
+    n = _t(spark, sf, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("i"), F.concat(F.lit("r"), "n_regionkey").alias("head_i"))
+    c = _t(spark, sf, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("i"), F.concat(F.lit("n"), "c_nationkey").alias("head_i"))
+    s = _t(spark, sf, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("i"), F.concat(F.lit("n"), "s_nationkey").alias("head_i"))
+    nodes = r.union(n).union(c).union(s).withColumn("story", F.lit(1))
+    return features.depths(nodes, "story", "i", "head_i", 8).select("i", "head_i", F.col("depth").cast("long").alias("depth"))
+
+
+def _terms(spark, sf):
+    return _docs(spark, sf).where("lang = 'en'").select("doc", "source", T.clean_word(F.col("token")).alias("term")).where("length(term) > 1")
+
+
+def tfidf_top_terms(spark, sf):
+    t = _terms(spark, sf).select("doc", "term")
+    w = lsa.weighted(t, lsa.vocabulary(t)).select("doc", "term", F.round("w", 9).alias("w"))
+    top = w.withColumn("rank", F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("w"), "term"))).where("rank <= 3")
+    return top.select("doc", F.col("rank").cast("long").alias("rank"), "term", _r(F.col("w"), "w"))
+
+
+def lexical_coverage(spark, sf):
+    t = _terms(spark, sf)
+    v = t.where("source <> 'src3'").select("term").distinct()
+    return lsa.coverage(t.where("source = 'src3'"), v)
+
+
+def lsa_projection(spark, sf):
+    t = _terms(spark, sf).select("doc", "term")
+    v = lsa.vocabulary(t, min_df=20)
+    w = lsa.weighted(t, v)
+    axis, _ = lsa.axes(w, v)
+    return lsa.projected(w, axis)
+
+
+def lsa_top_terms(spark, sf):
+    t = _terms(spark, sf).select("doc", "term")
+    v = lsa.vocabulary(t, min_df=20)
+    return lsa.top_terms(lsa.axes(lsa.weighted(t, v), v)[0])
+
+
+def _hourly(spark, sf):
+    x = _intervals(spark, sf).groupBy("story", F.floor("t0").alias("k")).agg(F.count("*").alias("n"))
+    full = grid.samples(x.groupBy("story").agg((F.max("k") + 1).alias("n")))
+    return full.join(x, ["story", "k"], "left").fillna(0, ["n"])
+
+
+def fir_lag_features(spark, sf):
+    return signal.lagged(_hourly(spark, sf), "story", "k", ["n"]).groupBy("story").agg(*[F.sum(F.col("n") * F.col(f"n_lag{d}")).cast("long").alias(f"with_lag{d}") for d in (1, 2, 3, 4)])
+
+
+def fir_convolve_decimate(spark, sf):
+    out = signal.taps(_hourly(spark, sf), "story", "k", "n", [0.5, 0.25, 0.125, 0.0625], "y", every=6)
+    return out.select("story", (F.col("k") / 6).cast("long").alias("j"), _r(F.col("y"), "y"))
+
+
+def response_series(spark, sf):
+    """Double-gamma responses of hourly counts at one sample a second, one row for two."""
+    out = signal.responses(_hourly(spark, sf), ["n"], signal.double_gamma(1.0), 1.0, 2.0)
+    return out.select("story", "j", F.round(F.col("n").cast("double"), 4).alias("n"))
+
+
+def session_zscore(spark, sf):
+    x = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_suppkey", F.col("l_extendedprice").alias("x"), F.when(F.col("l_discount") > 0.05, F.col("l_discount")).alias("d"))
+    z = stats.standardised(x, ["l_returnflag", "l_suppkey"], ["x", "d"])
+    return z.groupBy("l_returnflag", "l_suppkey").agg(F.count("*").alias("n"), _r(F.max("x"), "max_x"), _r(F.min("x"), "min_x"), _r(F.max("d"), "max_d"), _r(F.avg(F.col("d") * F.col("x")), "cov"))
+
+
+def _vectors(spark, sf):
+    return _t(spark, sf, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"), F.transform("embedding", lambda v: v.cast("double")).alias("y"))
+
+
+def _long(spark, sf):
+    return _vectors(spark, sf).select("vec_id", "label", F.posexplode("y").alias("t", "v"))
+
+
+def repeat_average(spark, sf):
+    return _long(spark, sf).groupBy("label", F.col("t").cast("long").alias("t")).agg(_r(F.avg("v"), "mean"))
+
+
+def noise_ceiling(spark, sf):
+    c = stats.ceiling(_long(spark, sf), ["label"], "t", "vec_id", "v")
+    return c.select("label", _r(F.col("ceiling"), "ceiling"))
+
+
+def _predicted(spark, sf):
+    """vec_id, label, y, full (its class's mean), less (the mean of all)."""
+    x = _long(spark, sf)
+    mean = lambda keys, name: x.groupBy(*keys, "t").agg(F.avg("v").alias("m")).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "m"))), lambda s: s["m"]).alias(name))
+    whole = mean([], "less").select("less", F.lit(1).alias("one"))
+    return _vectors(spark, sf).withColumn("one", F.lit(1)).join(mean(["label"], "full"), "label").join(F.broadcast(whole), "one").drop("one")
+
+
+def r2_and_delta(spark, sf):
+    x = _predicted(spark, sf)
+    long = lambda p: x.select("vec_id", F.explode(F.arrays_zip("y", F.col(p).alias("p"))).alias("z")).select("vec_id", "z.y", "z.p")
+    both = stats.r2_by(long("full"), ["vec_id"], "y", "p", "r2_global").join(stats.r2_by(long("less"), ["vec_id"], "y", "p", "r2_restricted"), "vec_id")
+    return both.select("vec_id", _r(F.col("r2_global"), "r2_global"), _r(F.col("r2_restricted"), "r2_restricted"), _r(F.col("r2_global") - F.col("r2_restricted"), "delta_r2"))
+
+
+def _tested(spark, sf):
+    x = _predicted(spark, sf).where("label < 4")
+    null = stats.shift_null(x, ["vec_id"], "y", "full", "less", N_TIME).withColumn("delta", F.round("delta", 9))
+    tot = F.expr("aggregate(y, 0D, (a, v) -> a + v * v)") - F.pow(V.total(F.col("y")), F.lit(2)) / N_TIME
+    res = lambda p: F.aggregate(F.zip_with("y", p, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, v: a + v)
+    obs = x.select("vec_id", F.col("label"), stats.r2(res("full"), tot).alias("r2_global"), stats.r2(res("less"), tot).alias("r2_restricted"))
+    obs = obs.withColumn("delta", F.round(F.col("r2_global") - F.col("r2_restricted"), 9))
+    return obs.join(stats.empirical_p(null, obs, ["vec_id"], N_TIME), "vec_id")
+
+
+def circular_shift_null(spark, sf):
+    return _tested(spark, sf).select("vec_id", "n_shifts", "n_shifts_sensitivity", _r(F.col("delta"), "delta"), _r(F.col("p_value"), "p_value"), _r(F.col("p_value_sensitivity"), "p_value_sensitivity"))
+
+
+def bh_fdr(spark, sf):
+    x = _tested(spark, sf).select("vec_id", "label", F.round("p_value", 9).alias("p_value"))
+    return stats.adjusted(x, ["label"], "p_value").select("vec_id", "label", _r(F.col("p_value"), "p_value"), _r(F.col("p_fdr"), "p_fdr"))
+
+
+def _results(spark, sf):
+    x = _tested(spark, sf).withColumn("p_value", F.round("p_value", 9)).withColumn("p_value_sensitivity", F.round("p_value_sensitivity", 9))
+    x = stats.adjusted(stats.adjusted(x, ["label"], "p_value", "p_value_fdr"), ["label"], "p_value_sensitivity", "p_value_fdr_sensitivity")
+    top = stats.ceiling(_long(spark, sf), ["label"], "t", "vec_id", "v")
+    x = x.join(top, "label").withColumnRenamed("delta", "delta_r2")
+    return x.withColumn("r2_global_normalized", stats.over_ceiling(F.col("r2_global"), F.col("ceiling"))).withColumn("delta_r2_normalized", F.col("r2_global_normalized") - stats.over_ceiling(F.col("r2_restricted"), F.col("ceiling")))
+
+
+def voxel_metrics_report(spark, sf):
+    m = report.metrics(_results(spark, sf), ["label"])
+    return m.select("label", "total", *[_r(F.col(c), c) for c in ("r2_global_median", "r2_global_max", "r2_global_positive_pct", "delta_median", "delta_iqr", "delta_p5", "delta_p95", "delta_positive_pct", "sig_pct", "ceiling_pct", "sig_sensitivity_pct")], "sig_count", "sig_sensitivity_count", "sig_delta_mean", "sensitivity_stability_pct")
+
+
+def subject_markdown(spark, sf):
+    return report.markdown(report.metrics(_results(spark, sf), ["label"]).select("label", "total", "sig_count", "sig_delta_mean"), "label")
+
+
+def across_subjects(spark, sf):
+    a = report.across(report.metrics(_results(spark, sf), ["label"]))
+    return a.select("subjects", "subjects_with_effect", _r(F.col("mean_sig_pct"), "mean_sig_pct"), _r(F.col("mean_delta_median"), "mean_delta_median"))
+
+
+def layer_masks(spark, sf):
+    lay = report.layers(_results(spark, sf))
+    counts = lay.groupBy("label").agg(F.count("layer_r2").alias("n_r2"), F.count("layer_significant").alias("n_significant"))
+    lim = report.limits(lay, ["label"])
+    return counts.join(lim, "label").select("label", "n_r2", "n_significant", *[_r(F.col(c), c) for c in ("limit_r2", "limit_significant", "limit_delta")])
+
+
+def ridge_two_feature_cv(spark, sf):
+    """Best of three penalties for discount ~ quantity, tax (centred), validated by line numbers in three folds."""
+    x = _t(spark, sf, "lineitem").select((F.col("l_linenumber") % 3).alias("fold"), (F.col("l_quantity") - 25).alias("x"), (F.col("l_tax") - 0.04).alias("z"), (F.col("l_extendedprice") / 10000 - 3).alias("y"))
+    sums = x.groupBy("fold").agg(*[F.sum(F.col(a) * F.col(b)).alias(a + b) for a, b in ("xx", "xz", "zz", "xy", "zy", "yy")])
+    names = ["xx", "xz", "zz", "xy", "zy", "yy"]
+    whole = sums.agg(*[F.sum(c).alias(f"t_{c}") for c in names]).withColumn("one", F.lit(1))
+    out = None
+    for a in (0.01, 1.0, 100.0):
+        f = sums.withColumn("one", F.lit(1)).join(F.broadcast(whole), "one")
+        f = f.withColumns({f"r_{c}": F.col(f"t_{c}") - F.col(c) for c in names})
+        w, v = ridge.solve_two("r_xx", "r_xz", "r_zz", "r_xy", "r_zy", a)
+        f = f.withColumn("w", w).withColumn("v", v)
+        sse = F.col("yy") - 2 * (F.col("w") * F.col("xy") + F.col("v") * F.col("zy")) + F.col("w") ** 2 * F.col("xx") + 2 * F.col("w") * F.col("v") * F.col("xz") + F.col("v") ** 2 * F.col("zz")
+        one = f.select("fold", F.lit(a).alias("alpha"), (1 - sse / F.col("yy")).alias("score"))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("alpha").agg(_r(F.avg("score"), "score"))
+
+
+def ridge_many_targets(spark, sf):
+    """The last 32 dimensions of the embeddings from the first 8, validated by label."""
+    x = _vectors(spark, sf)
+    names = [f"x{i}" for i in range(8)]
+    rows = x.select("vec_id", F.concat(F.lit("g"), "label").alias("story"), *[F.col("y")[i].alias(n) for i, n in enumerate(names)])
+    y = x.select("vec_id", F.posexplode(F.slice("y", 33, 32)).alias("target", "y"))
+    sizes = {r["story"]: r["count"] for r in rows.groupBy("story").count().collect()}
+    got = ridge.chosen(ridge.gram(rows, "story", names), ridge.cross(rows, y, ["vec_id"], "story", names), "story", ridge.folds(sizes))
+    return got.select(F.col("target").cast("long").alias("target"), "alpha", F.round("score", 6).alias("score"), F.transform("w", lambda v: F.round(v, 6)).alias("w"))
+
+
+def checkpoint_antijoin(spark, sf):
+    done = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber")
+    return joins.not_done(_t(spark, sf, "orders").select("o_orderkey"), done, "o_orderkey", "l_linenumber", 6)
+
+
+def upsert_latest(spark, sf):
+    o = _t(spark, sf, "orders").select(F.col("o_orderpriority").alias("script_name"), F.col("o_custkey").cast("string").alias("subject_id"), F.col("o_totalprice").alias("execution_time_seconds"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "o_orderkey")
+    cols = ["script_name", "subject_id", "execution_time_seconds", "timestamp"]
+    return store.logged(o.where("o_orderkey % 2 = 0").select(*cols), o.where("o_orderkey % 2 = 1").select(*cols))
+
+
+def balanced_folds(spark, sf):
+    sizes = {r["source"]: r["count"] for r in _t(spark, sf, "documents").groupBy("source").count().collect()}
+    return spark.createDataFrame([(k, v) for k, v in ridge.folds(sizes).items()], "source string, fold long")
+
+
+def kernel_shapes(spark, sf):
+    d, s = signal.double_gamma(10.0), signal.single_gamma(10.0)
+    return spark.createDataFrame([(i, float(np.round(a, 9)), float(np.round(b, 9))) for i, (a, b) in enumerate(zip(d, s))], "k long, double_gamma double, single_gamma double")
+
+
+QUERIES = {f.__name__: f for f in (
+    grid_projection, grid_runs, grid_onehot_features, audit_subject_counts, audit_story_counts, coverage_left_join, pause_statistics, token_inventory, chunk_describe,
+    noise_and_clean_tokens, url_field_extract, name_contains_join, source_precedence, clause_segmentation, punctuation_inference, text_rebuild_offsets, text_rebuild, fit_clauses,
+    char_token_containment, token_class_priority, phone_features, lexical_features, parent_depth, tfidf_top_terms, lexical_coverage, lsa_projection, lsa_top_terms, fir_lag_features,
+    fir_convolve_decimate, response_series, session_zscore, repeat_average, noise_ceiling, r2_and_delta, circular_shift_null, bh_fdr, voxel_metrics_report, subject_markdown,
+    across_subjects, layer_masks, ridge_two_feature_cv, ridge_many_targets, checkpoint_antijoin, upsert_latest, balanced_folds, kernel_shapes,
+)}
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
