@@ -36,9 +36,17 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+#: Estimates beyond this many groups are measured instead: Catalyst multiplies sizes through joins and does not know RDDs'.
+DOUBTFUL = 20_000
+
+
 def parts(df: DataFrame, mb: float, least: int = 8) -> int:
-    """How many groups of about mb stored megabytes df makes."""
-    return max(least, math.ceil(min(estimated_bytes(df), 2**60) / (mb * 1e6)))
+    """How many groups of about mb stored megabytes df (with a column text) makes."""
+    size = estimated_bytes(df)
+    if size > DOUBTFUL * mb * 1e6:
+        row = df.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+        size = 16 * row[0] + (row[1] or 0) // 2
+    return max(least, math.ceil(size / (mb * 1e6)))
 
 
 def crc_mod(doc_id: str, m: int):

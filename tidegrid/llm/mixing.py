@@ -60,7 +60,8 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, table: int =
     budget = min(int(budget), total)
     if budget <= 0:
         return np.zeros(len(sizes), np.int64)
-    take = np.array([int(c) * budget // total for c in counts], np.int64)
+    bulk = max(0, budget - table)  # what is left lets the knapsack choose
+    take = np.array([int(c) * bulk // total for c in counts], np.int64)
     take[sizes == 0] = 0
     left = budget - int((take * sizes).sum())
     order = np.argsort(-sizes, kind="stable")
