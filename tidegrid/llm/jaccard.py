@@ -107,6 +107,7 @@ def sized(docs: DataFrame, k: int) -> DataFrame:
                 n, x, y = _sums(doc, s, rows)
                 sig = [f"{a:016x}{b:016x}" if c else None for a, b, c in zip(x.tolist(), y.tolist(), n.tolist())]
                 yield pa.RecordBatch.from_arrays([ids.slice(int(rows[0]), len(rows)), pa.array(n, pa.int64()), pa.array(sig, pa.string())], ["doc_id", "n", "sig"])
+        words.release()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sig string")
 
@@ -146,6 +147,7 @@ def postings(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataF
         got = [np.unique(s[ranked(s)], return_counts=True) for _, _, s in _sets(frame, k)]
         keys, inverse = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
         count = np.bincount(inverse, weights=np.concatenate([g[1] for g in got]), minlength=len(keys)).astype(np.uint32)
+        words.release()
         return census.deal(key[0], keys, buckets, count)
 
     def reply(unique: np.ndarray, place: np.ndarray, extras: list[bytes], _: np.ndarray) -> np.ndarray:
@@ -179,6 +181,7 @@ def postings(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataF
             within &= ~rank | (df > 1)
             d = d[within]
             out.append(pd.DataFrame({"token": t[within].view(np.int64), "doc_id": ids[rows[d]], "n": n[d], "m": m[d]}))
+        words.release()
         return census.rows_of(iter(out), ["token", "doc_id", "n", "m"])
 
     told = answers.withColumn("stands", F.lit(False)).unionByName(chosen)

@@ -30,7 +30,7 @@ from . import words
 UND = "und"
 ORDER = 5
 #: Labelled documents of each language that a model is fitted on (expected number, drawn by hash).
-SAMPLE = 1000
+SAMPLE = 600
 #: Of those, one in so many only calibrates the rejection limit.
 CALIBRATION = 5
 #: The limit above the mean is the largest deviation among calibration texts times SLACK, or the way to
@@ -67,19 +67,23 @@ def _symbols(tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     use = ~blank | after
     at = np.arange(len(sym))
     since = at - np.maximum.accumulate(np.where(np.r_[True, blank[:-1]], at, 0))
-    before = [np.where(since >= k, np.r_[np.zeros(k, np.uint64), sym[:-k]] if k < len(sym) else np.zeros(len(sym), np.uint64), 0)[use] for k in range(1, ORDER)]
-    return sym[use], token[use], np.stack(before) if before else np.zeros((0, int(use.sum())), np.uint64)
+    small = sym.astype(np.uint32)
+    before = [np.where(since >= k, np.r_[np.zeros(k, np.uint32), small[:-k]] if k < len(sym) else np.zeros(len(sym), np.uint32), np.uint32(0))[use] for k in range(1, ORDER)]
+    return sym[use], token[use], np.stack(before)
 
 
-def _hashes(sym: np.ndarray, before: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For n = 1..ORDER, hashes of the n-gram and of its context of n - 1 symbols."""
-    ctx, grams, h = [], [], np.full(len(sym), 0x51ED27, dtype=np.uint64)
-    for n in range(1, ORDER + 1):
-        if n > 1:
-            h = _mix(h, before[n - 2] + np.uint64(n << 32))
+def _contexts(before: np.ndarray, n: int) -> list[np.ndarray]:
+    """For each order 1..ORDER, a hash of the order - 1 symbols before each of n symbols."""
+    ctx, h = [], np.full(n, 0x51ED27, dtype=np.uint64)
+    for k in range(1, ORDER + 1):
+        if k > 1:
+            h = _mix(h, before[k - 2].astype(np.uint64) + np.uint64(k << 32))
         ctx.append(h)
-        grams.append(_mix(h, sym + np.uint64(1 << 40)))
-    return grams, ctx
+    return ctx
+
+
+def _grams(ctx: np.ndarray, sym: np.ndarray) -> np.ndarray:
+    return _mix(ctx, sym + np.uint64(1 << 40))
 
 
 def _find(table: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,11 +107,12 @@ class Model:
     def token_scores(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log-probability of each token by language, and how many symbols it predicts."""
         sym, token, before = _symbols(tokens)
-        grams, ctx = _hashes(sym, before)
+        ctx = _contexts(before, len(sym))
+        del before
         out = np.zeros((len(sym), len(self.langs)), np.float32)
         left = np.arange(len(sym))
         for n in range(ORDER, 0, -1):
-            at, ok = _find(self.grams[n - 1], grams[n - 1][left])
+            at, ok = _find(self.grams[n - 1], _grams(ctx[n - 1][left], sym[left]))
             out[left[ok]] += self.logp[n - 1][at[ok]]
             left = left[~ok]
             if not len(left):
@@ -154,7 +159,9 @@ def train(counts: pd.DataFrame, calibration: pd.DataFrame) -> Model:
         own = counts[counts["lang"] == lang]
         sym, token, before = _symbols(own["word"].tolist())
         weight = own["n"].to_numpy(np.float64)[token]
-        grams, ctx = _hashes(sym, before)
+        ctx = _contexts(before, len(sym))
+        del before
+        grams = [_grams(c, sym) for c in ctx]
         orders, keep = [], None
         for n in range(ORDER, 0, -1):
             g, first, inverse = np.unique(grams[n - 1], return_index=True, return_inverse=True)
@@ -237,13 +244,15 @@ def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> Model:
     def build(frame: pd.DataFrame) -> pd.DataFrame:
         held = frame["n"] == 0
         counts = frame[~held] if (~held).any() else pd.DataFrame({"lang": frame["lang"], "word": frame["word"], "n": 1})
-        return pd.DataFrame({"model": [pickle.dumps(train(counts, frame[held].rename(columns={"word": "text"})))]})
+        made = pickle.dumps(train(counts, frame[held].rename(columns={"word": "text"})))
+        words.release()
+        return pd.DataFrame({"model": [made]})
 
     # one task, of bounded input: the sample's distinct words and its calibration texts
     return pickle.loads(rows.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(build, "model binary").first()["model"])
 
 
-def predict(docs: DataFrame, model: Model, block_bytes: int = 8_000_000) -> DataFrame:
+def predict(docs: DataFrame, model: Model, block_bytes: int = 3_000_000) -> DataFrame:
     """doc_id, lang_pred, score, cross_entropy, n_letters, rejected; one row for each input row."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -253,11 +262,12 @@ def predict(docs: DataFrame, model: Model, block_bytes: int = 8_000_000) -> Data
             for a, b in words.blocks(texts, block_bytes):
                 lang, score, entropy, n, rejected = sent.value.decide(texts.slice(a, b - a))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a).cast(pa.int64()), pa.array(lang, pa.string()), pa.array(score), pa.array(entropy), pa.array(n), pa.array(rejected)], ["doc_id", "lang_pred", "score", "cross_entropy", "n_letters", "rejected"])
+        words.release()
 
     return docs.select("doc_id", "text").mapInArrow(run, _SCHEMA)
 
 
-def keep(docs: DataFrame, model: Model, block_bytes: int = 8_000_000) -> DataFrame:
+def keep(docs: DataFrame, model: Model, block_bytes: int = 3_000_000) -> DataFrame:
     """The rows of docs, all columns, whose text is not rejected."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -266,5 +276,6 @@ def keep(docs: DataFrame, model: Model, block_bytes: int = 8_000_000) -> DataFra
             texts = words.as_arrow(batch.column("text"))
             for a, b in words.blocks(texts, block_bytes):
                 yield batch.slice(a, b - a).filter(pa.array(~sent.value.decide(texts.slice(a, b - a))[4]))
+        words.release()
 
     return docs.mapInArrow(run, docs.schema)

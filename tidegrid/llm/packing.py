@@ -41,7 +41,7 @@ GRID = 32
 #: Ids of a stream that are cut at a time.
 BLOCK = 1_000_000
 #: Distinct strings whose ids a worker keeps.
-CACHE = 1_000_000
+CACHE = 600_000
 #: Words of ASCII letters with such marks behind them: the vocabulary's pre-tokeniser cuts between the two.
 TAILED, MARKS, LETTERS = r"^[a-z]+[.,!?;:]+$", ".,!?;:", "abcdefghijklmnopqrstuvwxyz"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -199,5 +199,7 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFram
                 if len(ids) >= BLOCK:
                     yield from cut(False)
         yield from cut(True)
+        coder.clear()
+        words.release()
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
