@@ -9,26 +9,31 @@ from __future__ import annotations
 import numpy as np
 from pyspark.mllib.linalg import Vectors
 from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.config import COMPONENTS, MAX_DF, MIN_DF
 
 
-def vocabulary(terms: DataFrame, min_df: int = MIN_DF, max_df: float = MAX_DF, n_docs: int | None = None) -> DataFrame:
+def counted(terms: DataFrame) -> DataFrame:
+    """doc, term, tf. Vocabulary and weights both start here, so one exchange of the tokens serves both."""
+    return terms.groupBy("doc", "term").agg(F.count("*").alias("tf"))
+
+
+def vocabulary(terms: DataFrame, min_df: int = MIN_DF, max_df: float = MAX_DF) -> DataFrame:
     """term, df, idf = ln((1 + n) / (1 + df)) + 1 of terms in at least min_df and at most a share max_df of documents.
     terms: doc, term, a row for each occurrence."""
-    n = terms.select("doc").distinct().count() if n_docs is None else n_docs
-    df = terms.select("doc", "term").distinct().groupBy("term").agg(F.count("*").alias("df")).where((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
-    return df.withColumn("idf", F.log((1.0 + n) / (1 + F.col("df"))) + 1)
+    tf = counted(terms)
+    n = tf.groupBy("doc").agg(F.lit(1).alias("_d")).agg(F.count("*").alias("_n")).withColumn("_one", F.lit(1))
+    df = tf.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df).withColumn("_one", F.lit(1)).join(F.broadcast(n), "_one")
+    return df.where(F.col("df") <= max_df * F.col("_n")).select("term", "df", (F.log((1.0 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
 def weighted(terms: DataFrame, vocab: DataFrame) -> DataFrame:
     """doc, term, w: tf * idf scaled to length 1 per document."""
-    tf = terms.groupBy("doc", "term").agg(F.count("*").alias("tf"))
-    raw = tf.join(vocab.select("term", "idf"), "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norms = raw.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, "doc").select("doc", "term", (F.col("w") / F.col("norm")).alias("w"))
+    raw = counted(terms).join(vocab.select("term", "idf"), "term").withColumn("w", F.col("tf") * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc")))
+    return raw.select("doc", "term", (F.col("w") / norm).alias("w"))
 
 
 def axes(weights: DataFrame, vocab: DataFrame, k: int = COMPONENTS) -> tuple[DataFrame, np.ndarray]:
@@ -55,8 +60,6 @@ def projected(weights: DataFrame, axis: DataFrame, k: int = COMPONENTS) -> DataF
 
 
 def top_terms(axis: DataFrame, n: int = 8) -> DataFrame:
-    from pyspark.sql import Window
-
     long = axis.select("term", F.posexplode("axis").alias("component", "weight"))
     return long.withColumn("rank", F.row_number().over(Window.partitionBy("component").orderBy(F.desc("weight"), "term"))).where(F.col("rank") <= n)
 
