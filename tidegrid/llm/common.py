@@ -52,3 +52,15 @@ def parts(df: DataFrame, mb: float, least: int = 8) -> int:
 def crc_mod(doc_id: str, m: int):
     """crc32 of the id as text, modulo m; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % m
+
+
+#: Parts that rows of one key are dealt into where a key may hold a large share of all rows.
+SALTS = 24
+
+
+def salted_join(rows: DataFrame, few: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
+    """rows joined with few (one row for a key) so that no task gets all rows of a frequent key: rows are dealt
+    by a hash of `spread` as well, and each row of few goes to every part."""
+    parts_ = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    return dealt.join(few.withColumn("_salt", parts_), [key, "_salt"], how).drop("_salt")

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import census
+from .common import salted_join
 from .words import release
 
 SPAN = 50
@@ -199,7 +200,7 @@ def remove(docs: DataFrame, read: Callable[[pd.Series], Tokens], partition: Call
     part = partition(docs, max(8, chunks))
     hashed = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"), F.octet_length(F.coalesce("text", F.lit(""))).alias("size")).where(F.col("size") >= SPAN)
     first = hashed.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first")
-    copies = hashed.join(first, "sha").where("doc_id > first OR doc_id IS NULL").select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).alias("chunk"), F.lit(0).cast("long").alias("kind"), F.col("doc_id").alias("bucket"), F.unhex("sha").alias("answer"))
+    copies = salted_join(hashed, first, "sha", "doc_id").where("doc_id > first OR doc_id IS NULL").select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).alias("chunk"), F.lit(0).cast("long").alias("kind"), F.col("doc_id").alias("bucket"), F.unhex("sha").alias("answer"))
 
     def begin(frame: pd.DataFrame, told: pd.DataFrame) -> tuple:
         """Rows in a fixed order, which of them are copies, ids, tokens of the rest and their anchors."""
