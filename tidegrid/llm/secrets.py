@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, salted_join
 
 
 @dataclass(frozen=True)
@@ -101,7 +101,7 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
     whole = added if ledger is None else ledger.select("blob", "rule", "spans").unionByName(added)
     known = found if ledger is None else found.unionByName(ledger.where(F.col("rule").isin([r.key for r in rules]) & (F.size("spans") > 0)).select("blob", "rule", "spans"))
     by_blob = known.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    findings = held.select("doc_id", "blob").join(by_blob, "blob", "left").withColumn("spans", F.coalesce("spans", none))
+    findings = salted_join(held.select("doc_id", "blob"), by_blob, "blob", "doc_id", "left").withColumn("spans", F.coalesce("spans", none))
     return findings, whole
 
 
@@ -127,7 +127,7 @@ def redact(docs: DataFrame, findings: DataFrame, mark: str = "[secret]") -> Data
     ends = F.concat(F.array(F.lit(0).cast("bigint")), F.transform("_merged", lambda x: x["end"]))
     starts = F.concat(F.transform("_merged", lambda x: x["start"]), F.array(F.length("text").cast("bigint")))
     kept = F.transform(F.arrays_zip(ends.alias("a"), starts.alias("b")), lambda x: F.substring(F.col("text"), (x["a"] + 1).cast("int"), (x["b"] - x["a"]).cast("int")))
-    joined = docs.withColumn("_blob", F.sha2(F.coalesce("text", F.lit("")), 256)).join(hit, "_blob", "left")
+    joined = salted_join(docs.withColumn("_blob", F.sha2(F.coalesce("text", F.lit("")), 256)), hit, "_blob", "doc_id", "left")
     return joined.withColumn("text", F.when(F.col("_merged").isNull(), F.col("text")).otherwise(F.array_join(kept, mark))).select(*docs.columns)
 
 
