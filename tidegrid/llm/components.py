@@ -1,7 +1,7 @@
 """Connected components of a link table, by label propagation with pointer jumping.
 
 Labels start as the smaller end of each link and only ever fall, so every node ends with the smallest id
-it can reach. Each round is two grouped minima and joins, written to the shared folder; nothing is
+it can reach. Each round is a grouped minimum and three joins, written to the shared folder; nothing is
 collected but the number of labels that changed. The number of rounds follows the logarithm of the
 longest path. Links may repeat or point either way; an empty link table gives an empty result.
 """
@@ -22,11 +22,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         near = both.join(labels.withColumnRenamed("node", "y"), "y").groupBy("x").agg(F.min("label").alias("near"))
         low = labels.join(near.withColumnRenamed("x", "node"), "node").select("node", "label", F.least("label", "near").alias("low"))
-        # the label's own label: min over what its followers see as well, so whole stars move at once
-        heard = low.groupBy("label").agg(F.min("low").alias("heard"))
-        step = low.join(heard, "label").select("node", "label", F.least("low", "heard").alias("low"))
-        up = step.select(F.col("node").alias("low"), F.col("low").alias("up"))
-        moved = cut(step.join(up, "low", "left").select("node", "label", F.least("low", F.coalesce("up", "low")).alias("low")))
+        # the label's own label: chains halve; both sides are dealt for this join alone, so a label that many
+        # nodes share is a skewed join that Spark splits
+        up = low.select(F.col("node").alias("low"), F.col("low").alias("up"))
+        moved = cut(low.join(up, "low", "left").select("node", "label", F.least("low", F.coalesce("up", "low")).alias("low")))
         changed = moved.where("low < label").limit(1).count()
         labels = moved.select("node", F.col("low").alias("label"))
         if not changed:
