@@ -28,7 +28,7 @@ SEED = 20
 #: Budget in words that the knapsack table closes at the end.
 TABLE = 20_000
 #: Documents of one size and source that one task orders at most (expected).
-CELL = 2_000
+CELL = 250
 
 
 def knapsack(sizes: np.ndarray, free: np.ndarray, budget: int) -> np.ndarray:
