@@ -225,6 +225,12 @@ def test_latent_axes(spark):
     got = {r.doc: r for r in lsa.projected(w, axis, 2).collect()}
     side = {d: int(abs(r.semantic_dim_0) > abs(r.semantic_dim_1)) for d, r in got.items()}
     assert len(s) == 2 and all(side[d] == side[d % 2] for d in side) and side[0] != side[1]
+    dense = np.zeros((40, 6))
+    place = {t: i for i, t in enumerate(sorted(sum(groups, [])))}
+    for r in w.collect():
+        dense[r.doc, place[r.term]] = r.w
+    u, sv, vt = np.linalg.svd(dense)
+    assert np.allclose(s, sv[:2]) and np.allclose(np.abs(np.array([r.axis for r in axis.orderBy("term").collect()])), np.abs(vt[:2].T), atol=1e-6)
     known = lsa.coverage(terms, vocab.where("term <> 'red'")).first()
     assert known.total == 240 and known.covered + known.unknown == 240
 

@@ -1,18 +1,19 @@
 """TF-IDF, latent-semantic axes and lexical coverage.
 
-Terms are counted in SQL; the axes come from the second-moment matrix of the weighted vocabulary, whose size
-the document-frequency filters bound, by distributed singular value decomposition.
+Terms are counted in SQL; the axes come from the weighted vocabulary, whose size the document-frequency filters
+bound. What the driver holds is a vocabulary wide and some twenty columns deep.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.mllib.linalg import Vectors
-from pyspark.mllib.linalg.distributed import RowMatrix
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.config import COMPONENTS, MAX_DF, MIN_DF
+from tidegrid.config import COMPONENTS, MAX_DF, MIN_DF, SEED
 
 
 def counted(terms: DataFrame) -> DataFrame:
@@ -36,21 +37,58 @@ def weighted(terms: DataFrame, vocab: DataFrame) -> DataFrame:
     return raw.select("doc", "term", (F.col("w") / norm).alias("w"))
 
 
-def axes(weights: DataFrame, vocab: DataFrame, k: int = COMPONENTS) -> tuple[DataFrame, np.ndarray]:
-    """term, axis (array of k), and singular values. Signs: the largest weight of an axis is positive."""
+def axes(weights: DataFrame, vocab: DataFrame, k: int = COMPONENTS, rounds: int = 5, spare: int = 10) -> tuple[DataFrame, np.ndarray]:
+    """term, axis (array of k), and singular values, by randomised subspace iteration on the second moments.
+    Signs: the largest weight of an axis is positive. Documents are packed once into chunks of sparse triples; each
+    round multiplies them by a vocabulary x (k + spare) matrix and adds up the products by slices of the vocabulary."""
     spark = weights.sparkSession
-    places = {r["term"]: i for i, r in enumerate(vocab.select("term").orderBy("term").collect())}
-    sent = spark.sparkContext.broadcast(places)
-    size = len(places)
+    names = [r["term"] for r in vocab.select("term").orderBy("term").collect()]
+    size = len(names)
     if not size:
         return spark.createDataFrame([], "term string, axis array<double>"), np.zeros(0)
-    rows = weights.groupBy("doc").agg(F.collect_list(F.struct("term", "w")).alias("x")).rdd.map(lambda r: Vectors.sparse(size, sorted((sent.value[t["term"]], t["w"]) for t in r["x"])))
-    svd = RowMatrix(rows.cache(), numCols=size).computeSVD(min(k, size))
-    v = svd.V.toArray()
+    width, slices = min(size, k + spare), 8
+    numbered = spark.createDataFrame(list(enumerate(names)), "i int, term string")
+    chunks = F.pmod(F.hash("doc"), F.lit(4 * spark.sparkContext.defaultParallelism)).alias("chunk")
+
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["doc", "i"])
+        doc = frame["doc"].rank(method="dense").to_numpy(np.int32) - 1
+        return pd.DataFrame({"doc": [doc.tobytes()], "i": [frame["i"].to_numpy(np.int32).tobytes()], "w": [frame["w"].to_numpy(np.float64).tobytes()]})
+
+    packed = weights.join(numbered, "term").select(chunks, "doc", "i", "w").groupBy("chunk").applyInPandas(pack, "doc binary, i binary, w binary").persist()
+    edges = np.linspace(0, size, slices + 1).astype(int)
+
+    def times(q: np.ndarray) -> np.ndarray:
+        sent = spark.sparkContext.broadcast(q)
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            out = np.zeros((size, width))
+            for frame in frames:
+                for doc, i, w in frame.itertuples(index=False):
+                    doc, i, w = np.frombuffer(doc, np.int32), np.frombuffer(i, np.int32), np.frombuffer(w)
+                    heads = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+                    y = np.add.reduceat(w[:, None] * sent.value[i], heads)
+                    order = np.argsort(i, kind="stable")
+                    first = np.flatnonzero(np.r_[True, np.diff(i[order]) != 0])
+                    out[i[order][first]] += np.add.reduceat((w[:, None] * y[doc])[order], first)
+            yield pd.DataFrame({"slice": range(slices), "z": [out[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])]})
+
+        def add(frame: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"slice": [frame["slice"].iloc[0]], "z": [sum(np.frombuffer(z) for z in frame["z"]).tobytes()]})
+
+        rows = packed.mapInPandas(run, "slice int, z binary").groupBy("slice").applyInPandas(add, "slice int, z binary").collect()
+        return np.concatenate([np.frombuffer(r["z"]) for r in sorted(rows, key=lambda r: r["slice"])]).reshape(size, width)
+
+    q = np.linalg.qr(np.random.default_rng(SEED).normal(size=(size, width)))[0]
+    for _ in range(rounds):
+        q = np.linalg.qr(times(q))[0]
+    value, vector = np.linalg.eigh(q.T @ times(q))
+    packed.unpersist()
+    top = np.argsort(-value)[: min(k, size)]
+    v = q @ vector[:, top]
     v = v * np.sign(v[np.abs(v).argmax(0), np.arange(v.shape[1])])
     v = np.pad(v, ((0, 0), (0, k - v.shape[1])))
-    names = sorted(places, key=places.get)
-    return spark.createDataFrame([(t, [float(x) for x in v[i]]) for i, t in enumerate(names)], "term string, axis array<double>"), svd.s.toArray()
+    return spark.createDataFrame([(t, v[i].tolist()) for i, t in enumerate(names)], "term string, axis array<double>"), np.sqrt(np.maximum(value[top], 0))
 
 
 def projected(weights: DataFrame, axis: DataFrame, k: int = COMPONENTS) -> DataFrame:

@@ -212,18 +212,20 @@ def lexical_coverage(spark, sf):
     return lsa.coverage(t.where("source = 'src3'"), v)
 
 
-def lsa_projection(spark, sf):
+def _latent(spark, sf):
+    """Weights and axes; both are read several times, so the weights are kept while the session wants them."""
     t = _terms(spark, sf).select("doc", "term")
-    v = lsa.vocabulary(t, min_df=20)
-    w = lsa.weighted(t, v)
-    axis, _ = lsa.axes(w, v)
-    return lsa.projected(w, axis)
+    v = lsa.vocabulary(t, min_df=20).persist()
+    w = lsa.weighted(t, v).persist()
+    return w, lsa.axes(w, v)[0]
+
+
+def lsa_projection(spark, sf):
+    return lsa.projected(*_latent(spark, sf))
 
 
 def lsa_top_terms(spark, sf):
-    t = _terms(spark, sf).select("doc", "term")
-    v = lsa.vocabulary(t, min_df=20)
-    return lsa.top_terms(lsa.axes(lsa.weighted(t, v), v)[0])
+    return lsa.top_terms(_latent(spark, sf)[1])
 
 
 def _hourly(spark, sf):
