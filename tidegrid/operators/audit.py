@@ -37,3 +37,14 @@ def inventory(tokens: DataFrame, columns: list[str]) -> DataFrame:
 
 def top(tokens: DataFrame, columns: list[str], n: int) -> DataFrame:
     return inventory(tokens, columns).limit(n)
+
+
+def extremes(rows: DataFrame, by: str, n: int = 5) -> tuple[DataFrame, DataFrame]:
+    """The n smallest and the n largest rows; other columns break ties."""
+    rest = [c for c in rows.columns if c != by]
+    return rows.orderBy(by, *rest).limit(n), rows.orderBy(F.desc(by), *rest).limit(n)
+
+
+def sampled(rows: DataFrame, n: int, seed: int) -> DataFrame:
+    """n rows in a seeded random order."""
+    return rows.orderBy(F.rand(seed)).limit(n)
