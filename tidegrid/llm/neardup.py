@@ -261,7 +261,14 @@ def link(vectors: DataFrame, limit: float = 0.98) -> DataFrame:
             links[i] = weights[near].sum()
             a.append(np.full(len(near), own[i]))
             b.append(ids[near])
-        nodes, low = forest(np.concatenate(a), np.concatenate(b))
+        a, b = np.concatenate(a), np.concatenate(b)
+        # a link that only its other end found counts for both, if both are queries here and lie in this shard
+        m = np.minimum(np.searchsorted(own, b), len(own) - 1)
+        there = (own[m] == b) & np.isin(a, ids)
+        q, m = np.searchsorted(own, a[there]), m[there]
+        late = np.setdiff1d(m * len(own) + q, q * len(own) + m)
+        np.add.at(links, late // len(own), weights[np.searchsorted(ids, own[late % len(own)])])
+        nodes, low = forest(a, b)
         return pd.DataFrame({"node": np.r_[own, nodes], "low": np.r_[own, low], "links": np.r_[links, np.zeros(len(nodes), np.int64)]})
 
     told = cut(asked.groupBy(*key, "block").cogroup(asks.groupBy(*key, "block")).applyInPandas(lambda g, f: run(g, f), "node long, low long, links long"))
