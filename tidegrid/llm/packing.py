@@ -18,6 +18,7 @@ their order only; sequence_id is the partition's number * 2^40 + the window's nu
 
 from __future__ import annotations
 
+import gc
 import os
 import zlib
 from collections import deque
@@ -41,7 +42,7 @@ GRID = 32
 #: Ids of a stream that are cut at a time.
 BLOCK = 1_000_000
 #: Distinct strings whose ids a worker keeps.
-CACHE = 600_000
+CACHE = 1_000_000
 #: Words of ASCII letters with such marks behind them: the vocabulary's pre-tokeniser cuts between the two.
 TAILED, MARKS, LETTERS = r"^[a-z]+[.,!?;:]+$", ".,!?;:", "abcdefghijklmnopqrstuvwxyz"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -77,14 +78,18 @@ class Coder:
         """Each unit's place among the batch's distinct ones, and theirs in the cache; new ones are encoded."""
         index, known, coded = self.index, len(self.index), units.dictionary_encode()
         spoken = coded.dictionary.to_pylist()
-        local = np.array([index.setdefault(u, len(index)) for u in spoken], np.int64)
-        if len(index) > known:
-            fresh = np.flatnonzero(local >= known)
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast([spoken[i] for i in fresh.tolist()], add_special_tokens=False)]
+        local = list(map(index.get, spoken))
+        fresh = [i for i, x in enumerate(local) if x is None]
+        if fresh:
+            new = [spoken[i] for i in fresh]
+            index.update(zip(new, range(known, known + len(new))))
+            for i, x in zip(fresh, range(known, known + len(new))):
+                local[i] = x
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
             self.sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
             self.flat.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(self.sizes[-1].sum())))
             self.flat, self.sizes = [np.concatenate(self.flat)], [np.concatenate(self.sizes)]
-        return coded.indices.to_numpy().astype(np.int64), local
+        return coded.indices.to_numpy().astype(np.int64), np.array(local, np.int64)
 
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, each text ended by END, and the number of each text."""
@@ -157,6 +162,7 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFram
     path = path or vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # millions of short-lived lists without cycles
         coder, base, made = Coder(path), TaskContext.get().partitionId() << 40, 0
         ids, doc, pos, total = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         null = np.zeros(0, bool)
@@ -191,7 +197,7 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFram
 
         for batch in batches:
             texts = words.as_arrow(batch.column("text"))
-            for a, b in words.blocks(texts, 4 * BLOCK):
+            for a, b in words.blocks(texts, 8 * BLOCK):
                 more, per = coder.encode(texts.slice(a, b - a))
                 new = batch.column("doc_id").slice(a, b - a).cast(pa.int64())
                 ids, pos, total = np.r_[ids, more], np.r_[pos, np.zeros(b - a, np.int64)], np.r_[total, per]
@@ -200,6 +206,7 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFram
                     yield from cut(False)
         yield from cut(True)
         coder.clear()
+        gc.enable()
         words.release()
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
