@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 #: A word: a run of anything but the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
-BLANK = r"[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import jaccard, langid, lmscore, mixing, neardup, packing, secrets, suffix_array, suffix_tree, winnow
 from .common import crc_mod, table
