@@ -4,7 +4,10 @@ Documents are dealt into chunks by a hash of their id. Each chunk sends its dist
 and packed, to buckets by key range: one row for each chunk and bucket, so a key that a third of all
 documents hold arrives once from each chunk, not once from each document. A bucket answers each chunk for
 its keys in their order, and the answers meet the chunk's documents again, which derive the same keys once
-more. Chunks and buckets follow the size of the input, so both fit into a task at any size.
+more. Chunks and buckets follow the size of the input, so both fit into a task at any size. A row packs a
+chunk's keys of one bucket: thousands at tens of gigabytes, a handful at a hundred terabytes, where this sends
+about what a row for each key would send, less the repeats within a chunk. Chunks of more megabytes (`mb`), where
+executors have the memory, pack more keys into a row.
 """
 
 from __future__ import annotations
