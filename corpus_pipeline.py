@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.llm import jaccard, langid, mixing, packing, secrets
-from tidegrid.llm.common import shared_folder, table
+from tidegrid.llm.common import cut, shared_folder, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +36,13 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them (0 to 3 times)."""
-    taken = mixing.mix(docs).where("taken > 0").groupBy("doc_id").agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("_times"))
-    out = docs.join(taken, "doc_id").withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    """Documents as often as the mix takes them (0 to 3 times); a row without doc_id is a document of its own."""
+    # the numbers of rows without doc_id must not change between the mix and the join, so those rows are kept
+    unnamed = cut(docs.where("doc_id IS NULL").withColumn("_row", F.monotonically_increasing_id()))
+    rows = docs.where("doc_id IS NOT NULL").withColumn("_row", F.lit(None).cast("long")).unionByName(unnamed)
+    taken = mixing.mix(rows.withColumn("doc_id", F.struct("doc_id", "_row"))).where("taken > 0")
+    times = taken.groupBy(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id._row").alias("_at")).agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("_times"))
+    out = rows.join(times, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_row").eqNullSafe(F.col("_at"))).withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_times"))))
     return out.select(*docs.columns)
 
 

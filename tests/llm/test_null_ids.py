@@ -1,0 +1,43 @@
+"""Rows without doc_id: scanned and redacted, mixed as documents of their own, never copies of each other."""
+
+import collections
+import random
+
+import corpus_pipeline
+from tests.llm import data
+from tidegrid.llm import mixing, secrets, suffix_array, suffix_tree
+
+SECRET = 'token: "abcdefghijklmnop"'
+
+
+def row(doc_id, text, source="s"):
+    return (doc_id, text, "en", source, len(text), "", "")
+
+
+def test_secret_scan_without_doc_id(spark):
+    docs = data.frame(spark, [row(None, SECRET), row(None, SECRET), row(None, "secret=abcdefghijklmnop"), row(1, "plain"), row(None, "plain")])
+    findings, ledger = secrets.scan(docs)
+    assert collections.Counter((r.doc_id, r.n_assign) for r in secrets.digest(findings).collect()) == {(None, 1): 3, (1, 0): 1, (None, 0): 1}
+    assert ledger.where("size(spans) > 0").count() == 2
+    assert not any("abcdefghijklmnop" in r.text for r in corpus_pipeline.secret_scan(spark, docs, "").collect())
+
+
+def test_mixing_without_doc_id(spark):
+    rng = random.Random(3)
+    made = [row(None if i % 3 == 0 else i, f"n{i} " + data.prose(rng, 5 + i % 4), "ab"[i % 2]) for i in range(60)]
+    docs = data.frame(spark, [*made, row(None, "")])
+    got = collections.Counter(r.text for r in corpus_pipeline.mix_sources(spark, docs, "").collect())
+    words = sum(len(t.split()) * n for t, n in got.items())
+    assert words == sum(r.taken for r in mixing.mix(docs).collect())
+    without = {r[1] for r in made if r[0] is None}
+    assert any(got[t] for t in without) and max(got.values()) <= 3 and "" not in got
+
+
+def test_substring_without_doc_id(spark):
+    rng = random.Random(4)
+    alone, shared = data.prose(rng, 80), data.prose(rng, 80)
+    docs = data.frame(spark, [row(None, alone), row(None, alone), row(5, shared), row(None, shared), row(6, shared)])
+    want = {(None, 0): 2, (5, 0): 1, (None, 80): 1, (6, 80): 1}
+    assert collections.Counter((r.doc_id, r.n_removed) for r in suffix_tree.dedup(docs).collect()) == want
+    want = {(d, len(shared.encode()) if n else 0): k for (d, n), k in want.items()}
+    assert collections.Counter((r.doc_id, r.n_removed) for r in suffix_array.dedup(docs).collect()) == want

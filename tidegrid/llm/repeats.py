@@ -199,7 +199,8 @@ def remove(docs: DataFrame, read: Callable[[pd.Series], Tokens], partition: Call
     buckets = max(8, chunks // 2)
     part = partition(docs, max(8, chunks))
     hashed = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"), F.octet_length(F.coalesce("text", F.lit(""))).alias("size")).where(F.col("size") >= SPAN)
-    first = hashed.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first")
+    # rows without doc_id are copies of a text that some doc_id has, never of each other
+    first = hashed.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").select("sha", "first")
     copies = salted_join(hashed, first, "sha", "doc_id").where("doc_id > first OR doc_id IS NULL").select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).alias("chunk"), F.lit(0).cast("long").alias("kind"), F.col("doc_id").alias("bucket"), F.unhex("sha").alias("answer"))
 
     def begin(frame: pd.DataFrame, told: pd.DataFrame) -> tuple:

@@ -10,8 +10,8 @@ pattern and then drops those whose measured group is too short. Positions come f
 of the gaps between matches (`split`) and of the matches (`regexp_extract_all`), one row a match, so
 work is linear in the text and in its matches.
 
-Defined results: null text counts as empty and has no spans; repeated rows are answered one by one;
-spans order by start, then by the rule's place in the list, then by end. Extra columns are ignored.
+Defined results: null text counts as empty and has no spans; repeated rows are answered one by one, with
+or without doc_id; spans order by start, then by the rule's place in the list, then by end. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -90,8 +90,9 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
     if ledger is not None:
         pairs = pairs.join(ledger.select("blob", "rule"), ["blob", "rule"], "left_anti")
         first = first.join(pairs.select("blob").distinct(), "blob", "left_semi")
-    # doc_id spreads evenly where blob would not: copies of one text never meet in a task
-    texts = held.join(first.withColumnRenamed("blob", "first_blob"), "doc_id").where("blob = first_blob").select("blob", "text")
+    # doc_id spreads evenly where blob alone would not; a blob that only rows without doc_id hold is found by the null
+    named = first.select(F.col("blob").alias("first_blob"), F.col("doc_id").alias("first_id"))
+    texts = held.join(named, (F.col("blob") == F.col("first_blob")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("blob", "text")
     spans = scan_blobs(texts, rules)
     if ledger is not None:
         spans = spans.join(pairs, ["blob", "rule"], "left_semi")
