@@ -8,7 +8,8 @@ the lowest cross-entropy per symbol wins. A text is rejected when its cross-entr
 above the language's mean than a limit calibrated on labelled texts that the counts never saw.
 
 Defined results: a text that is null, empty or without letters gets `und`, score 0 and is rejected;
-equal entropies go to the language that sorts first; repeated rows are answered one by one; with no
+equal entropies go to the language that sorts first; a language with fewer than five calibration texts
+has no limit and rejects nothing; repeated rows are answered one by one; with no
 labelled row at all, every text is `und`. Extra columns of the input are ignored.
 """
 
@@ -33,10 +34,10 @@ ORDER = 5
 SAMPLE = 600
 #: Of those, one in so many only calibrates the rejection limit.
 CALIBRATION = 5
-#: The limit above the mean is the largest deviation among calibration texts times SLACK, or the way to
-#: the cross-entropy of letters drawn at random times FAR, whichever is more; short texts get SHORT / sqrt(n) besides.
+#: The limit above a language's mean is this quantile of all calibration texts' deviations from their own languages'
+#: means, less SHORT / sqrt(n) each (never below 0), times SLACK; a text of n symbols may lie SHORT / sqrt(n) farther.
+QUANTILE = 0.995
 SLACK = 1.2
-FAR = 0.75
 SHORT = 4.0
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _SCHEMA = "doc_id long, lang_pred string, score double, cross_entropy double, n_letters long, rejected boolean"
@@ -205,15 +206,19 @@ def train(counts: pd.DataFrame, calibration: pd.DataFrame) -> Model:
         model.contexts.append(contexts)
         model.backoff.append(back)
     model.mean, model.limit = np.zeros(len(langs)), np.full(len(langs), np.inf)
+    over, known = [], []
     for j, lang in enumerate(langs):
         own = calibration.loc[calibration["lang"] == lang, "text"].tolist()
-        alphabet = [c for c in dict.fromkeys("".join(counts.loc[counts["lang"] == lang, "word"].head(5000))) if c.isalpha()]
-        if own and alphabet:
+        if own:
             h, n = model.texts(own)
-            if (n > 0).sum() >= 5:
-                model.mean[j] = np.average(h[n > 0, j], weights=np.sqrt(n[n > 0]))
-                noise, _ = model.texts([" ".join("".join(w) for w in np.random.default_rng(j).choice(alphabet, (2000, 7)))])
-                model.limit[j] = max(SLACK * float(np.max(h[n > 0, j] - model.mean[j])), FAR * float(noise[0, j] - model.mean[j]))
+            h, n = h[n > 0, j], n[n > 0]
+            if len(n) >= 5:
+                model.mean[j] = np.average(h, weights=np.sqrt(n))
+                over.append(h - model.mean[j] - SHORT / np.sqrt(n))
+                known.append(j)
+    if known:
+        # one limit for all: a quantile so high needs more texts than one language has
+        model.limit[known] = SLACK * max(0.0, float(np.quantile(np.concatenate(over), QUANTILE)))
     return model
 
 
