@@ -342,23 +342,123 @@ def test_lm_score(docs, empty):
     assert lmscore.score(empty, crc_mod("doc_id", 10) == 0).count() == 0
 
 
+def lm_plain(rows, held, corpus, spelled, tables):
+    """A function of (words so far, class, is training, its own counts, token): the least and the largest that a token's
+    probability may be, as ratios are rounded down by a sixteenth of an octave at most. From plain dictionaries."""
+    import pyarrow as pa
+
+    names = sorted({lang for d, _, lang in rows if not held(d) and lang is not None})
+    kind = lambda lang: names.index(lang) + 1 if lang in names else 0
+    seq = lambda w: ["<", *w, ">"]
+    one, two, three = [collections.Counter() for _ in range(len(names) + 1)], collections.Counter(), collections.Counter()
+
+    def count(w):
+        x = seq(w)
+        return collections.Counter(x[1:]), collections.Counter(zip(x, x[1:])), collections.Counter(zip(x, x[1:], x[2:]))
+
+    for d, w, lang in rows:
+        if not held(d):
+            u, b, t = count(w)
+            one[kind(lang)] += u
+            two += b
+            three += t
+    size, starts, said = [sum(c.values()) for c in one], sum(not held(d) for d, *_ in rows), {}
+
+    def say(w):
+        if w not in said:
+            said[w] = 10.0 ** float(np.float32(spelled.score(pa.array(["" if w == ">" else w], pa.large_string()))[0]) if w != ">" else spelled.score(pa.array([""]))[0])
+        return said[w]
+
+    def walk(w, lang, train, tokens=None):
+        """For each token of seq(w), or for each of `tokens` as what comes after all words of w."""
+        u, b, t = count(w) if train else [collections.Counter()] * 3
+        own = kind(lang)
+        post, foreseen = np.log(corpus.prior), []
+        x = seq(w)
+        for i in range(1, len(x)):
+            asked = [x[i]] if tokens is None else tokens if i == len(x) - 1 else [x[i]]
+            out = []
+            for w_ in asked:
+                by = []
+                for k, c in enumerate(one):
+                    mine = train and k == own
+                    left = size[k] - (len(x) - 1) * mine
+                    e = corpus.spelled[k] if left > 0 else 1.0
+                    by.append((1 - e) * (c[w_] - u[w_] * mine) / max(left, 1) + e * say(w_))
+                by = np.array(by)
+                share = np.exp(post - post.max())
+                low = (share * by).sum() / share.sum()
+                n1 = starts - train if i == 1 else sum(c[x[i - 1]] for c in one) - u[x[i - 1]]
+                c1 = two[x[i - 1], w_] - b[x[i - 1], w_]
+                n2 = two[x[i - 2], x[i - 1]] - b[x[i - 2], x[i - 1]] if i > 1 else 0
+                c2 = three[x[i - 2], x[i - 1], w_] - t[x[i - 2], x[i - 1], w_] if i > 1 else 0
+                hits = sum(foreseen[-4:])
+                cell = lambda n, most: min(int(np.log2(n)), most - 1) * 5 + hits + 1 if n > 0 else 0
+                g1, g2 = tables[0][cell(n1, lmscore.LEVELS_ONE)], tables[1][cell(n2, lmscore.LEVELS_TWO)]
+                whole = [(1 - g2) * ((1 - g1) * low + g1 * c1 / max(n1, 1) * f) + g2 * c2 / max(n2, 1) * f for f in (2.0 ** (-1 / 16), 1.0)]
+                out.append(whole)
+            yield out
+            post = post + np.log(by)
+            foreseen.append(int(c2 > 0))
+
+    return walk, one
+
+
+def test_lm_score_by_hand(docs):
+    """Scores and their sum over all next tokens, against dictionaries."""
+    held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 10 == 0
+    _, gates, corpus, spelled = lmscore.prepare(docs, crc_mod("doc_id", 10) == 0)
+    tables = gates.table(0), gates.table(1)
+    rows = [(r.doc_id, WORD.findall((r.text or "").translate(FOLD)), r.lang) for r in docs.collect()]
+    walk, one = lm_plain(rows, held, corpus, spelled, tables)
+    want = collections.defaultdict(list)
+    for d, w, lang in rows:
+        steps = [x[0] for x in walk(w, lang, not held(d))]
+        want[d, len(w) + 1].append((sum(np.log10(a) for a, _ in steps), sum(np.log10(b) for _, b in steps)))
+    got = lmscore.score(docs, crc_mod("doc_id", 10) == 0).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert any(a - 1e-5 * r.n_tokens <= r.score <= b + 1e-5 * r.n_tokens for a, b in want[r.doc_id, r.n_tokens]), (r, want[r.doc_id, r.n_tokens])
+    every = sorted(set().union(*one) | {">"})
+    for w in (rows[0][1][:3], rows[1][1][:7], [], ["unheard", "of"]):
+        *_, last = walk(w, None, False, every)
+        assert sum(b for _, b in last) <= 1 + 1e-9
+        assert sum(b for _, b in last) >= 1 - corpus.spelled.max()
+    # two copies in training stand out from a text that occurs once
+    texts = collections.Counter(r.text for r in docs.collect() if r.doc_id is not None and not held(r.doc_id))
+    by_id = {r.doc_id: r.text for r in docs.collect()}
+    twice = [r.score / r.n_tokens for r in got if r.n_tokens > 20 and texts[by_id[r.doc_id]] > 1]
+    once = [r.score / r.n_tokens for r in got if r.n_tokens > 100 and r.n_tokens < 110 and texts[by_id[r.doc_id]] == 1]
+    assert twice and (not once or np.mean(twice) > np.mean(once))
+
+
 def test_lm_bits_are_a_distribution():
     import pyarrow as pa
 
-    table = np.zeros((1 << lmscore.SLOTS_BITS, 2), np.int64)
-    words = pa.array(["the", "then", "on", "a", ""], pa.large_string())
-    lmscore.add_counts(table, words, np.array([5, 2, 3, 1, 4]), 2)
-    model = lmscore.Model(lmscore._stretch(table[:, 0].astype(float), table[:, 1].astype(float)), lmscore.levels(table.sum(1)))
+    table = np.zeros((1 << 16, 2), np.uint16)
+    lmscore.add_counts(table, pa.array(["the", "then", "on", "a", ""], pa.large_string()))
+    model = lmscore.Spelled(table)
     # all first bytes together, given a blank or more bytes behind them, have probability one
     s = np.arange(256, dtype=np.uint8)
     total, ctx = np.zeros(256), lmscore.contexts(s, np.arange(256))
     for bit in range(8):
-        at = lmscore.all_slots(ctx, s, bit)
-        _, p, *_ = model.mixed(model.x[at], model.level[at[-2:]], bit)
+        got = model.counts[lmscore.all_slots(ctx, s, bit, model.bits)].astype(np.float32)
+        _, p, *_ = model.mixed(lmscore._stretch(got[..., 0], got[..., 1]), lmscore.levels(got[-2:].sum(2)), bit)
         total += np.log(np.where(lmscore.bit_of(s, bit) == 1, p, 1 - p))
     assert abs(np.exp(total).sum() - 1) < 1e-5
 
 
+def test_lm_columns_round_trip():
+    rng = np.random.default_rng(2)
+    for a in (np.zeros(0, np.int64), rng.integers(0, 3, 50), rng.integers(0, 1 << 60, 9).astype(np.uint64), rng.normal(size=7), np.array([2.5], np.float32)):
+        assert (lmscore.spread(lmscore.squeeze(a)) == a).all() and len(lmscore.spread(lmscore.squeeze(a))) == len(a)
+    for some in ([], ["a"], ["a", "é🙂", "b"]):
+        assert lmscore.unpack_words(lmscore.pack_words(some)) == some
+    keys = np.unique(rng.integers(0, 1 << 44, 1000).astype(np.uint64))
+    back = [lmscore.dealt_keys(i, raw, 7, 44) for i, _, _, raw in lmscore.deal(keys, 7, 44)]
+    assert (np.concatenate(back) == keys).all()
+
+
 def test_winnowing(spark, docs, empty):
     rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda x: (-1 if x[0] is None else x[0], x[1]))
     want = collections.Counter()
