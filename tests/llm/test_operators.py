@@ -89,7 +89,13 @@ def test_suffix_tree_nodes():
     order, shared = suffix_tree.subtree(rows)
     assert shared.tolist() == [0, 3, 2, 1, 0]
     assert sorted(suffix_tree.nodes(shared)) == [(1, 0, 3), (2, 0, 2), (3, 0, 1)]
-    assert suffix_tree.deep(shared, 3).tolist() == [0, 0, 1, 2, 3]
+    at = {(d, a, b): d for d, a, b in suffix_tree.nodes(shared)}
+    for depth in (1, 2, 3):
+        number = suffix_tree.below((order, shared), depth)[order].tolist()
+        # rows of one number are those below a node of the depth or more
+        for i in range(5):
+            for j in range(i):
+                assert (number[i] == number[j]) == any(d >= depth and a <= j and i <= b for d, a, b in at)
 
 
 def shingles(text, k):
@@ -438,12 +444,14 @@ def test_lm_bits_are_a_distribution():
     table = np.zeros((1 << 16, 2), np.uint16)
     lmscore.add_counts(table, pa.array(["the", "then", "on", "a", ""], pa.large_string()))
     model = lmscore.Spelled(table)
+    model.learn(pa.array(["the", "then", "on"], pa.large_string()))
     # all first bytes together, given a blank or more bytes behind them, have probability one
     s = np.arange(256, dtype=np.uint8)
-    total, ctx = np.zeros(256), lmscore.contexts(s, np.arange(256))
+    total, around = np.zeros(256), lmscore.regions(lmscore.contexts(s, np.arange(256)), model.bits)
+    x, level = model.tables()
     for bit in range(8):
-        got = model.counts[lmscore.all_slots(ctx, s, bit, model.bits)].astype(np.float32)
-        _, p, *_ = model.mixed(lmscore._stretch(got[..., 0], got[..., 1]), lmscore.levels(got[-2:].sum(2)), bit)
+        at = [r ^ lmscore.node_of(s, bit) for r in around]
+        _, p, *_ = model.mixed([x[i] for i in at], [level[i] for i in at[-2:]], bit)
         total += np.log(np.where(lmscore.bit_of(s, bit) == 1, p, 1 - p))
     assert abs(np.exp(total).sum() - 1) < 1e-5
 
