@@ -7,7 +7,10 @@ one, so about one suffix in fourteen, the one at each anchor, stands for all suf
 2. What is left is sent as real tokens: the suffix from the anchor (up to SPAN tokens, behind it what lies
    before the anchor in its windows). Each chunk of documents sends a distinct one once, with the smallest
    doc_id it has there, to the partition that the suffix's leading tokens name.
-3. A partition sorts its suffixes and finds for every window the smallest doc_id of equal ones, token by token.
+3. A partition sorts its suffixes, and what stands before them read backwards, each once, with the lengths of
+   their common prefixes. A window that begins f tokens before its anchor occurs again where the suffix shares
+   SPAN - f tokens forwards and f backwards: below one node of that depth in each of the two trees. The smallest
+   doc_id there is the window's.
 4. Each chunk takes its answers and removes the windows that a smaller doc_id has.
 Rows with a text that an earlier doc_id has whole are left out of this: all their windows go.
 
@@ -52,10 +55,26 @@ class Tokens:
 @dataclass
 class Partition:
     route: Callable[[np.ndarray], np.ndarray]  # suffixes (rows of SPAN tokens) -> partition
-    equal: Callable[[np.ndarray], np.ndarray]  # rows of tokens -> a class number for each, equal rows in one class
+    tree: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]  # rows of tokens -> their order, and the tokens each shares with the one before
     count: int
 
 
+def shared_with_last(rows: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """How many leading tokens each row in order shares with the one before it; 0 for the first."""
+    if len(order) < 2:
+        return np.zeros(len(order), np.int64)
+    same = rows[order[1:]] == rows[order[:-1]]
+    return np.r_[0, np.where(same.all(1), rows.shape[1], same.argmin(1))].astype(np.int64)
+
+
+def below(tree: tuple[np.ndarray, np.ndarray], depth: int) -> np.ndarray:
+    """For each row, the number of the highest node of that depth or more above it (or of its own leaf)."""
+    order, shared = tree
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(np.r_[True, shared[1:] < depth])[: len(order)] - 1
+    return out
+
+
 def _grams(h: np.ndarray) -> np.ndarray:
     """Hash of the GRAM = 16 + 8 tokens from each place on, by doubling."""
     size, kept = 1, {}
@@ -153,22 +172,22 @@ def distinct_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, inverse
 
 
-def _settle(rows: np.ndarray, doc: np.ndarray, equal: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _settle(rows: np.ndarray, doc: np.ndarray, tree: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """For each row its number of answers and all answers: the smallest doc of each of its windows, or one if all agree."""
-    cls = equal(rows)
-    n_cls = int(cls.max()) + 1
-    first = np.full(n_cls, len(cls))
-    np.minimum.at(first, cls, np.arange(len(cls)))
-    least = np.full(n_cls, _LAST)
+    order, shared = tree(rows)
+    heads = np.flatnonzero(np.r_[True, shared[1:] < rows.shape[1]])
+    cls = below((order, shared), rows.shape[1])
+    least = np.full(len(heads), _LAST)
     np.minimum.at(least, cls, doc)
-    kinds = rows[first]
-    gram = equal(kinds[:, :GRAM])
+    # distinct rows, numbered in order; the suffix comes first in a row, so this is the suffixes' order too
+    kinds, ahead = rows[order[heads]], (np.arange(len(heads)), shared[heads])
+    gram = below(ahead, GRAM)
     many = np.flatnonzero(np.bincount(gram)[gram] > 1)
-    size = np.ones(n_cls, np.int64)
+    size = np.ones(len(heads), np.int64)
     answer = {}
     if len(many):
         off, n = kinds[many, -2].astype(np.int64), kinds[many, -1].astype(np.int64)
-        line = np.concatenate([kinds[many][:, SPAN:-2], kinds[many][:, :SPAN]], 1)
+        behind = tree(np.ascontiguousarray(kinds[many, SPAN:-2][:, ::-1]))
         begin = np.cumsum(n) - n
         got = np.empty(int(n.sum()), np.int64)
         # equal windows lie equally far before their anchors, so each distance is a question of its own
@@ -176,10 +195,11 @@ def _settle(rows: np.ndarray, doc: np.ndarray, equal: Callable[[np.ndarray], np.
             own = np.flatnonzero((far <= off) & (far > off - n))
             if not len(own):
                 continue
-            w_cls = equal(np.ascontiguousarray(line[own, PLACES - 1 - far : PLACES - 1 - far + SPAN]))
-            w_least = np.full(int(w_cls.max()) + 1, _LAST)
-            np.minimum.at(w_least, w_cls, least[many][own])
-            got[begin[own] + off[own] - far] = w_least[w_cls]
+            node = below(ahead, SPAN - far)[many][own] * len(many) + below(behind, far)[own]
+            _, place = np.unique(node, return_inverse=True)
+            w_least = np.full(int(place.max()) + 1, _LAST)
+            np.minimum.at(w_least, place, least[many][own])
+            got[begin[own] + off[own] - far] = w_least[place]
         flat = np.minimum.reduceat(got, begin) == np.maximum.reduceat(got, begin)
         size[many] = np.where(flat, 1, n)
         answer = {int(m): got[b : b + (1 if f else k)] for m, b, k, f in zip(many, begin, n, flat)}
@@ -261,7 +281,7 @@ def remove(docs: DataFrame, read: Callable[[pd.Series], Tokens], partition: Call
         width = SPAN + PLACES + 1
         kind = np.uint8 if len(frame["keys"].iloc[0]) == len(doc[0]) * width else np.uint64
         rows = np.concatenate([np.frombuffer(x, kind).reshape(-1, width) for x in frame["keys"]])
-        n, values = _settle(rows, np.concatenate(doc), part.equal)
+        n, values = _settle(rows, np.concatenate(doc), part.tree)
         row_end = np.cumsum([len(d) for d in doc])
         value_end = np.r_[0, np.cumsum(n)][row_end]
         row_at, value_at = np.r_[0, row_end[:-1]], np.r_[0, value_end[:-1]]

@@ -1,7 +1,8 @@
 """Substring removal by a sorted array of suffixes, in bytes.
 
-Suffixes are range-partitioned by their leading bytes with splitters from a bounded, hash-drawn sample; each
-partition sorts its own by multikey quicksort on eight-byte digits, looking only at suffixes still tied.
+Suffixes are range-partitioned by their leading bytes with splitters from a hash-drawn sample that grows with the
+number of partitions; each partition sorts its own by multikey quicksort on eight-byte digits, looking only at
+suffixes still tied, and takes the lengths of common prefixes of neighbours.
 Suffixes whose GRAM leading bytes are equal are never parted by a splitter (a tie goes to the right), and the
 windows of one anchor are equal only if those bytes are, so no comparison across a boundary is left over.
 See repeats for which suffixes are sorted and how answers return.
@@ -22,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .repeats import GRAM, SPAN, Partition, Tokens, anchors, remove
+from .repeats import GRAM, SPAN, Partition, Tokens, anchors, remove, shared_with_last
 
-#: Documents, and suffixes of each, that the splitters are drawn from (expected).
-SAMPLE_DOCS = 2000
+#: Documents that the splitters are drawn from (expected): so many at least, and so many for each partition; and suffixes of each.
+SAMPLE_DOCS, SAMPLE_DOCS_EACH = 2000, 1
 SAMPLE_EACH = 32
 _TABLE = np.random.default_rng(9).integers(1, 2**63, 256, dtype=np.uint64)
 
@@ -58,18 +59,17 @@ def multikey(digits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, new
 
 
-def equal(rows: np.ndarray) -> np.ndarray:
+def sorted_suffixes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows of bytes, and how many leading bytes each shares with the one before it."""
     wide = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
     wide[:, : rows.shape[1]] = rows
-    order, new = multikey(wide.view(">u8").astype(np.uint64))
-    out = np.empty(len(rows), np.int64)
-    out[order] = np.cumsum(new) - 1
-    return out
+    order, _ = multikey(wide.view(">u8").astype(np.uint64))
+    return order, shared_with_last(rows, order)
 
 
-def sample(docs: DataFrame, reader, width: int) -> np.ndarray:
-    """Leading tokens of a bounded number of anchors' suffixes."""
-    chance = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
+def sample(docs: DataFrame, reader, width: int, count: int) -> np.ndarray:
+    """Leading tokens of some anchors' suffixes: an expected number for each of `count` partitions."""
+    chance = min(1.0, max(SAMPLE_DOCS, SAMPLE_DOCS_EACH * count) / max(1, docs.count()))
     drawn = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < int(chance * (1 << 30))).select(F.coalesce("text", F.lit("")).alias("text"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -89,14 +89,14 @@ def sample(docs: DataFrame, reader, width: int) -> np.ndarray:
 
 
 def partition(docs: DataFrame, count: int) -> Partition:
-    heads = np.sort(sample(docs, read, GRAM).astype(f"S{GRAM}")) if count > 1 else np.zeros(0, f"S{GRAM}")
+    heads = np.sort(sample(docs, read, GRAM, count).astype(f"S{GRAM}")) if count > 1 else np.zeros(0, f"S{GRAM}")
     splitters = np.unique(heads[np.arange(1, count) * len(heads) // count]) if len(heads) else heads
 
     def route(suffixes: np.ndarray) -> np.ndarray:
         lead = np.ascontiguousarray(suffixes[:, :GRAM]).view(f"S{GRAM}").ravel()
         return np.searchsorted(splitters, lead, side="right") if len(splitters) else np.zeros(len(lead), np.int64)
 
-    return Partition(route, equal, len(splitters) + 1)
+    return Partition(route, sorted_suffixes, len(splitters) + 1)
 
 
 def finish(t: Tokens, k: int, gone: np.ndarray) -> tuple:
@@ -114,4 +114,4 @@ def cleaned(docs: DataFrame) -> DataFrame:
     return remove(docs, read, partition, "kept binary", lambda t, k, gone: (t.kept(k, gone),))
 
 
-__all__ = ["SPAN", "cleaned", "dedup", "equal", "multikey", "partition", "sample"]
+__all__ = ["SPAN", "cleaned", "dedup", "multikey", "partition", "sample", "sorted_suffixes"]

@@ -1,11 +1,13 @@
 """Substring removal by prefix-partitioned suffix trees, in words [^\\x20\\x09-\\x0D]+.
 
-Suffixes go to groups by prefixes of variable length: a prefix that a bounded, hash-drawn sample shows to be
-too frequent for a task's memory is split by its next word, and so on, so groups stay of a size. A group's
-suffix tree is held as its sorted suffixes with the lengths of their common prefixes: an internal node is an
-interval of suffixes whose neighbours all share its depth. Nodes at least SPAN deep are the repeats, and the
-smallest doc_id below a node is the window's first document. Words are compared by 64-bit SipHash, whole
-sequences word by word. See repeats for which suffixes enter and how answers return.
+Suffixes go to groups by prefixes of variable length: a prefix that a hash-drawn sample, which grows with the number
+of groups, shows to be too frequent for a group is split by its next word, and so on, so groups stay of a size. A
+group's suffix tree is held as its sorted suffixes with the lengths of their common prefixes: an internal node is an
+interval of suffixes whose neighbours all share its depth. A second tree holds what stands before the suffixes, read
+backwards. A window is a repeat where it lies below a node at least as deep as its part of the suffix in the first
+tree and one as deep as the rest in the second, together SPAN words; the smallest doc_id below both is the window's
+first document. Words are compared by 64-bit SipHash, whole sequences word by word. See repeats for which suffixes
+enter and how answers return.
 
 Defined results: null text has no words; a text of fewer than SPAN words loses nothing; copies of a text lose
 all of it but for the smallest doc_id; rows with one doc_id never remove each other; a null doc_id comes after
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from . import words
 from .jaccard import mixed, word_hashes
-from .repeats import GRAM, SPAN, Partition, Tokens, remove
+from .repeats import GRAM, SPAN, Partition, Tokens, below, remove, shared_with_last
 from .suffix_array import multikey, sample
 
 #: Words that a prefix may have.
@@ -42,10 +44,8 @@ def read(texts: pd.Series) -> Tokens:
 
 def subtree(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The suffixes' order, and how many leading words each shares with the one before it."""
-    order, new = multikey(rows)
-    same = rows[order[1:]] == rows[order[:-1]]
-    shared = np.where(same.all(1), rows.shape[1], same.argmin(1)) if len(order) > 1 else np.zeros(0, np.int64)
-    return order, np.r_[0, shared].astype(np.int64)
+    order, _ = multikey(rows)
+    return order, shared_with_last(rows, order)
 
 
 def nodes(shared: np.ndarray) -> list[tuple[int, int, int]]:
@@ -62,20 +62,8 @@ def nodes(shared: np.ndarray) -> list[tuple[int, int, int]]:
     return out
 
 
-def deep(shared: np.ndarray, depth: int) -> np.ndarray:
-    """For each suffix in order, the number of the highest node of that depth or more above it (or of its own leaf)."""
-    return np.cumsum(np.r_[True, shared[1:] < depth]) - 1
-
-
-def equal(rows: np.ndarray) -> np.ndarray:
-    order, shared = subtree(rows)
-    out = np.empty(len(rows), np.int64)
-    out[order] = deep(shared, rows.shape[1])
-    return out
-
-
 def partition(docs: DataFrame, count: int) -> Partition:
-    heads = sample(docs, read, DEEPEST)
+    heads = sample(docs, read, DEEPEST, count)
     heads = np.stack([np.frombuffer(h, np.uint64, DEEPEST) for h in heads if len(h) >= 8 * DEEPEST]) if len(heads) else np.zeros((0, DEEPEST), np.uint64)
     most, split, prefix = max(8, len(heads) // (4 * count)), [], np.full(len(heads), 3, np.uint64)
     for depth in range(DEEPEST - 1):
@@ -95,7 +83,7 @@ def partition(docs: DataFrame, count: int) -> Partition:
             prefix[going] = mixed(prefix[going], suffixes[going, depth + 1])
         return (prefix % np.uint64(count)).astype(np.int64)
 
-    return Partition(route, equal, count)
+    return Partition(route, subtree, count)
 
 
 def finish(t: Tokens, k: int, gone: np.ndarray) -> tuple:
@@ -112,4 +100,4 @@ def cleaned(docs: DataFrame) -> DataFrame:
     return remove(docs, read, partition, "kept string", lambda t, k, gone: (t.kept(k, gone).decode("utf-8", "surrogatepass"),))
 
 
-__all__ = ["GRAM", "SPAN", "cleaned", "dedup", "deep", "equal", "nodes", "partition", "subtree"]
+__all__ = ["GRAM", "SPAN", "below", "cleaned", "dedup", "nodes", "partition", "subtree"]
