@@ -8,18 +8,16 @@ Two sets of similarity t or more share at least m of the first n - ceil(t n) + m
 each document's own choice: the prefix is lengthened, and more shared shingles are asked for, while the
 estimated cost of its lists and candidates falls. A pair is a candidate when it shares min(m, m').
 
-Only components are wanted, so candidates are looked at in two passes. First every document is held
-against the hubs of its prefix's lists (one for each shingle and size class), and links verified there are
-united. Then all candidates that still lie in different components are looked at, so no link between
-components is lost: pairs of short lists one by one; documents that long lists tie together as a cluster, in
-pairs of blocks, where sketches rule out most pairs, and only a spanning forest of the verified links goes on.
-So the pairs inside a group of copies are never spelled out. Verification compares whole sets:
-100 * intersection >= percent * union.
+All candidates are looked at, so no link is lost: pairs of short lists one by one; documents that long lists tie
+together as a cluster, in pairs of blocks, where a product of the blocks' incidence matrices gives every
+intersection at once. Pairs inside a cluster are never spelled out: a block sends on each document's number of
+links and a spanning forest of them. Verification compares whole sets: 100 * intersection >= percent * union.
 
 Defined results: null texts, empty texts and texts without words have no shingle and link with nothing;
 fewer words than the shingle length make one shingle of the whole sequence; a doc_id that occurs in several
-rows gets a row each, judged by the row's own text; a row without doc_id gets the component of an equal set, or
-null. Extra columns are ignored.
+rows gets a row each, judged by the row's own text; a row without doc_id gets the component and the links of an
+equal set, or null and none. Links are counted in documents (rows): equal sets link with each other. Extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import census, words
-from .common import cut
+from .common import cut, salted_join
 from .components import components
 
 #: How many times the longest share of a set that a prefix for one match takes is ordered by document frequency.
@@ -42,10 +40,10 @@ RANKED = 2.1
 MOST_MATCHES = 4
 #: Lists up to this length have their pairs spelled out.
 SHORT = 16
-#: Members of a cluster's block, expected; two blocks meet in a task.
-CLUSTER_BLOCK = 1000
-#: Bits of the parity sketch that rules out pairs within a cluster.
-SKETCH = 1024
+#: Members of a cluster's block, and shingles of all its sets, expected at most; two blocks meet in a task.
+CLUSTER_BLOCK, CLUSTER_SHINGLES = 2500, 1_500_000
+#: Shingles whose columns of two blocks' incidence matrices are multiplied at a time.
+COLUMNS = 2048
 #: Ids (with a 32-letter signature each, some 30 MB in all) that are broadcast at most.
 SENT = 200_000
 BLOCK_BYTES = 6_000_000
@@ -97,19 +95,19 @@ def _sums(doc: np.ndarray, s: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray,
 
 
 def sized(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n, sig: the set's size and a 128-bit sum over its shingles (null where empty), row by row."""
+    """doc_id, text_hash, n, sig: the set's size and a 128-bit sum over its shingles (null where empty), row by row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             frame = pd.DataFrame({"text": batch.column("text").to_pylist()})
-            ids = batch.column("doc_id").cast(pa.int64())
+            ids, hashed = batch.column("doc_id").cast(pa.int64()), batch.column("text_hash")
             for rows, doc, s in _sets(frame, k):
                 n, x, y = _sums(doc, s, rows)
                 sig = [f"{a:016x}{b:016x}" if c else None for a, b, c in zip(x.tolist(), y.tolist(), n.tolist())]
-                yield pa.RecordBatch.from_arrays([ids.slice(int(rows[0]), len(rows)), pa.array(n, pa.int64()), pa.array(sig, pa.string())], ["doc_id", "n", "sig"])
+                yield pa.RecordBatch.from_arrays([ids.slice(int(rows[0]), len(rows)), hashed.slice(int(rows[0]), len(rows)), pa.array(n, pa.int64()), pa.array(sig, pa.string())], ["doc_id", "text_hash", "n", "sig"])
         words.release()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sig string")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n long, sig string")
 
 
 def _prefixes(n: np.ndarray, percent: int) -> np.ndarray:
@@ -229,87 +227,95 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * same >= percent * (len(x) + len(y) - same)
 
 
-def spanning(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """A forest of verified links between the components of two blocks (or within one): doc_id, component,
-    block, shingles. Sets whose parity sketches differ in more bits than linked sets may differ in
-    shingles cannot link; the rest is compared whole unless its ends are joined already."""
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the links and the smallest node each can reach along them."""
+    nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = flat[: len(a)], flat[len(a) :]
+    low = np.arange(len(nodes))
+    while True:
+        new = low.copy()
+        np.minimum.at(new, x, low[y])
+        np.minimum.at(new, y, low[x])
+        new = new[new]
+        if (new == low).all():
+            return nodes, nodes[low]
+        low = new
+
+
+def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every left with every right set."""
+    sets = left + right
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[column]  # a shingle of one set alone meets nothing
+    row, number = row[number >= 0], number[number >= 0]
+    order = np.argsort(number, kind="stable")
+    row, number = row[order], number[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for a in range(0, int(number[-1]) + 1 if len(number) else 0, COLUMNS):
+        part = slice(*np.searchsorted(number, [a, a + COLUMNS]))
+        held = np.zeros((len(sets), COLUMNS), np.float32)
+        held[row[part], number[part] - a] = 1
+        out += held[: len(left)] @ held[len(left) :].T
+    return out
+
+
+def meet(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Of two blocks (or one with itself): rows (doc, null, number of documents linked) and a forest of links (a, b, 0)."""
     frame = frame.drop_duplicates(["doc_id", "block"]).sort_values(["block", "doc_id"], ignore_index=True)
+    ids, block, weight = frame["doc_id"].to_numpy(np.int64), frame["block"].to_numpy(), frame["weight"].to_numpy(np.int64)
     sets = [np.frombuffer(x, np.uint64) for x in frame["shingles"]]
-    n = np.array([len(x) for x in sets], np.float32)
-    bits = np.zeros((len(sets), SKETCH), np.float32)
-    for i, x in enumerate(sets):
-        bits[i] = np.bincount((x >> np.uint64(20)).astype(np.int64) & (SKETCH - 1), minlength=SKETCH) & 1
-    block = frame["block"].to_numpy()
+    n = np.array([len(x) for x in sets], np.int64)
     left = np.flatnonzero(block == block[0])
-    right = np.flatnonzero(block != block[0]) if block[-1] != block[0] else left
-    weight = bits.sum(1)
-    apart = weight[left][:, None] + weight[right][None] - 2 * bits[left] @ bits[right].T
-    names, root = np.unique(frame["component"].to_numpy(), return_inverse=True)
-    may = (apart <= (n[left][:, None] + n[right][None]) * ((100 - percent) / (100 + percent)) + 1e-3) & (root[left][:, None] != root[right][None])
-    i, j = np.nonzero(may)
-    order = np.argsort(apart[i, j], kind="stable")
-    i, j = left[i[order]], right[j[order]]
-    lead = np.arange(len(names))
-
-    def find(x: int) -> int:
-        while lead[x] != x:
-            lead[x] = lead[lead[x]]
-            x = lead[x]
-        return x
-
-    ids, out = frame["doc_id"].to_numpy(), []
-    for a in range(0, len(i), 4096):
-        tops = np.array([find(x) for x in range(len(names))])
-        x, y = i[a : a + 4096], j[a : a + 4096]
-        open_ = tops[root[x]] != tops[root[y]]
-        for u, v in zip(x[open_].tolist(), y[open_].tolist()):
-            p, q = find(root[u]), find(root[v])
-            if p != q and similar(sets[u], sets[v], percent):
-                lead[p] = q
-                out.append((ids[u], ids[v]))
-    return pd.DataFrame(out, columns=["a", "b"])
+    alone = block[-1] == block[0]
+    right = left if alone else np.flatnonzero(block != block[0])
+    same = intersections([sets[i] for i in left], [sets[i] for i in right]).astype(np.int64)
+    linked = 100 * same >= percent * (n[left][:, None] + n[right][None] - same)
+    if alone:
+        np.fill_diagonal(linked, False)
+    i, j = np.nonzero(linked)
+    count = np.bincount(left[i], weights=weight[right[j]], minlength=len(ids))
+    if not alone:
+        count += np.bincount(right[j], weights=weight[left[i]], minlength=len(ids))
+    some = np.flatnonzero(count)
+    nodes, low = forest(ids[left[i]], ids[right[j]])
+    nodes, low = nodes[nodes != low], low[nodes != low]
+    words.release()
+    return pd.DataFrame({"a": np.r_[ids[some], nodes], "b": pd.array([None] * len(some) + low.tolist(), "Int64"), "links": np.r_[count[some].astype(np.int64), np.zeros(len(nodes), np.int64)]})
 
 
 def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id; one row for each input row."""
+    """doc_id, n_shingles, component_id, n_links, text_hash (xxhash64); one row for each input row."""
     sets = cut(sized(docs, k))
     docs = docs.where("doc_id IS NOT NULL")
-    classes = sets.where("sig IS NOT NULL AND doc_id IS NOT NULL").groupBy("sig", "n").agg(F.min("doc_id").alias("doc_id"))
+    classes = cut(sets.where("sig IS NOT NULL").groupBy("sig", "n").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("weight")).where("doc_id IS NOT NULL"))
     listed = cut(postings(docs, classes, k, percent))
-    # pass 1: each document against the hubs of its lists
-    level = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).alias("level")
-    placed = listed.select("*", level)
-    hubs = placed.groupBy("token", "level").agg(F.min("doc_id").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    votes = placed.join(hubs.select("token", "level", "hub"), ["token", "level"]).where("doc_id <> hub").groupBy("doc_id", "hub").agg(F.count("*").alias("votes"))
-    top = votes.groupBy("doc_id").agg(F.max(F.struct("votes", -F.col("hub"))).alias("t"))
-    tried = cut(top.select((-F.col("t.col2")).alias("a"), F.col("doc_id").alias("b")))
-    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    links = cut(verified(tried, cut(held_sets(ends(tried), docs, classes, k)), percent))
-    united = components(links)
-    # pass 2: candidates whose ends still lie apart
-    apart = listed.join(united.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed_lists = apart.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.min("doc_id").alias("hub")).where("lo < hi")
-    apart = cut(apart.join(mixed_lists.select("token", "size", "hub"), "token"))
+    lists = listed.groupBy("token").agg(F.count("*").alias("size"), F.min("doc_id").alias("hub")).where("size > 1")
+    listed = cut(listed.join(lists, "token"))
+    # documents that long lists tie together form a cluster, looked through in pairs of blocks
+    tied = components(listed.where((F.col("size") > SHORT) & (F.col("doc_id") != F.col("hub"))).select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct())
+    weights = classes.groupBy("doc_id").agg(F.sum("weight").alias("weight"), F.max("n").alias("n"))
+    tied = tied.withColumnRenamed("node", "doc_id").withColumnRenamed("component", "cluster").join(weights, "doc_id")
+    blocks = F.greatest(F.ceil(F.count("*") / CLUSTER_BLOCK), F.ceil(F.sum("n") / CLUSTER_SHINGLES))
+    count = tied.groupBy("cluster").agg(blocks.alias("blocks"))
+    members = cut(salted_join(tied, count, "cluster", "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks")))
     # short lists: their pairs are spelled out, and must share as many shingles as both prefixes ask
-    short = apart.where(F.col("size") <= SHORT)
-    left = short.select("token", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("component").alias("ca"))
-    right = short.select("token", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("m").alias("mb"), F.col("component").alias("cb"))
-    rest = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _near_size("na", "nb", percent))
-    rest = rest.groupBy("a", "b").agg(F.count("*").alias("shared"), F.least(F.first("ma"), F.first("mb")).alias("m")).where("shared >= m").select("a", "b")
-    seen = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = cut(rest.join(seen, ["a", "b"], "left_anti"))
-    # long lists: documents that they tie together form a cluster, looked through in pairs of blocks
-    long = apart.where(F.col("size") > SHORT)
-    tied = components(long.where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct())
-    count = tied.groupBy("component").agg(F.ceil(F.count("*") / CLUSTER_BLOCK).alias("blocks"))
-    members = tied.join(count, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("block"))
-    members = cut(members.join(united.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
-    held = cut(held_sets(ends(rest).unionByName(members.select("doc_id")), docs, classes, k))
-    more = verified(rest, held, percent)
+    short = listed.where(F.col("size") <= SHORT)
+    left = short.select("token", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"))
+    right = short.select("token", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("m").alias("mb"))
+    pairs = left.join(right, "token").where((F.col("a") < F.col("b")) & _near_size("na", "nb", percent))
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.least(F.min("ma"), F.min("mb")).alias("m")).where("shared >= m").select("a", "b")
+    of = lambda end: members.select(F.col("doc_id").alias(end), F.col("cluster").alias(f"c{end}"))
+    pairs = cut(pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("NOT coalesce(ca = cb, false)").select("a", "b"))
+    held = cut(held_sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(members.select("doc_id")), docs, classes, k))
+    found = cut(verified(pairs, held, percent))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    dealt = members.join(held, "doc_id").withColumn("other", other).select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc_id", "component", "shingles")
-    forest = dealt.groupBy("cluster", "lo", "hi").applyInPandas(lambda frame: spanning(frame, percent), "a long, b long")
-    more = cut(more.unionByName(forest))
-    final = components(links.unionByName(more))
-    reached = classes.select("sig", "n", F.col("doc_id").alias("node")).join(final, "node", "left").select("sig", "n", F.coalesce("component", "node").alias("component_id"))
-    return sets.join(reached, ["sig", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    dealt = members.join(held, "doc_id").withColumn("other", other).select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc_id", "weight", "shingles")
+    met = cut(dealt.groupBy("cluster", "lo", "hi").applyInPandas(lambda frame: meet(frame, percent), "a long, b long, links long"))
+    joined = components(found.unionByName(met.where("b IS NOT NULL").select("a", "b")))
+    weigh = lambda one, two: found.select(F.col(one).alias("node"), F.col(two).alias("doc_id")).join(weights.select("doc_id", "weight"), "doc_id").select("node", F.col("weight").alias("links"))
+    counted = weigh("a", "b").unionByName(weigh("b", "a")).unionByName(met.where("b IS NULL").select(F.col("a").alias("node"), "links")).groupBy("node").agg(F.sum("links").alias("links"))
+    reached = classes.withColumnRenamed("doc_id", "node").join(joined, "node", "left").join(counted, "node", "left")
+    reached = reached.select("sig", F.coalesce("component", "node").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    out = salted_join(sets, reached, "sig", "doc_id", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "text_hash")

@@ -4,14 +4,17 @@ Only vectors of one label are compared. Equal vectors form a class, and classes
 about SHARD by a hash; each shard gets its own layered graph, written once. Every class then queries every
 shard of its label, in blocks of about BLOCK queries that meet one graph at a time. A query walks down the
 layers, holds a beam on the lowest one and, from what it finds, spreads to all nodes near the limit. A
-block's audit compares a hash-drawn part of its queries with the whole shard; while fewer than RECALL of the
-true links are found, beams double, at last to the whole shard. Links are verified by cosine in double
-precision. A block sends on, for each query, its number of links and a spanning forest of what they join,
-so pairs inside a group of copies are never spelled out.
+block's audit compares a hash-drawn part of its queries with the whole shard, and more of them until it has
+seen TRUE_LINKS true links or all queries; while fewer than RECALL of the true links are found, beams double, at
+last to the whole shard. Links are verified by cosine in double precision, after scaling each vector by a power
+of two. A block sends on, for each query, its number of links and a spanning forest of what they join, so pairs
+inside a group of copies are never spelled out.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and vectors
 without a label, link with nothing; vectors of different lengths are not compared; equal vectors link with
-each other; repeated rows count as vectors of their own; extra columns are ignored.
+each other; repeated rows count as vectors of their own; a row without vec_id links as any other, its component
+is the smallest vec_id it reaches, null if there is none (it is then kept); a label may have any type that has a
+text form; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,19 +24,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, salted_join
 from .components import components
+from .jaccard import forest
 
 SHARD = 8192
 BLOCK = 4096
 LINKS = 16
 BEAM = 48
 RECALL = 0.99
+#: Queries audited at first, and true links that an audit wants to see.
 AUDIT = 192
+TRUE_LINKS = 100
 #: Spreading goes on through nodes this far below the limit.
 SLOPE = 0.04
 STEP = 256
-GRAPH = "label int, dim int, shard long, ids binary, weights binary, vectors binary, levels binary, edges binary"
+GRAPH = "label string, dim int, shard long, ids binary, weights binary, vectors binary, levels binary, edges binary"
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -184,12 +190,14 @@ class Graph:
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(v, np.float64) for v in column])
+    """The vectors in double precision, each scaled by a power of two so that no square overflows or vanishes."""
+    x = np.stack([np.asarray(v, np.float64) for v in column])
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
 
 
 def _build(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    frame = frame.sort_values("rep", ignore_index=True)
-    x, ids = _matrix(frame["embedding"]), frame["rep"].to_numpy(np.int64)
+    frame = frame.sort_values("node", ignore_index=True)
+    x, ids = _matrix(frame["embedding"]), frame["node"].to_numpy(np.int64)
     graph = Graph(_unit(x), Graph.levels_of(ids))
     return pd.DataFrame({"label": [key[0]], "dim": [key[1]], "shard": [key[2]], "ids": [ids.tobytes()], "weights": [frame["weight"].to_numpy(np.int64).tobytes()], "vectors": [x.tobytes()], "levels": [graph.levels.tobytes()], "edges": [b"".join(e.tobytes() for e in graph.edges)]})
 
@@ -206,53 +214,43 @@ def _load(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, Graph]:
 
 
 def search(graph: Graph, q: np.ndarray, ids: np.ndarray, limit: float) -> list[np.ndarray]:
-    """Nodes linked with each query; beams widen until the audit of a hash-drawn part of the queries passes."""
-    drawn = np.argsort(pd.util.hash_array(ids), kind="stable")[:AUDIT]
-    truth = q[drawn] @ graph.x.T >= limit
+    """Nodes linked with each query; beams widen until the audit of hash-drawn queries passes."""
+    order, drawn = np.argsort(pd.util.hash_array(ids), kind="stable"), AUDIT
+    truth = q[order[:drawn]] @ graph.x.T >= limit
+    while truth.sum() < TRUE_LINKS and drawn < len(q):
+        truth = np.concatenate([truth, q[order[drawn : 2 * drawn]] @ graph.x.T >= limit])
+        drawn *= 2
     width = BEAM
     while True:
         found = graph.within(q, limit - 1e-12, width)
-        hit = sum(int(truth[i, found[d]].sum()) for i, d in enumerate(drawn))
+        hit = sum(int(truth[i, found[d]].sum()) for i, d in enumerate(order[:drawn]))
         if hit >= RECALL * truth.sum() or width >= len(graph.x):
             return found
         width = min(2 * width, len(graph.x))
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes of the links and the smallest node each can reach along them."""
-    nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = flat[: len(a)], flat[len(a) :]
-    low = np.arange(len(nodes))
-    while True:
-        new = low.copy()
-        np.minimum.at(new, x, low[y])
-        np.minimum.at(new, y, low[x])
-        new = new[new]
-        if (new == low).all():
-            return nodes, nodes[low]
-        low = new
-
-
 def link(vectors: DataFrame, limit: float = 0.98) -> DataFrame:
     """vec_id, n_links, component_id, kept; one row for each input row."""
     bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     some = F.exists("embedding", lambda v: v != 0)
     fine = F.coalesce(F.col("label").isNotNull() & (F.size("embedding") > 0) & ~bad & some, F.lit(False))
-    rows = vectors.select("vec_id", "label", "embedding", fine.alias("fine"))
-    classes = cut(rows.where("fine").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")).withColumn("dim", F.size("embedding")))
+    rows = vectors.select("vec_id", F.col("label").cast("string").alias("label"), "embedding", fine.alias("fine"))
+    classes = rows.where("fine").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
+    # a class that only rows without vec_id hold gets a number far below any id
+    classes = cut(classes.withColumn("node", F.coalesce("rep", F.lit(-(2**63)) + F.monotonically_increasing_id())).withColumn("dim", F.size("embedding")))
     count = classes.groupBy("label", "dim").agg(F.count("*").alias("n")).select("label", "dim", F.ceil(F.col("n") / SHARD).alias("shards"), F.ceil(F.col("n") / BLOCK).alias("blocks"))
     dealt = classes.join(count, ["label", "dim"])
     key = ["label", "dim", "shard"]
-    graphs = cut(dealt.withColumn("shard", F.pmod(F.xxhash64("rep"), F.col("shards"))).groupBy(*key).applyInPandas(_build, GRAPH))
+    graphs = cut(dealt.withColumn("shard", F.pmod(F.xxhash64("node"), F.col("shards"))).groupBy(*key).applyInPandas(_build, GRAPH))
     asked = graphs.join(count.select("label", "dim", "blocks"), ["label", "dim"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    asks = dealt.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks"))).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))).select(*key, "block", "rep", "embedding")
+    asks = dealt.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks"))).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))).select(*key, "block", "node", "embedding")
 
     def run(graph_rows: pd.DataFrame, frame: pd.DataFrame) -> pd.DataFrame:
         if not len(graph_rows) or not len(frame):
             return pd.DataFrame({"node": [], "low": [], "links": []}).astype("int64")
         ids, weights, x, graph = _load(graph_rows.iloc[0])
-        frame = frame.sort_values("rep", ignore_index=True)
-        own, q = frame["rep"].to_numpy(np.int64), _matrix(frame["embedding"])
+        frame = frame.sort_values("node", ignore_index=True)
+        own, q = frame["node"].to_numpy(np.int64), _matrix(frame["embedding"])
         norm, norms = np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1)
         links, a, b = np.zeros(len(own), np.int64), [], []
         for i, near in enumerate(search(graph, _unit(q), own, limit)):
@@ -274,8 +272,10 @@ def link(vectors: DataFrame, limit: float = 0.98) -> DataFrame:
     told = cut(asked.groupBy(*key, "block").cogroup(asks.groupBy(*key, "block")).applyInPandas(lambda g, f: run(g, f), "node long, low long, links long"))
     counted = told.groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(told.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")))
-    by_class = classes.join(counted.withColumnRenamed("node", "rep"), "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-    by_class = by_class.select("label", "embedding", (F.col("links") + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    by_class = classes.join(counted, "node").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # a component is named by its smallest vec_id; its classes are added up before they are dealt
+    names = by_class.groupBy("component").agg(F.min("rep").alias("component_id"))
+    by_class = salted_join(by_class, names, "component", "node").select("label", "embedding", (F.col("links") + F.col("weight") - 1).alias("n_links"), "component_id")
     whole = rows.where("fine").join(by_class, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     alone = rows.where(~F.col("fine")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return whole.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
