@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import jaccard, langid, lmscore, mixing, neardup, packing, secrets, suffix_array, suffix_tree, winnow
-from .common import crc_mod, table
+from .common import crc_mod, cut, table
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,12 +17,15 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    findings, _ = secrets.scan(table(spark, sf_dir, "documents"))
+    """Two scans by one ledger: the base rules first; then, as when rules are added, only their pairs are new."""
+    docs = table(spark, sf_dir, "documents")
+    _, ledger = secrets.scan(docs, rules=tuple(r for r in secrets.RULES if r.base))
+    findings, _ = secrets.scan(docs, cut(ledger))
     return secrets.digest(findings)
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.link(table(spark, sf_dir, "documents"), k=3, percent=90)
+    return jaccard.link(table(spark, sf_dir, "documents"), k=3, percent=90).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Every distinct text is a blob, addressed by its SHA-256. The ledger records which (blob, rule) pairs
 have been scanned and the spans found; a scan reads one document for each blob that some rule has not
-seen, and joins the spans back to every document that holds the blob. A rule's name carries its version,
-so a changed rule is a new pair for every blob.
+seen, with those rules alone, and joins the spans back to every document that holds the blob. A rule's name
+carries its version, so a changed rule is a new pair for every blob.
 
 Offsets are code points, ends exclusive. A rule keeps the leftmost non-overlapping matches of its
 pattern and then drops those whose measured group is too short. Positions come from the running length
@@ -69,8 +69,10 @@ def _matches(text: str, rule: Rule):
 
 
 def scan_blobs(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """blob, rule, kind, place, start, end: a row for each span of each distinct blob of texts (blob, text)."""
-    one = lambda i, r: F.struct(F.lit(r.key).alias("rule"), F.lit(r.kind).alias("kind"), F.lit(i).alias("place"), F.lit(r.least).alias("least"), _matches("text", r).alias("found"))
+    """blob, rule, kind, place, start, end: a row for each span of each distinct blob of texts (blob, text, unseen:
+    the rules, by key, that are to look at it; no other rule does)."""
+    own = lambda r: F.when(F.array_contains("unseen", r.key), _matches("text", r)).otherwise(F.array().cast(_MATCH))
+    one = lambda i, r: F.struct(F.lit(r.key).alias("rule"), F.lit(r.kind).alias("kind"), F.lit(i).alias("place"), F.lit(r.least).alias("least"), own(r).alias("found"))
     laid = texts.select("blob", F.explode(F.array(*[one(i, r) for i, r in enumerate(rules)])).alias("x")).where("size(x.found) > 0")
     rows = laid.select("blob", "x.rule", "x.kind", "x.place", "x.least", F.posexplode("x.found").alias("nth", "m")).dropDuplicates(["blob", "rule", "nth"])
     so_far = Window.partitionBy("blob", "rule").orderBy("nth")
@@ -85,17 +87,16 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
     The ledger has a row for each scanned (blob, rule), with `spans`, an array of (place, kind, start,
     end). Findings: doc_id, blob, spans in order, over all rules given. Write the ledger returned to keep it."""
     held = blobs(docs)
-    first = held.groupBy("blob").agg(F.min("doc_id").alias("doc_id"))
-    pairs = first.select("blob", F.explode(F.array(*[F.lit(r.key) for r in rules])).alias("rule"))
+    keys = F.array(*[F.lit(r.key) for r in rules])
+    first = held.groupBy("blob").agg(F.min("doc_id").alias("doc_id")).withColumn("unseen", keys)
     if ledger is not None:
-        pairs = pairs.join(ledger.select("blob", "rule"), ["blob", "rule"], "left_anti")
-        first = first.join(pairs.select("blob").distinct(), "blob", "left_semi")
+        seen = ledger.groupBy("blob").agg(F.collect_set("rule").alias("seen"))
+        first = first.join(seen, "blob", "left").withColumn("unseen", F.array_except("unseen", F.coalesce("seen", F.array().cast("array<string>")))).drop("seen").where("size(unseen) > 0")
+    pairs = first.select("blob", F.explode("unseen").alias("rule"))
     # doc_id spreads evenly where blob alone would not; a blob that only rows without doc_id hold is found by the null
-    named = first.select(F.col("blob").alias("first_blob"), F.col("doc_id").alias("first_id"))
-    texts = held.join(named, (F.col("blob") == F.col("first_blob")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("blob", "text")
+    named = first.select(F.col("blob").alias("first_blob"), F.col("doc_id").alias("first_id"), "unseen")
+    texts = held.join(named, (F.col("blob") == F.col("first_blob")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("blob", "text", "unseen")
     spans = scan_blobs(texts, rules)
-    if ledger is not None:
-        spans = spans.join(pairs, ["blob", "rule"], "left_semi")
     found = cut(spans.groupBy("blob", "rule").agg(F.array_sort(F.collect_list(F.struct("start", "place", "end", "kind"))).alias("spans")))
     none = F.array().cast("array<struct<start:bigint,place:int,end:bigint,kind:string>>")
     added = pairs.join(found, ["blob", "rule"], "left").withColumn("spans", F.coalesce("spans", none))
