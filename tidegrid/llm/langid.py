@@ -10,7 +10,8 @@ above the language's mean than a limit calibrated on labelled texts that the cou
 Defined results: a text that is null, empty or without letters gets `und`, score 0 and is rejected;
 equal entropies go to the language that sorts first; a language with fewer than five calibration texts
 has no limit and rejects nothing; repeated rows are answered one by one; with no
-labelled row at all, every text is `und`. Extra columns of the input are ignored.
+labelled row at all, every text is `und`. The score is the winner's share of the languages' likelihoods, as if the
+text had SCORED symbols at most: beyond, it would be 1 for every text. Extra columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -39,6 +40,7 @@ CALIBRATION = 5
 QUANTILE = 0.995
 SLACK = 1.2
 SHORT = 4.0
+SCORED = 60
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _SCHEMA = "doc_id long, lang_pred string, score double, cross_entropy double, n_letters long, rejected boolean"
 
@@ -145,7 +147,7 @@ class Model:
             return [UND] * len(texts), z, z, z.astype(np.int64), z == 0
         h, n = self.texts(texts)
         best, real = h.argmin(1), n > 0
-        sharp = np.exp(-(h - h.min(1, keepdims=True)) * np.minimum(n, 60)[:, None])
+        sharp = np.exp(-(h - h.min(1, keepdims=True)) * np.minimum(n, SCORED)[:, None])
         score = np.where(real, 1 / sharp.sum(1), 0.0)
         own = h[np.arange(len(h)), best]
         far = own - self.mean[best] > self.limit[best] + SHORT / np.sqrt(np.maximum(n, 1))
@@ -241,7 +243,8 @@ def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> Model:
         return Model([])
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / float(1 << 40)
     chance = F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(min(1.0, sample / v)))])
-    drawn = rows.withColumn("draw", draw / chance[F.col("lang")]).where("draw < 1")
+    # copies are drawn together, so each text counts once and `sample` bounds what is drawn
+    drawn = rows.withColumn("draw", draw / chance[F.col("lang")]).where("draw < 1").dropDuplicates(["lang", "text"])
     part = F.floor(F.col("draw") * 1000 * CALIBRATION) % CALIBRATION
     counted = drawn.where(part != 0).select("lang", "text").mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     rows = counted.select("lang", "word", "n").unionByName(drawn.where(part == 0).select("lang", F.col("text").alias("word"), F.lit(0).cast("long").alias("n")))

@@ -158,12 +158,12 @@ def windows(at: np.ndarray, cost: np.ndarray, size: int = SIZE) -> list[int]:
 
 
 def pack(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFrame:
-    """A row for each piece of a document that lies in one window; see PIECES."""
-    path = path or vocabulary()
+    """A row for each piece of a document that lies in one window; see PIECES. Without a path, each executor asks
+    its own installation for the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # millions of short-lived lists without cycles
-        coder, base, made = Coder(path), TaskContext.get().partitionId() << 40, 0
+        coder, base, made = Coder(path or vocabulary()), TaskContext.get().partitionId() << 40, 0
         ids, doc, pos, total = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         null = np.zeros(0, bool)
 
