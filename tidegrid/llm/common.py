@@ -6,7 +6,7 @@ import math
 import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word: a run of anything but the six ASCII blanks.
@@ -73,3 +73,15 @@ def salted_join(rows: DataFrame, few: DataFrame, key: str, spread: str, how: str
     parts_ = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
     dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
     return dealt.join(few.withColumn("_salt", parts_), [key, "_salt"], how).drop("_salt")
+
+
+def running(df: DataFrame, order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """df with, for each name in sums, the sum over all rows before this one in the order of the columns (which tell rows
+    apart). Rows are dealt by ranges; only the ranges' totals, as many as there are partitions, meet in one task."""
+    dealt = cut(df.repartitionByRange(*order).withColumns({f"_of_{k}": v for k, v in sums.items()}).withColumn("_part", F.spark_partition_id()))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("_part").agg(*[F.sum(f"_of_{k}").alias(k) for k in sums]).withColumn("_one", F.lit(0))
+    ahead = totals.select("_part", *[F.coalesce(F.sum(k).over(before(Window.partitionBy("_one").orderBy("_part"))), F.lit(0)).alias(f"_ahead_{k}") for k in sums])
+    inside = Window.partitionBy("_part").orderBy(*order)
+    out = dealt.join(ahead, "_part").withColumns({k: F.col(f"_ahead_{k}") + F.coalesce(F.sum(f"_of_{k}").over(before(inside)), F.lit(0)) for k in sums})
+    return out.drop("_part", *[f"_of_{k}" for k in sums], *[f"_ahead_{k}" for k in sums])

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, running
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEAT = 3
@@ -79,6 +79,7 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, table: int =
             more = min(int(counts[i] - take[i]), left // int(sizes[i]))
             take[i] += more
             left -= more * int(sizes[i])
+    # more than 4 * table is left only where every document that fits is taken already
     return take + knapsack(sizes, counts - take, min(left, 4 * table))
 
 
@@ -86,14 +87,17 @@ def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeat:
     """From no_source, source_key, size: a row for each source with source_size and target. The level at
     which uncapped sources share the rest is found over sources ordered by cap against weight."""
     by_source = sized.groupBy("no_source", "source_key").agg(F.sum("size").alias("source_size"))
-    one = Window.partitionBy(F.lit(1))
-    ranked = by_source.withColumn("rank", F.row_number().over(one.orderBy("no_source", "source_key")) - 1)
+    ranked = running(by_source, ["no_source", "source_key"], {"rank": F.lit(1)})
     ranked = ranked.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int")))
     ranked = ranked.withColumn("cap", F.col("source_size") * float(max_repeat)).withColumn("fill", F.col("cap") / F.col("weight"))
-    first = one.orderBy("fill", "rank").rowsBetween(Window.unboundedPreceding, -1)
-    level = (F.sum("source_size").over(one).cast("double") - F.coalesce(F.sum("cap").over(first), F.lit(0.0))) / (F.sum("weight").over(one) - F.coalesce(F.sum("weight").over(first), F.lit(0.0)))
-    ranked = ranked.withColumn("level", level).withColumn("share", F.max(F.when(F.col("fill") >= F.col("level"), F.col("level"))).over(one))
-    return ranked.select("no_source", "source_key", "source_size", F.when(F.col("share").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("share") * F.col("weight"))).alias("target"))
+    # if all sources that fill up sooner are full, the others share the rest at this level; it holds where no other fills up
+    ranked = cut(running(ranked, ["fill", "rank"], {"cap_before": F.col("cap"), "weight_before": F.col("weight")}))
+    whole = ranked.agg(F.sum("source_size").cast("double").alias("_size"), F.sum("weight").alias("_weight")).withColumn("_one", F.lit(1))
+    level = (F.col("_size") - F.col("cap_before")) / (F.col("_weight") - F.col("weight_before"))
+    levelled = ranked.withColumn("_one", F.lit(1)).join(F.broadcast(whole), "_one").withColumn("level", level)
+    share = levelled.agg(F.max(F.when(F.col("fill") >= F.col("level"), F.col("level"))).alias("share")).withColumn("_one", F.lit(1))
+    done = levelled.join(F.broadcast(share), "_one")
+    return done.select("no_source", "source_key", "source_size", F.when(F.col("share").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("share") * F.col("weight"))).alias("target"))
 
 
 def _plan(frame: pd.DataFrame) -> pd.DataFrame:

@@ -29,6 +29,8 @@ from .common import parts
 
 K = 12
 W = 16
+#: Ranges of ids at most: their bounds are part of the plan, so larger tables have larger ranges, not more of them.
+RANGES = 10_000
 _POSITIONS = 0xFFFFFF
 _FIRST = -(2**63)
 
@@ -103,7 +105,7 @@ def _ranges(docs: DataFrame, n: int) -> Column:
 def with_next(docs: DataFrame) -> DataFrame:
     """range, seat, id, doc_id, text, next_text: seat 1 marks a row that only stands for the range after it."""
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(_FIRST)).alias("id"))
-    base = base.withColumn("range", _ranges(base, parts(docs, 2.0)))
+    base = base.withColumn("range", _ranges(base, min(RANGES, parts(docs, 2.0))))
     heads = base.groupBy("range").agg(F.min("id").alias("id"))
     line = Window.partitionBy(F.lit(0)).orderBy("range")
     last = F.max("range").over(Window.partitionBy(F.lit(0)))
