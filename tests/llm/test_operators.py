@@ -121,9 +121,12 @@ def test_jaccard(docs, empty, k, percent):
                 if 100 * same >= percent * (len(a) + len(b) - same) and lead[a] != lead[b]:
                     lead[a] = lead[b] = min(lead[a], lead[b])
                     changed = True
-    want = collections.Counter((d, len(s), lead.get(s, d)) for d, s in rows)
-    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.link(docs, k, percent).collect())
-    assert got == want
+    named = {s for d, s in rows if d is not None}
+    near = lambda a, b: 100 * len(a & b) >= percent * len(a | b)
+    links = {s: sum(bool(t) and t in named and near(s, t) for _, t in rows) - 1 for s in low}
+    want = collections.Counter((d, len(s), lead.get(s, d), links.get(s, 0)) for d, s in rows)
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in jaccard.link(docs, k, percent).collect())
+    assert got == want and max(links.values()) > 3
     assert jaccard.link(empty, k, percent).count() == 0
 
 
@@ -149,8 +152,17 @@ def test_jaccard_clusters_and_blocks(spark, monkeypatch):
                 same = len(a & b)
                 if lead[i] != lead[j] and 100 * same >= 90 * (len(a) + len(b) - same):
                     lead[i] = lead[j] = min(lead[i], lead[j])
-    got = {r.doc_id: r.component_id for r in jaccard.link(data.frame(spark, made), 3, 90).collect()}
-    assert [got[i] for i in range(160)] == lead
+    got = {r.doc_id: r for r in jaccard.link(data.frame(spark, made), 3, 90).collect()}
+    assert [got[i].component_id for i in range(160)] == lead
+    assert [got[i].n_links for i in range(160)] == [sum(j != i and 100 * len(a & b) >= 90 * len(a | b) for j, b in sets) for i, a in sets]
+
+
+def test_intersections(monkeypatch):
+    monkeypatch.setattr(jaccard, "COLUMNS", 3)
+    rng = np.random.default_rng(0)
+    sets = [np.unique(rng.integers(0, 30, rng.integers(1, 25))).astype(np.uint64) for _ in range(12)]
+    got = jaccard.intersections(sets[:5], sets[5:])
+    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[5:]] for a in sets[:5]]
 
 
 def test_components(spark):
