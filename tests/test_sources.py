@@ -33,6 +33,44 @@ def test_both_forms_agree():
     assert textgrid.parse(CHRONOLOGICAL) == ROWS
 
 
+@pytest.mark.parametrize("at", [5, 6, 7, 8, 13])
+def test_stray_lines_end_nothing(at):
+    """A line that is neither times nor the text behind them is passed over by itself, wherever it lies."""
+    lines = [x for x in CHRONOLOGICAL.splitlines() if x not in ("x y z", '"not a time"')]
+    where = at if at % 2 else at + 1  # before times, never between times and text
+    assert textgrid.parse("\n".join([*lines[:where], "stray", *lines[where:]])) == ROWS
+    two = ['"Praat chronological TextGrid text file"', "0 1", "1", '"IntervalTier" "words" 0 1', "stray", "1 0 0.5", '"a"', "1 0.5 1", '"b"']
+    assert textgrid.parse("\n".join(two)) == [("words", 0.0, 0.5, "a"), ("words", 0.5, 1.0, "b")]
+
+
+def test_repair(spark, tmp_path):
+    raw, fixed = tmp_path / "raw", tmp_path / "fixed"
+    raw.mkdir()
+    (raw / "good.TextGrid").write_text(textgrid.format_long(ROWS))
+    (raw / "old.TextGrid").write_text("garbage")
+    (raw / "old.TextGrid.bak").write_text(CHRONOLOGICAL)
+    (raw / "bad.TextGrid").write_text("garbage")
+    (raw / "past.TextGrid").write_text("garbage")
+    originals = textgrid.files(spark, [str(raw)])
+    done = spark.createDataFrame([("past",)], "story string")
+    found = textgrid.repair(originals, done).cache()
+    assert {r.story: r.status for r in found.collect()} == {"good": "valid", "old": "repaired", "bad": "failed", "past": "repaired"}
+    assert tuple(textgrid.repair_summary(found, spark.createDataFrame([("absent",), ("old",)], "story string")).first()) == (1, 2, 1, 1, 5)
+    textgrid.save_repaired(found, str(fixed))
+    got = textgrid.parsed(textgrid.load_repaired(spark, str(fixed)))
+    assert [(r.tier, r.t0, r.t1, r.text) for r in got.orderBy("ord").collect()] == ROWS and (raw / "old.TextGrid").read_text() == "garbage"
+    assert [r.value for r in textgrid.raw_head(originals, "old", 2).collect()] == CHRONOLOGICAL.splitlines()[:2]
+
+
+def test_diagnosis(spark):
+    grids = textgrid.parsed(spark.createDataFrame([(s, textgrid.format_long(ROWS) if s != "d" else "garbage") for s in "abcde"], "story string, content string"))
+    texts = spark.createDataFrame([("a", "x"), ("b", " "), ("c", "x"), ("e", "x")], "story string, text string")
+    tokens = spark.createDataFrame([("a",), ("e",), ("e",)], "story string")
+    found = textgrid.diagnosed(grids, texts, tokens, tokens.where("story = 'a'"))
+    assert {r.story: r.stage for r in found.collect()} == {"a": None, "b": "text", "c": "annotate", "d": "read", "e": "extract"}
+    assert tuple(textgrid.diagnosis(found).first()) == (5, 1, ["b", "c", "d", "e"])
+
+
 def test_scan(spark, tmp_path):
     raw, fixed = tmp_path / "raw", tmp_path / "fixed"
     raw.mkdir()
@@ -76,6 +114,9 @@ def test_store(spark, tmp_path):
     store.save_parts(old, str(tmp_path / "p"), ["script_name"])
     store.save_parts(old.where("script_name = 's1'").withColumn("execution_time_seconds", F.lit(7.0)), str(tmp_path / "p"), ["script_name"])
     assert {(r.script_name, r.execution_time_seconds) for r in spark.read.parquet(str(tmp_path / "p")).collect()} == {("s1", 7.0), ("s2", 2.0)}
+    with store.timed(spark, "s1", "run_log_test"):
+        pass
+    assert {r.script_name: r.execution_time_seconds < 1.0 for r in store.load_table(spark, "run_log_test").collect()} == {"s1": True, "s2": False}
     store.save_csv(old, str(tmp_path / "c"))
     store.save_json(old, str(tmp_path / "j"))
     store.save_text(old, "script_name", str(tmp_path / "t"))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,3 +61,44 @@ def export_story(spaces: dict[str, DataFrame], story: str) -> None:
     """One story's spaces as tables story_space, for presentation."""
     for name, df in spaces.items():
         save_table(df.where(F.col("story") == story), f"{story}_{name}")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the one that all executors share (spark.checkpoint.dir); without it, in one process only, a
+    temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        import tempfile
+
+        base = tempfile.mkdtemp(prefix="tidegrid-")
+    return f"{base}/tidegrid-{uuid.uuid4()}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read from there: lineage ends here, whichever executors are lost."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
+@contextmanager
+def timed(spark: SparkSession, script: str, log: str, subject: str = "GLOBAL") -> Iterator[None]:
+    """Runs its block and puts the seconds it took into the run-log table, in place of the last run's."""
+    began = time.perf_counter()
+    yield
+    new = log_row(spark, script, time.perf_counter() - began, subject)
+    old = load_table(spark, log)
+    save_table(new if old is None else settled(logged(old, new)), log)
+
+
+def save_model(folder: str, vocab: DataFrame, axis: DataFrame, report: DataFrame) -> None:
+    """A latent-semantic model as three tables: term, df, idf; term, axis; and the report's one row."""
+    for name, df in (("vocabulary", vocab), ("axes", axis), ("report", report)):
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def load_model(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return tuple(spark.read.parquet(f"{folder}/{name}") for name in ("vocabulary", "axes", "report"))

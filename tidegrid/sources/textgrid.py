@@ -21,10 +21,11 @@ _NUMBER = r"-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?"
 
 def parse_long(raw: str) -> list[tuple[str, float, float, str]]:
     """(tier, start, end, text) of every interval, empty ones included."""
-    if "IntervalTier" not in raw and "TextTier" not in raw:
+    parts = re.split(r"item\s*\[\d+\]\s*:", raw)[1:]
+    if not parts or ("IntervalTier" not in raw and "TextTier" not in raw):
         raise ValueError("no tier")
     out = []
-    for part in re.split(r"item\s*\[\d+\]\s*:", raw)[1:]:
+    for part in parts:
         name = re.search(r'name\s*=\s*"((?:[^"]|"")*)"', part)
         tier = name[1].replace('""', '"') if name else ""
         for m in re.finditer(rf'xmin\s*=\s*({_NUMBER})\s*xmax\s*=\s*({_NUMBER})\s*text\s*=\s*"((?:[^"]|"")*)"', part):
@@ -33,24 +34,29 @@ def parse_long(raw: str) -> list[tuple[str, float, float, str]]:
 
 
 def parse_chronological(raw: str) -> list[tuple[str, float, float, str]]:
-    """The form that lists intervals of all tiers by time. Lines whose times do not parse, and unknown tiers,
-    are skipped; intervals of a tier come out by start."""
+    """The form that lists intervals of all tiers by time: a line of tier number, start and end, and the text on the
+    next. Any other line where times are due is passed over by itself, intervals of unknown tiers are dropped; a
+    tier's intervals come out by start."""
     lines = [x.strip() for x in raw.splitlines() if x.strip() and not x.strip().startswith("!")]
     if not lines or "chronological" not in lines[0].lower():
         raise ValueError("not a chronological file")
     n = next((int(m[1]) for x in lines[2:4] if (m := re.match(r"(\d+)", x))), 0)
-    at = 3
-    names = []
-    for x in lines[at : at + n]:
-        m = re.search(r'"[^"]*"\s+"((?:[^"]|"")*)"', x)
-        names.append(m[1].replace('""', '"') if m else "")
-    out, rest = [], lines[at + n :]
-    for head, body in zip(rest[::2], rest[1::2]):
-        m = re.match(rf"(\d+)\s+({_NUMBER})\s+({_NUMBER})", head)
-        if m and 1 <= int(m[1]) <= len(names):
-            text = body[1:-1] if len(body) > 1 and body[0] == body[-1] == '"' else body
-            out.append((names[int(m[1]) - 1], float(m[2]), float(m[3]), text.replace('""', '"')))
-    return sorted(out, key=lambda r: (names.index(r[0]), r[1]))
+    names = {}
+    for i, x in enumerate(lines[3 : 3 + n], 1):
+        if m := re.match(rf'"[^"]+"\s+"((?:[^"]|"")*)"\s+{_NUMBER}\s+{_NUMBER}', x):
+            names[i] = m[1].replace('""', '"')
+    out, rest = [], iter(lines[3 + n :])
+    for line in rest:
+        times = re.fullmatch(rf"(\d+)\s+({_NUMBER})\s+({_NUMBER})", line)
+        if times is None:
+            continue
+        text = next(rest, None)
+        if text is None:
+            break
+        quoted = text.startswith('"') and text.endswith('"')
+        if int(times[1]) in names:
+            out.append((int(times[1]), float(times[2]), float(times[3]), text[1:-1].replace('""', '"') if quoted else text.replace('"', "")))
+    return [(names[i], a, b, text) for i, a, b, text in sorted(out, key=lambda r: r[:2])]
 
 
 def parse(raw: str) -> list[tuple[str, float, float, str]]:
@@ -95,11 +101,7 @@ def scan(spark: SparkSession, folders: list[str]) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for story, path, content in frame[["story", "path", "content"]].itertuples(index=False):
-                try:
-                    rows = parse(bytes(content).decode("utf-16" if bytes(content)[:2] in (b"\xff\xfe", b"\xfe\xff") else "utf-8"))
-                    yield pd.DataFrame({"story": story, "path": path, "tier": [r[0] for r in rows], "ord": range(len(rows)), "t0": [r[1] for r in rows], "t1": [r[2] for r in rows], "text": [r[3] for r in rows], "error": None})
-                except (ValueError, IndexError) as e:
-                    yield pd.DataFrame({"story": [story], "path": [path], "tier": [None], "ord": [None], "t0": [None], "t1": [None], "text": [None], "error": [str(e)]})
+                yield from _rows(story, path, content)
 
     return every.join(best, ["story", "path"]).select("story", "path", "content").mapInPandas(run, PARSED)
 
@@ -111,13 +113,29 @@ def tier(intervals: DataFrame, word: str) -> DataFrame:
     return fits.join(first, ["story", "tier"])
 
 
-def diagnosed(intervals: DataFrame) -> DataFrame:
-    """story, status, stage, error: what stops a story, at the first stage that fails."""
+STAGES = ("read", "tiers", "text", "annotate", "extract")
+
+
+def diagnosed(intervals: DataFrame, texts: DataFrame | None = None, tokens: DataFrame | None = None, extracted: DataFrame | None = None) -> DataFrame:
+    """story, status, stage, error: what stops a story, at the first stage that fails. The later stages are looked at
+    where their tables are given: texts (story, text) fail where the text is empty, tokens and extracted (story, ...)
+    where a story has no row."""
     out = intervals.groupBy("story").agg(F.max("error").alias("error"), F.bool_or(F.lower("tier").contains("word")).alias("w"), F.bool_or(F.lower("tier").contains("phone")).alias("p"))
     stage = F.when(F.col("error").isNotNull(), "read").when(~F.coalesce("w", F.lit(False)) | ~F.coalesce("p", F.lit(False)), "tiers")
+    later = {"text": None if texts is None else texts.where("trim(text) <> ''"), "annotate": tokens, "extract": extracted}
+    for name, table in later.items():
+        if table is not None:
+            out = out.join(table.select("story", F.lit(True).alias(f"_{name}")).distinct(), "story", "left")
+            stage = stage.when(F.col(f"_{name}").isNull(), name)
     return out.select("story", F.when(stage.isNull(), "ok").otherwise("failed").alias("status"), stage.alias("stage"), "error")
 
 
+def diagnosis(found: DataFrame) -> DataFrame:
+    """total, ok, and the failed stories in order."""
+    failed = F.array_sort(F.collect_list(F.when(F.col("status") == "failed", F.col("story"))))
+    return found.agg(F.count("*").alias("total"), F.count_if(F.col("status") == "ok").alias("ok"), failed.alias("failed"))
+
+
 def repaired(intervals: DataFrame) -> DataFrame:
     """story, content: each readable story in the standard long form."""
 
@@ -128,5 +146,85 @@ def repaired(intervals: DataFrame) -> DataFrame:
     return intervals.where("error IS NULL").groupBy("story").applyInPandas(run, "story string, content string")
 
 
+def _decoded(content: bytes) -> str:
+    return bytes(content).decode("utf-16" if bytes(content)[:2] in (b"\xff\xfe", b"\xfe\xff") else "utf-8")
+
+
+def repair(originals: DataFrame, done: DataFrame) -> DataFrame:
+    """story, status, content, error. originals: as files() gives them, the backup of a story beside it; done: story,
+    those repaired before. A story is `repaired` (with content if it was done now, from the backup where there is one),
+    `valid` where the original reads in the long form, or `failed`. Originals are only read."""
+    backup = F.col("path").rlike(r"\.bak$")
+    pick = lambda own: F.max(F.when(own, F.col("content")))
+    both = originals.groupBy("story").agg(pick(~backup).alias("original"), pick(backup).alias("backup")).join(done.select("story", F.lit(True).alias("done")).distinct(), "story", "full")
+
+    def one(original, backup, was_done) -> tuple[str, str | None, str | None]:
+        if was_done:
+            return "repaired", None, None
+        if original is not None:
+            try:
+                parse_long(_decoded(original))
+                return "valid", None, None
+            except ValueError:
+                pass
+        try:
+            return "repaired", format_long(parse_chronological(_decoded(original if backup is None else backup))), None
+        except (ValueError, IndexError) as e:
+            return "failed", None, str(e)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            made = [(s, *one(a, b, d is True)) for s, a, b, d in frame[["story", "original", "backup", "done"]].itertuples(index=False)]
+            if made:
+                yield pd.DataFrame(made, columns=["story", "status", "content", "error"], dtype=object)
+
+    return both.select("story", "original", "backup", "done").mapInPandas(run, "story string, status string, content string, error string")
+
+
+def repair_summary(found: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """valid, repaired, skipped, failed, total; skipped are wanted stories (story) of which there is no file."""
+    out = found if wanted is None else found.select("story", "status").join(wanted.select("story").distinct(), "story", "full").withColumn("status", F.coalesce("status", F.lit("skipped")))
+    return out.agg(*[F.count_if(F.col("status") == x).alias(x) for x in ("valid", "repaired", "skipped", "failed")], F.count("*").alias("total"))
+
+
+def save_repaired(found: DataFrame, folder: str) -> None:
+    """Writes what was repaired now, a folder for each story, beside what is there; originals are never touched."""
+    found.where("content IS NOT NULL").select("story", "content").write.mode("append").partitionBy("story").text(folder)
+
+
+def load_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    """story, content of repaired files."""
+    return spark.read.text(folder, wholetext=True).select(F.col("story").cast("string").alias("story"), F.col("value").alias("content"))
+
+
+def parsed(contents: DataFrame) -> DataFrame:
+    """story, path (null), tier, ord, t0, t1, text, error of files held as text (story, content)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for story, content in frame[["story", "content"]].itertuples(index=False):
+                yield from _rows(story, None, content)
+
+    return contents.select("story", "content").mapInPandas(run, PARSED)
+
+
+def _rows(story: str, path: str | None, content: str | bytes) -> Iterator[pd.DataFrame]:
+    """A file's intervals; one row with an error if it does not parse, none if it holds no interval."""
+    try:
+        rows = parse(content if isinstance(content, str) else _decoded(content))
+        if rows:
+            yield pd.DataFrame({"story": story, "path": path, "tier": [r[0] for r in rows], "ord": range(len(rows)), "t0": [r[1] for r in rows], "t1": [r[2] for r in rows], "text": [r[3] for r in rows], "error": None})
+    except (ValueError, IndexError) as e:
+        yield pd.DataFrame({"story": [story], "path": [path], "tier": [None], "ord": [None], "t0": [None], "t1": [None], "text": [None], "error": [str(e)]})
+
+
 def head(spark: SparkSession, path: str, n: int = 25) -> DataFrame:
     return spark.read.text(path).limit(n)
+
+
+def raw_head(originals: DataFrame, story: str, n: int = 25) -> DataFrame:
+    """line (from 1) and value: the first lines of a story's backup, or of the original where there is none."""
+    own = originals.where(F.col("story") == story).select("content", F.col("path").rlike(r"\.bak$").alias("backup"))
+    best = own.agg(F.max_by("content", "backup").alias("content")).where("content IS NOT NULL")
+    lines = F.slice(F.split(F.col("content").cast("string"), "\r?\n"), 1, n)
+    return best.select(F.posexplode(lines).alias("line", "value")).withColumn("line", F.col("line") + 1)
