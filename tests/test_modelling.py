@@ -46,7 +46,9 @@ def test_encoding_against_dense(spark):
         assert got[t].r2_restricted == pytest.approx(fit([0, 1, 2, 3], t), abs=1e-5)
     assert got[0].p_value_raw == pytest.approx(1 / 24) and got[0].n_exhaustive_shifts == 23 and got[0].p_resolution_min == pytest.approx(1 / 24)
     summary = report.metrics(modelling.for_report(modelling.encoded(m, names[:4])).withColumn("subject", F.lit("s")), ["subject"]).first()
-    assert summary.total == 3
+    assert summary.total == 3 and summary.n_exhaustive_shifts == 23
+    without = modelling.missing_features(modelling.long_form(bold), series.where("story <> 'c'")).collect()
+    assert [(r.session, r.story) for r in without] == [("s2", "c")]
 
 
 def test_scaling_by_training(spark):

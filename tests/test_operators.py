@@ -92,8 +92,10 @@ def test_grid_is_last_writer_wins(spark, zero_writes):
     sizes = spark.createDataFrame([("a", n)], "story string, n long")
     got = grid.project(df, sizes, ["v"], 100, zero_writes).orderBy("k").collect()
     assert [r.v for r in got] == want
-    runs = grid.runs(grid.project(df, sizes, ["v"], 100, zero_writes), ["v"]).orderBy("a").collect()
-    assert [v for r in runs for v in [r.v] * (r.b - r.a)] == want
+    for rows_ in (grid.project(df, sizes, ["v"], 100, zero_writes), grid.owned(df, sizes, ["v"], 100, zero_writes)):
+        runs = grid.runs(rows_, ["v"]).orderBy("a").collect()
+        assert [v for r in runs for v in [r.v] * (r.b - r.a)] == want
+        assert all(a.v != b.v for a, b in zip(runs, runs[1:]))
 
 
 def test_joins(spark):
@@ -135,6 +137,10 @@ def test_depths(spark):
     df = spark.createDataFrame([("a", i, h) for i, h in enumerate(head)], "story string, i int, head_i int")
     got = {r.i: (r.syntactic_depth, r.dependency_distance, r.is_root) for r in features.syntactic(df).collect()}
     assert got == {i: (want[i], abs(i - head[i]), int(i == head[i])) for i in range(40)}
+    # a path longer than any fixed number of rounds, a cycle, and a parent that is not there
+    chain = [("b", i, max(0, i - 1)) for i in range(150)] + [("c", 0, 1), ("c", 1, 2), ("c", 2, 0), ("c", 3, 3), ("c", 4, 99)]
+    deep = {(r.story, r.i): r.depth for r in features.depths(spark.createDataFrame(chain, "story string, i int, head_i int"), "story", "i", "head_i").collect()}
+    assert all(deep["b", i] == i for i in range(150)) and [deep["c", i] for i in range(5)] == [None, None, None, 0, None]
 
 
 def test_standardised(spark):
@@ -171,6 +177,15 @@ def test_shift_null_and_p(spark):
         for s in range(10, 30):
             res = lambda q: ((y - np.roll(q, s)) ** 2).sum()
             assert math.isclose(got[i, s], (res(p) - res(f)) / tot, abs_tol=1e-9)
+    # the same nulls, tested in one pass
+    done = {r.v: r for r in stats.tested(df, ["v"], "y", "f", "l", n).collect()}
+    for i, y, f, p in rows:
+        y, tot = np.array(y), ((np.array(y) - np.mean(y)) ** 2).sum()
+        delta = (((y - p) ** 2).sum() - ((y - f) ** 2).sum()) / tot
+        assert math.isclose(done[i].delta, delta, abs_tol=1e-9) and math.isclose(done[i].r2_global, 1 - ((y - f) ** 2).sum() / tot, abs_tol=1e-9)
+        assert (done[i].n_shifts, done[i].n_shifts_sensitivity) == (20, 9)
+        assert math.isclose(done[i].p_value, (sum(got[i, s] >= delta for s in range(10, 30)) + 1) / 21)
+        assert math.isclose(done[i].p_value_sensitivity, (sum(got[i, s] >= delta for s in range(16, 25)) + 1) / 10)
     null = spark.createDataFrame([(1, s, float(s)) for s in range(10, 30)], "v int, shift int, delta double")
     p = stats.empirical_p(null, spark.createDataFrame([(1, 27.0)], "v int, delta double"), ["v"], n).first()
     assert math.isclose(p.p_value, 4 / 21) and p.n_shifts_sensitivity == 9 and math.isclose(p.p_value_sensitivity, 1 / 10)
@@ -257,12 +272,88 @@ def test_ridge_by_sums(spark):
             score.append(total / 3)
         a = config.ALPHAS[int(np.argmax(score))]
         assert got[t].alpha == a and np.allclose(got[t].w, np.linalg.solve(x.T @ x + a * np.eye(4), x.T @ y[:, t]))
-    p = {(r.i, r.target): r.p for r in ridge.predicted(xs, spark.createDataFrame([(t, got[t].w) for t in range(3)], "target int, w array<double>"), names, ["i"]).collect()}
-    assert math.isclose(p[5, 1], float(x[5] @ np.array(got[1].w)))
+    p = {r.target: r.p for r in ridge.predicted(xs, spark.createDataFrame([(t, got[t].w) for t in range(3)], "target int, w array<double>"), names, "i").collect()}
+    assert len(p[1]) == 90 and math.isclose(p[1][5], float(x[5] @ np.array(got[1].w)))
+    small = ridge.cross(xs, ys, ["i"], "story", names, block=2).collect()
+    assert len(small) == 9 and all(np.allclose(r.b, x[30 * int(r.story[1]) : 30 * int(r.story[1]) + 30].T @ y[30 * int(r.story[1]) : 30 * int(r.story[1]) + 30, r.target]) for r in small)
     with pytest.raises(ValueError):
         ridge.folds({"one": 3})
 
 
+def test_banded_search(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 5))
+    y = x[:, :2] @ rng.normal(size=(2, 2)) + rng.normal(size=(60, 2))
+    names, group = [f"x{i}" for i in range(5)], [f"g{i // 20}" for i in range(60)]
+    xs = spark.createDataFrame([(i, group[i], *map(float, x[i])) for i in range(60)], "i long, story string, " + ", ".join(f"{n} double" for n in names))
+    ys = spark.createDataFrame([(i, t, float(y[i, t])) for i in range(60) for t in range(2)], "i long, target int, y double")
+    fold, bands, alphas = ridge.folds({"g0": 20, "g1": 20, "g2": 20}), ridge.bands([2, 3]), (0.1, 10.0)
+    assert bands == [[0, 1], [2, 3, 4]]
+    got = {r.target: r for r in ridge.searched(ridge.gram(xs, "story", names), ridge.cross(xs, ys, ["i"], "story", names), "story", fold, bands, alphas, draws=4, seed=1).collect()}
+    draws = np.vstack([[0.5, 0.5], np.random.default_rng(1).dirichlet(np.ones(2), 3)]) * 2
+    for t in range(2):
+        best = []
+        for i, d in enumerate(draws):
+            z = x * np.sqrt(d)[[0, 0, 1, 1, 1]]
+            for a in alphas:
+                total = 0
+                for f in range(3):
+                    held = np.array([fold[g] == f for g in group])
+                    b = np.linalg.solve(z[~held].T @ z[~held] + a * np.eye(5), z[~held].T @ y[~held, t])
+                    total += 1 - ((y[held, t] - z[held] @ b) ** 2).sum() / (y[held, t] ** 2).sum()
+                w = np.linalg.solve(z.T @ z + a * np.eye(5), z.T @ y[:, t]) * np.sqrt(d)[[0, 0, 1, 1, 1]]
+                best.append((total / 3, i, a, w))
+        score, i, a, w = max(best, key=lambda b: b[0])
+        assert (got[t].draw, got[t].alpha) == (i, a) and math.isclose(got[t].score, score) and np.allclose(got[t].w, w)
+
+
+def test_model_of_a_corpus(spark, tmp_path):
+    """Fit report against dense algebra, and a model that comes back from its tables."""
+    from tidegrid.sources import store
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(12)]
+    terms = spark.createDataFrame([(d, rng.choice(words[: 4 + d % 8])) for d in range(30) for _ in range(9)], "doc int, term string")
+    held = spark.createDataFrame([("w0",), ("w1",), ("nothing",)], "term string")
+    vocab, axis, told = lsa.fit(terms, held, 3, 0.9, 2)
+    r = told.first()
+    w = lsa.weighted(terms, vocab).collect()
+    place = {t: i for i, t in enumerate(sorted({x.term for x in w}))}
+    dense = np.zeros((30, len(place)))
+    for x in w:
+        dense[x.doc, place[x.term]] = x.w
+    v = np.linalg.svd(dense)[2][:2].T
+    assert r.vocabulary_size == len(place) and r.documents == 30 and r.held_out_tokens == 3 and r.held_out_unknown >= 1
+    assert math.isclose(r.explained_variance_ratio, (dense @ v).var(0).sum() / dense.var(0).sum(), rel_tol=1e-6)
+    store.save_model(str(tmp_path / "m"), vocab, axis, told)
+    v2, a2, t2 = store.load_model(spark, str(tmp_path / "m"))
+    assert sorted(map(tuple, v2.collect())) == sorted(map(tuple, vocab.collect())) and a2.count() == axis.count() and t2.first() == r
+
+
+def test_report_sections(spark):
+    rows = [("s", 0.1 * i, 0.01 * i - 0.05, 0.01 if i > 7 else 0.5, None, None, None, 23, 1 / 24, 0, None) for i in range(10)]
+    names = "r2_global double, delta_r2 double, p_value_fdr double, r2_global_normalized double, delta_r2_normalized double, p_value_fdr_sensitivity double, n_exhaustive_shifts long, p_resolution_min double, n_exhaustive_shifts_sensitivity long, p_resolution_min_sensitivity double"
+    df = spark.createDataFrame(rows, f"subject string, {names}")
+    m = report.metrics(df, ["subject"])
+    text = report.subject_report(m, "subject").first().report
+    assert "### s\n" in text and "2 targets (20.00%)" in text and "mean 0.03500" in text and "23 shifts, smallest p 0.04167" in text
+    assert "noise ceiling: N/A" in text and "larger margin: N/A" in text
+    none = report.subject_report(report.metrics(df.withColumn("p_value_fdr", F.lit(0.9)), ["subject"]), "subject").first().report
+    assert "their gain: N/A" in none
+    whole = report.document(m, "subject", "T").first().report
+    assert whole.startswith("# T\n\n## Each participant\n\n### s") and "in 1 of 1" in whole
+
+
+def test_summaries(spark):
+    from tidegrid.operators import modelling
+
+    fits = spark.createDataFrame([(0.5, 0.1), (0.3, 0.3), (-0.2, 0.9)], "r2_global double, delta_r2 double")
+    r = modelling.simulation_summary(fits).first()
+    assert (r.targets, r.valid, r.mean_r2_global, r.mean_delta_r2, r.max_delta_r2) == (3, 2, 0.4, 0.2, 0.9)
+    assert modelling.simulation_summary(fits.where("r2_global < 0")).first().max_delta_r2 is None
+    assert tuple(audit.repeated(spark.createDataFrame([(0,), (1,), (2,), (5,)], "n int"), "n").first()) == (4, 1, 1, 2)
+
+
 def test_report(spark):
     rows = [("s", i, 0.1 * i, 0.01 * i - 0.05, 0.01 if i > 7 else 0.5, None, None, None) for i in range(10)]
     df = spark.createDataFrame(rows, "subject string, voxel int, r2_global double, delta_r2 double, p_value_fdr double, r2_global_normalized double, delta_r2_normalized double, p_value_fdr_sensitivity double")

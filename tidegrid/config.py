@@ -21,6 +21,9 @@ SEED = 10
 # fixed values: annotations that are not words
 NOISE = r"(?i)[\[\]{}<>]|spn|^(sp|sil|br|lg)$"
 
+# fixed values: a subject's code in a file name
+SUBJECT = r"(?i)(?:sub-)?(UTS\d{2})"
+
 # fixed values: words that the latent-semantic vocabulary leaves out
 STOP_LEMMAS = (
     "like", "know", "go", "uh", "say", "um", "think", "get", "come", "look", "to",

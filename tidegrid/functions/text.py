@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidegrid.config import NOISE, STOP_LEMMAS
+from tidegrid.config import NOISE, STOP_LEMMAS, SUBJECT
 
 
 def strip(c: Column) -> Column:
@@ -48,7 +48,7 @@ def stem_of(path: Column) -> Column:
 
 def subject_id(path: Column) -> Column:
     """From anywhere in the path; null if there is none."""
-    code = F.upper(F.regexp_extract(path, r"(?i)(?:sub-)?(UTS\d{2})", 1))
+    code = F.upper(F.regexp_extract(path, SUBJECT, 1))
     return F.when(code != "", F.concat(F.lit("sub-"), code))
 
 

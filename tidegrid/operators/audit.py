@@ -48,3 +48,15 @@ def extremes(rows: DataFrame, by: str, n: int = 5) -> tuple[DataFrame, DataFrame
 def sampled(rows: DataFrame, n: int, seed: int) -> DataFrame:
     """n rows in a seeded random order."""
     return rows.orderBy(F.rand(seed)).limit(n)
+
+
+def repeated(coverage: DataFrame, count: str) -> DataFrame:
+    """subjects, without, single, multiple: how many have no, one or more presentations."""
+    n = F.col(count)
+    return coverage.agg(F.count("*").alias("subjects"), F.count_if(n == 0).alias("without"), F.count_if(n == 1).alias("single"), F.count_if(n > 1).alias("multiple"))
+
+
+def validity(stories: DataFrame, story: str, valid: str) -> DataFrame:
+    """stories, valid, invalid, and the invalid ones in order."""
+    ok = F.coalesce(F.col(valid), F.lit(False))
+    return stories.agg(F.count("*").alias("stories"), F.count_if(ok).alias("valid"), F.count_if(~ok).alias("invalid"), F.array_join(F.array_sort(F.collect_list(F.when(~ok, F.col(story)))), ", ").alias("invalid_list"))

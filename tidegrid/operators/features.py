@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.config import PHONE_CLASSES
+from tidegrid.sources.store import settled
 
 #: Spaces whose all-zero rows do not overwrite an earlier interval's samples.
 ZERO_KEEPS = ("phonological", "categorical", "tense")
@@ -58,21 +59,25 @@ def tense(tokens: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumns(totals)
 
 
-def depths(nodes: DataFrame, group: str, node: str, parent: str, most: int = 64) -> DataFrame:
-    """Adds depth: steps to the root (a node that is its own parent, or has none). Pointers are doubled, so the
-    number of joins is the logarithm of the deepest path; `most` bounds it against cycles (depth null there)."""
+def depths(nodes: DataFrame, group: str, node: str, parent: str) -> DataFrame:
+    """Adds depth: steps to the root (a node that is its own parent, or has none); null for nodes that lead to no root.
+    Pointers are doubled until all stand still, so the number of joins is the logarithm of the deepest path; each
+    round is written to the shared folder. Cycles end it once pointers have gone as far as a group has nodes."""
     root = F.col(parent).isNull() | (F.col(parent) == F.col(node))
-    state = nodes.select(group, node, F.when(root, F.col(node)).otherwise(F.col(parent)).alias("_up"), F.when(root, 0).otherwise(1).alias("_steps"))
-    hops = 1
+    state = settled(nodes.select(group, node, F.when(root, F.col(node)).otherwise(F.col(parent)).alias("_up"), F.when(root, 0).otherwise(1).alias("_steps")))
+    most, hops = state.groupBy(group).count().agg(F.max("count").alias("n")).first()["n"] or 0, 1
     while hops < most:
         above = state.select(group, F.col(node).alias("_up"), F.col("_up").alias("_next"), F.col("_steps").alias("_more"))
-        state = state.join(above, [group, "_up"]).select(group, node, F.col("_next").alias("_up"), (F.col("_steps") + F.col("_more")).alias("_steps"))
+        moved = settled(state.join(above, [group, "_up"]).select(group, node, "_up", F.col("_next"), (F.col("_steps") + F.col("_more")).alias("_steps")))
+        state, still = moved.select(group, node, F.col("_next").alias("_up"), "_steps"), moved.where("_up <> _next").isEmpty()
         hops *= 2
+        if still:
+            break
     ends = nodes.where(root).select(group, F.col(node).alias("_up"))
     return nodes.join(state.join(ends, [group, "_up"]).select(group, node, F.col("_steps").alias("depth")), [group, node], "left")
 
 
-def syntactic(tokens: DataFrame, most: int = 64) -> DataFrame:
+def syntactic(tokens: DataFrame) -> DataFrame:
     """Distance to the head, number of ancestors, root flag. tokens: story, i, head_i."""
-    out = depths(tokens, "story", "i", "head_i", most)
+    out = depths(tokens, "story", "i", "head_i")
     return out.withColumn("dependency_distance", F.abs(F.col("i") - F.col("head_i"))).withColumn("is_root", (F.col("i") == F.col("head_i")).cast("smallint")).withColumnRenamed("depth", "syntactic_depth")

@@ -44,6 +44,13 @@ def preferred(sources: list[DataFrame], key: str) -> DataFrame:
     return ranked.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("_rank"))).where("_n = 1").drop("_n", "_rank")
 
 
+def with_fallback(rows: DataFrame, known: DataFrame, key: str, prefix: str) -> DataFrame:
+    """Each row's name among the known ones (a column like key): prefix + key where that is known, else key, else null."""
+    names = known.select(F.col(key).alias("_name")).distinct()
+    first = rows.join(names.withColumnRenamed("_name", "_long"), F.concat(F.lit(prefix), F.col(key)) == F.col("_long"), "left")
+    return first.join(names.withColumnRenamed("_name", "_short"), F.col(key) == F.col("_short"), "left").withColumn("name", F.coalesce("_long", "_short")).drop("_long", "_short")
+
+
 def not_done(work: DataFrame, done: DataFrame, key: str, part: str, needed: int) -> DataFrame:
     """Work items that have fewer than `needed` distinct finished parts."""
     complete = done.groupBy(key).agg(F.countDistinct(part).alias("_p")).where(F.col("_p") >= needed).select(key)

@@ -14,6 +14,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.config import COMPONENTS, MAX_DF, MIN_DF, SEED
+from tidegrid.sources.store import settled
+
+
+#: Weights in a packed chunk of documents, expected; and terms of a vocabulary that the driver holds at most.
+CHUNK, MOST_TERMS = 2_000_000, 4_000_000
 
 
 def counted(terms: DataFrame) -> DataFrame:
@@ -42,13 +47,16 @@ def axes(weights: DataFrame, vocab: DataFrame, k: int = COMPONENTS, rounds: int
     Signs: the largest weight of an axis is positive. Documents are packed once into chunks of sparse triples; each
     round multiplies them by a vocabulary x (k + spare) matrix and adds up the products by slices of the vocabulary."""
     spark = weights.sparkSession
+    if vocab.count() > MOST_TERMS:
+        raise ValueError(f"a vocabulary of more than {MOST_TERMS} terms: raise min_df")
     names = [r["term"] for r in vocab.select("term").orderBy("term").collect()]
     size = len(names)
     if not size:
         return spark.createDataFrame([], "term string, axis array<double>"), np.zeros(0)
     width, slices = min(size, k + spare), 8
     numbered = spark.createDataFrame(list(enumerate(names)), "i int, term string")
-    chunks = F.pmod(F.hash("doc"), F.lit(4 * spark.sparkContext.defaultParallelism)).alias("chunk")
+    rows = weights.count()
+    chunks = F.pmod(F.hash("doc"), F.lit(max(4 * spark.sparkContext.defaultParallelism, rows // CHUNK + 1))).alias("chunk")
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["doc", "i"])
@@ -91,6 +99,32 @@ def axes(weights: DataFrame, vocab: DataFrame, k: int = COMPONENTS, rounds: int
     return spark.createDataFrame([(t, v[i].tolist()) for i, t in enumerate(names)], "term string, axis array<double>"), np.sqrt(np.maximum(value[top], 0))
 
 
+def explained(weights: DataFrame, axis: DataFrame, documents: int, k: int = COMPONENTS) -> float:
+    """The share of the weights' variance (summed over terms, over all documents, those without a known term too) that
+    the coordinates on the axes have."""
+    terms = weights.groupBy("term").agg(F.sum("w").alias("s"), F.sum(F.col("w") * F.col("w")).alias("q"))
+    whole = terms.agg(F.sum(F.col("q") / documents - F.pow(F.col("s") / documents, F.lit(2))).alias("v")).first()["v"]
+    at = projected(weights, axis, k)
+    names = [f"semantic_dim_{i}" for i in range(k)]
+    own = at.agg(*[(F.sum(F.col(c) * F.col(c)) / documents - F.pow(F.sum(c) / documents, F.lit(2))).alias(c) for c in names]).first()
+    return sum(own[c] or 0.0 for c in names) / whole if whole else 0.0
+
+
+def fit(terms: DataFrame, held: DataFrame, min_df: int = MIN_DF, max_df: float = MAX_DF, k: int = COMPONENTS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Vocabulary, axes, and a report of one row: documents, vocabulary size, variance explained, and how much of the
+    held-out tokens (term) the vocabulary covers. terms: doc, term."""
+    vocab = settled(vocabulary(terms, min_df, max_df))
+    weights = settled(weighted(terms, vocab))
+    axis, _ = axes(weights, vocab, k)
+    documents = terms.select("doc").distinct().count()
+    ratio = explained(weights, axis, documents, k)
+    size = vocab.agg(F.count("*").alias("vocabulary_size"))
+    report = coverage(held, vocab).withColumnsRenamed({"total": "held_out_tokens", "covered": "held_out_covered", "unknown": "held_out_unknown", "pct": "held_out_coverage_pct"})
+    one = F.lit(1).alias("_one")
+    report = report.select(one, "*").join(size.select(one, "*"), "_one").drop("_one")
+    return vocab, axis, report.select(F.lit(documents).cast("long").alias("documents"), F.lit(k).alias("components"), F.lit(min_df).alias("min_df"), F.lit(max_df).alias("max_df"), "vocabulary_size", F.lit(float(ratio)).alias("explained_variance_ratio"), "held_out_tokens", "held_out_covered", "held_out_unknown", "held_out_coverage_pct")
+
+
 def projected(weights: DataFrame, axis: DataFrame, k: int = COMPONENTS) -> DataFrame:
     """doc and k coordinates; documents whose terms are all unknown have no row here."""
     at = weights.join(axis, "term")

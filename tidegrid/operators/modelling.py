@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.config import ALPHAS, FOLDS, SHIFT_MARGIN
+from tidegrid.config import ALPHAS, FDR_LEVEL, FOLDS, SHIFT_MARGIN
 from tidegrid.operators import ridge, stats
 
 KEYS = ["session", "story", "j"]
@@ -51,6 +51,11 @@ def assembled(series: DataFrame, responses: DataFrame, features: list[str], test
     return Matrices(x.where(~test), y.where(~test), x_test, repeats.groupBy("j", "target").agg(F.avg("y").alias("y")), repeats, features)
 
 
+def missing_features(responses: DataFrame, series: DataFrame) -> DataFrame:
+    """session, story of the responses whose story has no features: they are left out of the fit."""
+    return responses.select("session", "story").distinct().join(series.select("story").distinct(), "story", "left_anti")
+
+
 def without_session(repeats: DataFrame) -> DataFrame:
     return repeats.select("target", "j", F.col("session").alias("repeat"), "y")
 
@@ -65,18 +70,13 @@ def encoded(m: Matrices, controls: list[str], alphas: tuple[float, ...] = ALPHAS
     n = m.x_test.count()
     lo, hi = stats.shifts(n, margin)
     use = [m.features.index(c) for c in controls]
-    vector = lambda df, value, name: df.groupBy("target").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", value))), lambda s: s[value]).alias(name))
-    all_ = ridge.predicted(m.x_test, ridge.chosen(gram, sums, "story", fold, alphas), m.features, ["j"])
-    less = ridge.predicted(m.x_test, ridge.chosen(gram, sums, "story", fold, alphas, use), controls, ["j"])
-    rows = vector(m.y_test, "y", "y").join(vector(all_, "p", "full"), "target").join(vector(less, "p", "less"), "target").persist()
-    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v)
-    tot = total(F.transform("y", lambda v: v * v)) - F.pow(total(F.col("y")), F.lit(2)) / n
-    res = lambda p: total(F.zip_with("y", p, lambda a, b: (a - b) * (a - b)))
-    fit = rows.select("target", stats.r2(res("full"), tot).alias("r2_global"), stats.r2(res("less"), tot).alias("r2_restricted"))
-    fit = fit.withColumn("delta", F.col("r2_global") - F.col("r2_restricted"))
-    p = stats.empirical_p(stats.shift_null(rows, ["target"], "y", "full", "less", n, margin), fit, ["target"], n)
+    whole = ridge.chosen(gram, sums, "story", fold, alphas)
+    less = ridge.chosen(gram, sums, "story", fold, alphas, use)
+    y = m.y_test.groupBy("target").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "y"))), lambda s: s["y"]).alias("y"))
+    rows = y.join(ridge.predicted(m.x_test, whole, m.features, "j").withColumnRenamed("p", "full"), "target").join(ridge.predicted(m.x_test, less, controls, "j").withColumnRenamed("p", "less"), "target")
+    fit = stats.tested(rows, ["target"], "y", "full", "less", n, margin)
     top = stats.ceiling(without_session(m.repeats), ["target"], "j", "repeat", "y")
-    out = fit.join(p, "target").join(top, "target", "left").withColumn("_one", F.lit(1))
+    out = fit.join(top, "target", "left").withColumn("_one", F.lit(1))
     out = stats.adjusted(stats.adjusted(out, ["_one"], "p_value", "p_fdr"), ["_one"], "p_value_sensitivity", "p_fdr_sensitivity")
     share = {c: stats.over_ceiling(F.col(c), F.col("ceiling")) for c in ("r2_global", "r2_restricted")}
     f = lambda c, name: c.cast("float").alias(name)
@@ -104,6 +104,20 @@ def scaled_by_training(train: DataFrame, test: DataFrame, columns: list[str]) ->
     return one(train), one(test)
 
 
+def simulation_summary(fits: DataFrame) -> DataFrame:
+    """targets, valid (r2_global above 0), their mean r2_global and delta_r2, and the largest delta_r2 of all; the means
+    and the largest are null where no target is valid. fits: r2_global, delta_r2."""
+    good = F.col("r2_global") > 0
+    out = fits.agg(F.count("*").alias("targets"), F.count_if(good).alias("valid"), F.avg(F.when(good, F.col("r2_global"))).alias("mean_r2_global"), F.avg(F.when(good, F.col("delta_r2"))).alias("mean_delta_r2"), F.max("delta_r2").alias("_top"))
+    return out.withColumn("max_delta_r2", F.when(F.col("valid") > 0, F.col("_top"))).drop("_top")
+
+
+def significance_summary(tests: DataFrame, level: float = FDR_LEVEL) -> DataFrame:
+    """targets, significant, and the mean and the largest delta_r2 of those (null without one). tests: p_fdr, delta_r2."""
+    sig = stats.significant(F.col("p_fdr"), level)
+    return tests.agg(F.count("*").alias("targets"), F.count_if(sig).alias("significant"), F.avg(F.when(sig, F.col("delta_r2"))).alias("mean_delta_r2"), F.max(F.when(sig, F.col("delta_r2"))).alias("max_delta_r2"))
+
+
 def simulated(spark, rows: int, features: int, targets: int, seed: int = 10) -> tuple[DataFrame, DataFrame]:
     """Unrelated normal features (story, j, x...) and responses (session, story, j, y), for checks that expect no effect."""
     base = spark.range(rows).select(F.concat(F.lit("s"), (F.col("id") % 4).cast("string")).alias("story"), "id")

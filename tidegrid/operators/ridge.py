@@ -6,6 +6,8 @@ the number of features. Targets are dealt into blocks; X'X is small and goes to
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -39,11 +41,35 @@ def gram(x: DataFrame, group: str, features: list[str]) -> dict[str, np.ndarray]
     return out
 
 
-def cross(x: DataFrame, y: DataFrame, keys: list[str], group: str, features: list[str], target: str = "target", value: str = "y") -> DataFrame:
-    """group, target, b (X'y), q (y'y): a row for each group and target. y is long: keys, target, y."""
-    v = F.col(value).cast("double")
-    sums = y.join(x.select(*dict.fromkeys([*keys, group]), *features), keys).groupBy(group, target).agg(F.array(*[F.sum(v * F.col(c)) for c in features]).alias("b"), F.sum(v * v).alias("q"))
-    return sums.select(group, target, "b", "q")
+#: Targets that meet a group's features in one matrix product.
+BLOCK = 256
+
+
+def cross(x: DataFrame, y: DataFrame, keys: list[str], group: str, features: list[str], target: str = "target", value: str = "y", block: int = BLOCK) -> DataFrame:
+    """group, target, b (X'y), q (y'y): a row for each group and target. y is long: keys, target (a whole number from 0),
+    y. A group's features meet a block of targets in one product, so they travel once for each block."""
+    last = y.agg(F.max(target).alias("n")).first()["n"]
+    ids = list(dict.fromkeys([*keys, group]))
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(int(last or 0) // block).cast("long")))
+    left = x.select(*ids, F.array(*[F.col(c).cast("double") for c in features]).alias("_x")).withColumn("_block", blocks)
+    right = y.where(F.col(value).isNotNull()).select(*keys, F.col(target).cast("long").alias("_target"), F.col(value).cast("double").alias("_y"), F.floor(F.col(target) / block).alias("_block"))
+    if group not in keys:
+        right = right.join(x.select(*keys, group), keys)
+    kind = dict(x.dtypes)[group]
+    # both may come from one table: columns of their own keep them apart
+    left, right = (df.select(*[F.col(c).alias(c) for c in df.columns]) for df in (left, right))
+
+    def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        both = b.merge(a[[*keys, "_x"]].assign(_row=np.arange(len(a))), on=keys)
+        if not len(both):
+            return pd.DataFrame({group: [], target: [], "b": [], "q": []})
+        names, column = np.unique(both["_target"].to_numpy(), return_inverse=True)
+        v = np.zeros((len(a), len(names)))
+        np.add.at(v, (both["_row"].to_numpy(), column), both["_y"].to_numpy())
+        b_ = np.stack(a["_x"].to_numpy()).T @ v
+        return pd.DataFrame({group: key[0], target: names, "b": b_.T.tolist(), "q": (v * v).sum(0)})
+
+    return left.groupBy(group, "_block").cogroup(right.groupBy(group, "_block")).applyInPandas(run, f"`{group}` {kind}, `{target}` {dict(y.dtypes)[target]}, b array<double>, q double")
 
 
 def chosen(g: dict[str, np.ndarray], stats: DataFrame, group: str, fold: dict[str, int], alphas: tuple[float, ...] = ALPHAS, use: list[int] | None = None, target: str = "target") -> DataFrame:
@@ -79,6 +105,12 @@ def chosen(g: dict[str, np.ndarray], stats: DataFrame, group: str, fold: dict[st
     return stats.groupBy(target).applyInPandas(run, f"{target} {kind}, alpha double, score double, w array<double>")
 
 
+def bands(sizes: list[int]) -> list[list[int]]:
+    """The numbers of each group's features, one group after the other."""
+    ends = np.cumsum([0, *sizes]).tolist()
+    return [list(range(a, b)) for a, b in zip(ends[:-1], ends[1:])]
+
+
 def banded(features: list[list[int]], scales: list[float]) -> np.ndarray:
     """Penalty scales per feature for groups of features with a scale each: multiply X's columns by their roots."""
     out = np.ones(sum(map(len, features)))
@@ -87,16 +119,40 @@ def banded(features: list[list[int]], scales: list[float]) -> np.ndarray:
     return out
 
 
-def predicted(x: DataFrame, weights: DataFrame, features: list[str], keys: list[str], target: str = "target") -> DataFrame:
-    """keys, target, p. weights (target, w) meet rows of x by an equality on nothing but the held-out group, so
-    they are exploded to (feature, target) and summed: no pair of rows is made that is not in the result."""
-    long = x.select(*keys, F.posexplode(F.array(*[F.col(c).cast("double") for c in features])).alias("_i", "_x"))
-    parts = weights.select(target, F.posexplode("w").alias("_i", "_w"))
-    return long.join(parts, "_i").groupBy(*keys, target).agg(F.sum(F.col("_x") * F.col("_w")).alias("p"))
-
-
-def solve_two(sxx: str, sxz: str, szz: str, sxy: str, szy: str, alpha: float) -> tuple:
-    """Closed form of two features: columns of the weights from the sums' columns."""
-    a, b, d = F.col(sxx) + alpha, F.col(sxz), F.col(szz) + alpha
-    det = a * d - b * b
-    return (d * F.col(sxy) - b * F.col(szy)) / det, (a * F.col(szy) - b * F.col(sxy)) / det
+def searched(g: dict[str, np.ndarray], stats: DataFrame, group: str, fold: dict[str, int], features: list[list[int]], alphas: tuple[float, ...] = ALPHAS, draws: int = 20, seed: int = 42, target: str = "target") -> DataFrame:
+    """target, draw, alpha, score, w: banded ridge by random search. Each draw weighs the groups of features by a seeded
+    Dirichlet sample (the first weighs them alike); for each target the draw and penalty of the best mean validation
+    R2 are refitted on all groups. w belongs to the features as they are. Draws only scale the sums; nothing is read again."""
+    rng, best = np.random.default_rng(seed), None
+    weight = np.vstack([np.full(len(features), 1 / len(features)), rng.dirichlet(np.ones(len(features)), max(0, draws - 1))])
+    for i, scales in enumerate(weight):
+        root = banded(features, (scales * len(features)).tolist())
+        scaled = {k: m * root[:, None] * root[None] for k, m in g.items()}
+        roots = F.array(*[F.lit(float(r)) for r in root])
+        one = chosen(scaled, stats.withColumn("b", F.zip_with("b", roots, lambda b, r: b * r)), group, fold, alphas, target=target)
+        one = one.select(target, F.lit(i).alias("draw"), "alpha", "score", F.zip_with("w", roots, lambda w, r: w * r).alias("w"))
+        best = one if best is None else best.unionByName(one)
+    top = best.groupBy(target).agg(F.max(F.struct("score", (-F.col("draw")).alias("first"), "draw", "alpha", "w")).alias("t"))
+    return top.select(target, "t.draw", "t.alpha", "t.score", "t.w")
+
+
+#: Bytes of the held-out matrix that every task gets a copy of at most.
+SENT = 256_000_000
+
+
+def predicted(x: DataFrame, weights: DataFrame, features: list[str], order: str, target: str = "target") -> DataFrame:
+    """target, p: the predictions of each target for all rows of x, an array in their order. The held-out matrix (rows of
+    one story times features) is sent to the weights after its size is checked; nothing is shuffled."""
+    n = x.count()
+    if 8 * n * len(features) > SENT:
+        raise ValueError(f"{n} held-out rows of {len(features)} features are more than {SENT} bytes: predict them in parts")
+    held = np.array([list(r)[1:] for r in x.select(order, *features).orderBy(order).collect()], float).reshape(n, len(features))
+    sent = x.sparkSession.sparkContext.broadcast(held)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                w = np.stack([np.asarray(v, float) for v in frame["w"]])
+                yield pd.DataFrame({target: frame[target], "p": (w @ sent.value.T).tolist()})
+
+    return weights.select(target, "w").mapInPandas(run, f"`{target}` {dict(weights.dtypes)[target]}, p array<double>")

@@ -54,8 +54,8 @@ def decimated(x: np.ndarray, down: int) -> np.ndarray:
     return convolved(padded, h)[half : half + len(x)][::down]
 
 
-def responses(series: DataFrame, columns: list[str], kernel: np.ndarray | None = None, rate: float = SAMPLE_RATE, step: float = STEP_SECONDS, decimate: bool = True, block: int = 16) -> DataFrame:
-    """story, j, columns: the series convolved with the kernel and brought to one row per step."""
+def responses(series: DataFrame, columns: list[str], kernel: np.ndarray | None = None, rate: float = SAMPLE_RATE, step: float = STEP_SECONDS, decimate: bool = True, block: int = 16, kind: str = "float") -> DataFrame:
+    """story, j, columns: the series convolved with the kernel and brought to one row per step, as floats or doubles."""
     h, down = double_gamma(rate) if kernel is None else np.asarray(kernel, float), int(rate * step)
     blocks = [columns[i : i + block] for i in range(0, len(columns), block)]
 
@@ -64,13 +64,13 @@ def responses(series: DataFrame, columns: list[str], kernel: np.ndarray | None =
             frame = frame.sort_values("k")
             y = convolved(frame[names].to_numpy(float), h)
             y = decimated(y, down) if decimate else y
-            out = pd.DataFrame(y.astype(np.float32), columns=names)
+            out = pd.DataFrame(y.astype(np.float32 if kind == "float" else float), columns=names)
             out.insert(0, "j", np.arange(len(y), dtype=np.int64))
             out.insert(0, "story", frame["story"].iloc[0])
             return out
 
-        kind = ", ".join(f"`{c}` float" for c in names)
-        return series.select("story", "k", *names).groupBy("story").applyInPandas(run, f"story {dict(series.dtypes)['story']}, j long, {kind}")
+        columns_ = ", ".join(f"`{c}` {kind}" for c in names)
+        return series.select("story", "k", *names).groupBy("story").applyInPandas(run, f"story {dict(series.dtypes)['story']}, j long, {columns_}")
 
     out = one(blocks[0])
     for names in blocks[1:]:

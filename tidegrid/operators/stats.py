@@ -5,6 +5,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,6 +85,47 @@ def empirical_p(null: DataFrame, observed: DataFrame, keys: list[str], n: int, m
     return out.select(*keys, "n_shifts", "n_shifts_sensitivity", share("_h", "n_shifts").alias("p_value"), F.when(F.col("n_shifts_sensitivity") > 0, share("_hf", "n_shifts_sensitivity")).alias("p_value_sensitivity"))
 
 
+def _turned(y: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Sums of y[t] * p[(t - s) mod n] for every shift s, row by row, by one Fourier transform each."""
+    return np.fft.irfft(np.fft.rfft(y, axis=1) * np.conj(np.fft.rfft(p, axis=1)), y.shape[1], axis=1)
+
+
+def _r2_rows(res: np.ndarray, tot: np.ndarray) -> np.ndarray:
+    return np.where(tot > 0, 1 - res / np.where(tot > 0, tot, 1), np.where(res == 0, 1.0, 0.0))
+
+
+def tested(rows: DataFrame, keys: list[str], y: str, full: str, less: str, n: int, margin: int = SHIFT_MARGIN, far: int = SENSITIVITY_MARGIN, places: int | None = None) -> DataFrame:
+    """keys, r2_global, r2_restricted, delta, n_shifts, n_shifts_sensitivity, p_value, p_value_sensitivity of rows that
+    hold a vector of each kind (all of length n). All admissible shifts of a batch of rows are one Fourier transform,
+    and only counts leave it. places: decimals that differences are compared in (all, if None)."""
+    lo, hi = shifts(n, margin)
+    shift = np.arange(lo, hi + 1)
+    distant = (shift >= far) & (shift <= n - far)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if not len(frame):
+                continue
+            a, p, q = (np.stack([np.asarray(v, float) for v in frame[c]]) for c in (y, full, less))
+            yy, tot = (a * a).sum(1), ((a - a.mean(1, keepdims=True)) ** 2).sum(1)
+            observed = [_r2_rows(((a - x) ** 2).sum(1), tot) for x in (p, q)]
+            null = [_r2_rows((yy + (x * x).sum(1))[:, None] - 2 * _turned(a, x)[:, lo : hi + 1], tot[:, None]) for x in (p, q)]
+            delta, turned = observed[0] - observed[1], null[0] - null[1]
+            if places is not None:
+                delta, turned = np.round(delta, places), np.round(turned, places)
+            hit = turned >= delta[:, None]
+            out = frame[keys].copy()
+            out["r2_global"], out["r2_restricted"], out["delta"] = *observed, delta
+            out["n_shifts"], out["n_shifts_sensitivity"] = len(shift), int(distant.sum())
+            out["p_value"] = (hit.sum(1) + 1) / (len(shift) + 1)
+            out["p_value_sensitivity"] = (hit[:, distant].sum(1) + 1) / (distant.sum() + 1) if distant.any() else None
+            yield out
+
+    kinds = dict(rows.dtypes)
+    named = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    return rows.select(*keys, y, full, less).mapInPandas(run, f"{named}, r2_global double, r2_restricted double, delta double, n_shifts long, n_shifts_sensitivity long, p_value double, p_value_sensitivity double")
+
+
 def adjusted(rows: DataFrame, keys: list[str], p: str, name: str = "p_fdr") -> DataFrame:
     """Benjamini-Hochberg: the window runs over distinct p-values of each key (few, as they come from counted
     shifts), never over all rows; null p stays null."""
