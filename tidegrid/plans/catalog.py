@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidegrid.config import PHONE_CLASSES
 from tidegrid.functions import text as T
-from tidegrid.functions import vectors as V
-from tidegrid.operators import audit, features, grid, joins, lsa, report, ridge, segments, signal, stats
+from tidegrid.operators import audit, features, grid, joins, lsa, modelling, report, ridge, segments, signal, stats
 from tidegrid.plans.oracle import ORACLES
-from tidegrid.sources import store
+from tidegrid.sources import store, textgrid
 
 FLAGSHIP = "grid_projection"
 HOUR = 3600.0
@@ -76,7 +78,7 @@ def token_inventory(spark, sf):
 
 
 def chunk_describe(spark, sf):
-    by = _docs(spark, sf).where("lang = 'en'").withColumn("ends", F.col("token").rlike("[.!?]$").cast("int"))
+    by = _docs(spark, sf).withColumn("ends", F.col("token").rlike("[.!?]$").cast("int"))
     clause = F.coalesce(F.sum("ends").over(Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     n = by.withColumn("clause", clause).groupBy("source", "doc", "clause").agg(F.count("*").alias("words"))
     d = audit.distribution(n, ["source"], "words")
@@ -84,8 +86,10 @@ def chunk_describe(spark, sf):
 
 
 def noise_and_clean_tokens(spark, sf):
-    x = _docs(spark, sf).withColumn("noise", T.is_noise(F.col("token"))).withColumn("word", T.clean_word(F.col("token")))
-    return x.groupBy("source").agg(F.count("*").alias("tokens"), F.count_if("noise").alias("noise_tokens"), F.count_if(~F.col("noise") & (F.col("word") != "")).alias("words"), F.count_if(~F.col("noise") & (F.col("word") == "")).alias("neither"), F.sum(F.when(~F.col("noise"), F.length("word"))).alias("letters"))
+    # each distinct token is classified once
+    x = _docs(spark, sf).groupBy("source", "token").agg(F.count("*").alias("n")).withColumn("noise", T.is_noise(F.col("token"))).withColumn("word", T.clean_word(F.col("token")))
+    of = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    return x.groupBy("source").agg(F.sum("n").alias("tokens"), of(F.col("noise")).alias("noise_tokens"), of(~F.col("noise") & (F.col("word") != "")).alias("words"), of(~F.col("noise") & (F.col("word") == "")).alias("neither"), F.sum(F.when(~F.col("noise"), F.length("word") * F.col("n"))).alias("letters"))
 
 
 def url_field_extract(spark, sf):
@@ -116,7 +120,7 @@ def grid_projection(spark, sf):
 def grid_runs(spark, sf):
     x = _intervals(spark, sf)
     flag = x.withColumn("state", F.when(F.col("event_type") == "purchase", 1).otherwise(0))
-    return grid.runs(grid.project(flag, _sizes(x), ["state"], 1.0), ["state"])
+    return grid.runs(grid.owned(flag, _sizes(x), ["state"], 1.0), ["state"])
 
 
 def grid_onehot_features(spark, sf):
@@ -155,7 +159,7 @@ def fit_clauses(spark, sf):
 
 
 def _rebuilt(spark, sf):
-    d = _docs(spark, sf).where("lang = 'es'").select(F.col("doc").alias("story"), F.col("pos").cast("long").alias("ord"), F.lit(0.0).alias("t0"), F.lit(0.0).alias("t1"), F.col("token").alias("word"), F.lit("").alias("mark"))
+    d = _docs(spark, sf).select(F.col("doc").alias("story"), F.col("pos").cast("long").alias("ord"), F.lit(0.0).alias("t0"), F.lit(0.0).alias("t1"), F.col("token").alias("word"), F.lit("").alias("mark"))
     return segments.offsets(d)
 
 
@@ -167,22 +171,23 @@ def char_token_containment(spark, sf):
 
 def token_class_priority(spark, sf):
     w = F.lower("token")
-    x = _docs(spark, sf).where("lang = 'en'").select("source", w.alias("text"), F.when(w.rlike("(ed|ing|en)$"), "VERB").when(w.rlike("ly$"), "ADV").when(w.isin("the", "a", "an"), "DET").otherwise("NOUN").alias("pos"), F.when(w.rlike("ing$"), "VBG").when(w.rlike("[ae]ted$"), "VBN").when(w.rlike("(ed|en)$"), "VBD").otherwise("NN").alias("tag"))
+    x = _docs(spark, sf).select("source", w.alias("text"), F.when(w.rlike("(ed|ing|en)$"), "VERB").when(w.rlike("ly$"), "ADV").when(w.isin("the", "a", "an"), "DET").otherwise("NOUN").alias("pos"), F.when(w.rlike("ing$"), "VBG").when(w.rlike("[ae]ted$"), "VBN").when(w.rlike("(ed|en)$"), "VBD").otherwise("NN").alias("tag"))
     x = features.tense(features.categorical(x))
     return x.groupBy("source").agg(*[F.sum(F.col(c).cast("long")).alias(c) for c in ("noun", "adverb", "determiner", "non_finite_verb", "past_regular", "past_irregular", "past_total")])
 
 
 def phone_features(spark, sf):
-    """Upper-case letter pairs of documents as phones, by source."""
-    x = _docs(spark, sf).where("lang = 'en'").select("source", F.upper(F.regexp_replace(F.substring("token", 1, 2), "[^a-zA-Z]", "")).alias("text"))
-    x = features.phonological(x)
-    return x.groupBy("source").agg(*[F.sum(F.col(c).cast("long")).alias(c) for c in ("vocalic", "consonantal", "voiced", "fricative", "nasal", "approximant")])
+    """All pairs of neighbouring letters of documents, in upper case, as phones, by source."""
+    words = _docs(spark, sf).groupBy("source", F.upper(F.regexp_replace("token", "[^a-zA-Z]", "")).alias("w")).agg(F.count("*").alias("n"))
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("w") - 1)), lambda i: F.substring(F.col("w"), i, F.lit(2)))
+    x = features.phonological(words.select("source", "n", F.explode(pairs).alias("text")))
+    return x.groupBy("source").agg(*[F.sum(F.col(c) * F.col("n")).alias(c) for c in PHONE_CLASSES])
 
 
 def lexical_features(spark, sf):
     d = _docs(spark, sf)
     freq = d.groupBy(F.col("token").alias("word")).agg((F.log10(F.count("*").cast("double")) + 3).alias("zipf")).where("zipf >= 4")
-    x = features.lexical(d.where("lang = 'de'").select("source", F.col("token").alias("word"), F.lit(0.0).alias("t0"), F.lit(0.25).alias("t1")), freq)
+    x = features.lexical(d.select("source", F.col("token").alias("word"), F.lit(0.0).alias("t0"), F.lit(0.25).alias("t1")), freq)
     return x.groupBy("source").agg(_r(F.sum("word_presence"), "presence"), _r(F.avg("lexical_frequency"), "frequency"), _r(F.avg("word_length_chars"), "chars"), _r(F.sum("word_duration_secs"), "seconds"))
 
 
@@ -192,11 +197,14 @@ def parent_depth(spark, sf):
     c = _t(spark, sf, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("i"), F.concat(F.lit("n"), "c_nationkey").alias("head_i"))
     s = _t(spark, sf, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("i"), F.concat(F.lit("n"), "s_nationkey").alias("head_i"))
     nodes = r.union(n).union(c).union(s).withColumn("story", F.lit(1))
-    return features.depths(nodes, "story", "i", "head_i", 8).select("i", "head_i", F.col("depth").cast("long").alias("depth"))
+    return features.depths(nodes, "story", "i", "head_i").select("i", "head_i", F.col("depth").cast("long").alias("depth"))
 
 
 def _terms(spark, sf):
-    return _docs(spark, sf).where("lang = 'en'").select("doc", "source", T.clean_word(F.col("token")).alias("term")).where("length(term) > 1")
+    """doc, source, term: tokens cleaned of all but letters and apostrophes, two letters or more; a text is cleaned whole."""
+    d = _t(spark, sf, "documents").where("text IS NOT NULL")
+    clean = F.lower(F.regexp_replace("text", r"[^a-zA-Z'\x20\x09-\x0D]", ""))
+    return d.select(F.col("doc_id").alias("doc"), "source", F.explode(F.split(clean, r"[\x20\x09-\x0D]+")).alias("term")).where("length(term) > 1")
 
 
 def tfidf_top_terms(spark, sf):
@@ -213,13 +221,22 @@ def lexical_coverage(spark, sf):
 
 
 def _latent(spark, sf):
-    """Weights and axes; both are read several times, so the weights are kept while the session wants them."""
     t = _terms(spark, sf).select("doc", "term")
-    v = lsa.vocabulary(t, min_df=20).persist()
-    w = lsa.weighted(t, v).persist()
+    v = store.settled(lsa.vocabulary(t))
+    w = store.settled(lsa.weighted(t, v))
     return w, lsa.axes(w, v)[0]
 
 
+def lsa_fit_report(spark, sf):
+    """The model of all sources but one, told by its report and checked on that one, after a round trip to tables."""
+    t = _terms(spark, sf)
+    made = lsa.fit(t.where("source <> 'src3'").select("doc", "term"), t.where("source = 'src3'").select("term"))
+    store.save_model(folder := store.shared_folder(spark), *made)
+    v, axis, told = store.load_model(spark, folder)
+    sizes = v.join(axis.select("term", F.lit(1).alias("has")), "term", "left").agg(F.count("*").alias("vocabulary_size"), F.count("has").alias("axis_terms"), _r(F.sum("idf"), "idf_sum", 4))
+    return told.select("documents", "components", "min_df", "max_df", "vocabulary_size", "held_out_tokens", "held_out_covered", "held_out_unknown", "held_out_coverage_pct").join(sizes, "vocabulary_size")
+
+
 def lsa_projection(spark, sf):
     return lsa.projected(*_latent(spark, sf))
 
@@ -244,9 +261,19 @@ def fir_convolve_decimate(spark, sf):
 
 
 def response_series(spark, sf):
-    """Double-gamma responses of hourly counts at one sample a second, one row for two."""
-    out = signal.responses(_hourly(spark, sf), ["n"], signal.double_gamma(1.0), 1.0, 2.0)
-    return out.select("story", "j", F.round(F.col("n").cast("double"), 4).alias("n"))
+    """Double-gamma responses of hourly counts at one sample a second, filtered and brought to one row for two."""
+    out = signal.responses(_hourly(spark, sf), ["n"], signal.double_gamma(1.0), 1.0, 2.0, kind="double")
+    return out.select("story", "j", _r(F.col("n"), "n"))
+
+
+def pulse_response(spark, sf):
+    """The tidy series behind a chart: a pulse at each region's second, at 100 samples a second, its response, and the
+    response at one row for two seconds."""
+    at = _t(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("story"), (F.col("r_regionkey") * 150 + 20).alias("at"))
+    series = at.select("story", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5999).cast("long"))).alias("k"), "at").withColumn("n", (F.col("k") == F.col("at")).cast("double"))
+    fine = signal.responses(series, ["n"], decimate=False, kind="double").select("story", F.col("j").alias("k"), F.col("n").alias("fine"))
+    coarse = signal.responses(series, ["n"], kind="double").select("story", (F.col("j") * 200).alias("k"), F.col("n").alias("coarse"))
+    return fine.join(coarse, ["story", "k"], "left").select("story", "k", _r(F.col("fine"), "fine", 9), _r(F.col("coarse"), "coarse", 9))
 
 
 def session_zscore(spark, sf):
@@ -288,13 +315,8 @@ def r2_and_delta(spark, sf):
 
 
 def _tested(spark, sf):
-    x = _predicted(spark, sf).where("label < 4")
-    null = stats.shift_null(x, ["vec_id"], "y", "full", "less", N_TIME).withColumn("delta", F.round("delta", 9))
-    tot = F.expr("aggregate(y, 0D, (a, v) -> a + v * v)") - F.pow(V.total(F.col("y")), F.lit(2)) / N_TIME
-    res = lambda p: F.aggregate(F.zip_with("y", p, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, v: a + v)
-    obs = x.select("vec_id", F.col("label"), stats.r2(res("full"), tot).alias("r2_global"), stats.r2(res("less"), tot).alias("r2_restricted"))
-    obs = obs.withColumn("delta", F.round(F.col("r2_global") - F.col("r2_restricted"), 9))
-    return obs.join(stats.empirical_p(null, obs, ["vec_id"], N_TIME), "vec_id")
+    x = _predicted(spark, sf)
+    return stats.tested(x, ["vec_id", "label"], "y", "full", "less", N_TIME, places=9)
 
 
 def circular_shift_null(spark, sf):
@@ -310,19 +332,38 @@ def _results(spark, sf):
     x = _tested(spark, sf).withColumn("p_value", F.round("p_value", 9)).withColumn("p_value_sensitivity", F.round("p_value_sensitivity", 9))
     x = stats.adjusted(stats.adjusted(x, ["label"], "p_value", "p_value_fdr"), ["label"], "p_value_sensitivity", "p_value_fdr_sensitivity")
     top = stats.ceiling(_long(spark, sf), ["label"], "t", "vec_id", "v")
-    x = x.join(top, "label").withColumnRenamed("delta", "delta_r2")
+    x = x.join(top, "label").withColumnRenamed("delta", "delta_r2").withColumn("n_exhaustive_shifts", F.col("n_shifts")).withColumn("p_resolution_min", 1 / (F.col("n_shifts") + 1))
+    x = x.withColumn("n_exhaustive_shifts_sensitivity", F.col("n_shifts_sensitivity")).withColumn("p_resolution_min_sensitivity", 1 / (F.col("n_shifts_sensitivity") + 1))
     return x.withColumn("r2_global_normalized", stats.over_ceiling(F.col("r2_global"), F.col("ceiling"))).withColumn("delta_r2_normalized", F.col("r2_global_normalized") - stats.over_ceiling(F.col("r2_restricted"), F.col("ceiling")))
 
 
 def voxel_metrics_report(spark, sf):
     m = report.metrics(_results(spark, sf), ["label"])
-    return m.select("label", "total", *[_r(F.col(c), c) for c in ("r2_global_median", "r2_global_max", "r2_global_positive_pct", "delta_median", "delta_iqr", "delta_p5", "delta_p95", "delta_positive_pct", "sig_pct", "ceiling_pct", "sig_sensitivity_pct")], "sig_count", "sig_sensitivity_count", "sig_delta_mean", "sensitivity_stability_pct")
+    return m.select("label", "total", *[_r(F.col(c), c) for c in ("r2_global_median", "r2_global_max", "r2_global_positive_pct", "delta_median", "delta_iqr", "delta_p5", "delta_p95", "delta_positive_pct", "sig_pct", "ceiling_pct", "sig_sensitivity_pct")], "sig_count", "sig_sensitivity_count", "sig_delta_mean", "r2_global_normalized_median", "delta_normalized_median", "delta_normalized_p95", "sig_delta_normalized_mean", "sensitivity_stability_pct", "n_exhaustive_shifts", _r(F.col("p_resolution_min"), "p_resolution_min"))
 
 
 def subject_markdown(spark, sf):
     return report.markdown(report.metrics(_results(spark, sf), ["label"]).select("label", "total", "sig_count", "sig_delta_mean"), "label")
 
 
+def subject_report(spark, sf):
+    return report.subject_report(report.metrics(_results(spark, sf), ["label"]), "label")
+
+
+def report_document(spark, sf):
+    return report.document(report.metrics(_results(spark, sf), ["label"]), "label", "Report")
+
+
+def simulation_summary(spark, sf):
+    got = modelling.simulation_summary(_tested(spark, sf).withColumnRenamed("delta", "delta_r2"))
+    return got.select("targets", "valid", *[_r(F.col(c), c) for c in ("mean_r2_global", "mean_delta_r2", "max_delta_r2")])
+
+
+def significance_summary(spark, sf):
+    x = stats.adjusted(_tested(spark, sf).withColumn("p_value", F.round("p_value", 9)), ["label"], "p_value").withColumnRenamed("delta", "delta_r2")
+    return modelling.significance_summary(x).select("targets", "significant", _r(F.col("mean_delta_r2"), "mean_delta_r2"), _r(F.col("max_delta_r2"), "max_delta_r2"))
+
+
 def across_subjects(spark, sf):
     a = report.across(report.metrics(_results(spark, sf), ["label"]))
     return a.select("subjects", "subjects_with_effect", _r(F.col("mean_sig_pct"), "mean_sig_pct"), _r(F.col("mean_delta_median"), "mean_delta_median"))
@@ -335,22 +376,15 @@ def layer_masks(spark, sf):
     return counts.join(lim, "label").select("label", "n_r2", "n_significant", *[_r(F.col(c), c) for c in ("limit_r2", "limit_significant", "limit_delta")])
 
 
-def ridge_two_feature_cv(spark, sf):
-    """Best of three penalties for discount ~ quantity, tax (centred), validated by line numbers in three folds."""
-    x = _t(spark, sf, "lineitem").select((F.col("l_linenumber") % 3).alias("fold"), (F.col("l_quantity") - 25).alias("x"), (F.col("l_tax") - 0.04).alias("z"), (F.col("l_extendedprice") / 10000 - 3).alias("y"))
-    sums = x.groupBy("fold").agg(*[F.sum(F.col(a) * F.col(b)).alias(a + b) for a, b in ("xx", "xz", "zz", "xy", "zy", "yy")])
-    names = ["xx", "xz", "zz", "xy", "zy", "yy"]
-    whole = sums.agg(*[F.sum(c).alias(f"t_{c}") for c in names]).withColumn("one", F.lit(1))
-    out = None
-    for a in (0.01, 1.0, 100.0):
-        f = sums.withColumn("one", F.lit(1)).join(F.broadcast(whole), "one")
-        f = f.withColumns({f"r_{c}": F.col(f"t_{c}") - F.col(c) for c in names})
-        w, v = ridge.solve_two("r_xx", "r_xz", "r_zz", "r_xy", "r_zy", a)
-        f = f.withColumn("w", w).withColumn("v", v)
-        sse = F.col("yy") - 2 * (F.col("w") * F.col("xy") + F.col("v") * F.col("zy")) + F.col("w") ** 2 * F.col("xx") + 2 * F.col("w") * F.col("v") * F.col("xz") + F.col("v") ** 2 * F.col("zz")
-        one = f.select("fold", F.lit(a).alias("alpha"), (1 - sse / F.col("yy")).alias("score"))
-        out = one if out is None else out.unionByName(one)
-    return out.groupBy("alpha").agg(_r(F.avg("score"), "score"))
+def ridge_chosen(spark, sf):
+    """The engine's fit of two targets by two features, penalties chosen by folds of keys."""
+    k = F.col("o_orderkey")
+    x = _t(spark, sf, "orders").select("o_orderkey", (k % 3).cast("string").alias("story"), (k % 97 - 48).cast("double").alias("x"), (F.col("o_custkey") % 13 - 6).cast("double").alias("z"), F.array(F.col("o_totalprice") / 100_000 - 2.5, k % 89 / 10 - 4).alias("y"))
+    keys, names = ["o_orderkey"], ["x", "z"]
+    sums = ridge.cross(x.select(*keys, "story", *names), x.select(*keys, F.posexplode("y").alias("target", "y")), keys, "story", names)
+    sizes = {r["story"]: r["count"] for r in x.groupBy("story").count().collect()}
+    got = ridge.chosen(ridge.gram(x, "story", names), sums, "story", ridge.folds(sizes), (100.0, 1e5, 1e8))
+    return got.select(F.col("target").cast("long").alias("target"), "alpha", _r(F.col("score"), "score"), _r(F.col("w")[0], "w_x"), _r(F.col("w")[1], "w_z"))
 
 
 def ridge_many_targets(spark, sf):
@@ -364,6 +398,27 @@ def ridge_many_targets(spark, sf):
     return got.select(F.col("target").cast("long").alias("target"), "alpha", F.round("score", 6).alias("score"), F.transform("w", lambda v: F.round(v, 6)).alias("w"))
 
 
+def banded_search(spark, sf):
+    """The last 32 dimensions of the embeddings from the first 8 in two bands, by random search, validated by label."""
+    x = _vectors(spark, sf)
+    names = [f"x{i}" for i in range(8)]
+    rows = x.select("vec_id", F.concat(F.lit("g"), "label").alias("story"), *[F.col("y")[i].alias(n) for i, n in enumerate(names)])
+    y = x.select("vec_id", F.posexplode(F.slice("y", 33, 32)).alias("target", "y"))
+    sizes = {r["story"]: r["count"] for r in rows.groupBy("story").count().collect()}
+    sums = store.settled(ridge.cross(rows, y, ["vec_id"], "story", names))
+    got = ridge.searched(ridge.gram(rows, "story", names), sums, "story", ridge.folds(sizes), ridge.bands([3, 5]), draws=5)
+    return got.select(F.col("target").cast("long").alias("target"), F.col("draw").cast("long").alias("draw"), "alpha", F.round("score", 6).alias("score"))
+
+
+def encoder_results(spark, sf):
+    """Assembly and fit end to end: labels are stories, the last eight dimensions targets, the first eight features."""
+    x = _vectors(spark, sf).withColumn("j", (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).cast("long")).withColumn("story", F.concat(F.lit("g"), "label"))
+    names = [f"x{i}" for i in range(8)]
+    series = x.select("story", "j", *[F.col("y")[i].alias(n) for i, n in enumerate(names)])
+    bold = modelling.long_form(x.select(F.lit("ses-1").alias("session"), "story", "j", F.slice("y", 57, 8).alias("y")))
+    return modelling.encoded(modelling.assembled(series, bold, names, "g9"), names[:6], margin=5)
+
+
 def checkpoint_antijoin(spark, sf):
     done = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber")
     return joins.not_done(_t(spark, sf, "orders").select("o_orderkey"), done, "o_orderkey", "l_linenumber", 6)
@@ -380,6 +435,168 @@ def balanced_folds(spark, sf):
     return spark.createDataFrame([(k, v) for k, v in ridge.folds(sizes).items()], "source string, fold long")
 
 
+def silence_relabel(spark, sf):
+    return _transcript(spark, sf).groupBy(T.relabel_silence(F.col("text")).alias("label")).agg(F.count("*").alias("n"))
+
+
+def attach_marks(spark, sf):
+    """Texts whose marks stand apart, put together again."""
+    apart = F.regexp_replace("text", "([.,])", " $1")
+    d = _t(spark, sf, "documents").where("text IS NOT NULL")
+    return d.select("doc_id", F.length(T.attach_punctuation(apart)).cast("long").alias("letters"), F.length(T.attach_punctuation(F.col("text"))).cast("long").alias("own_letters"))
+
+
+def active_rows(spark, sf):
+    x = grid_onehot_features(spark, sf)
+    return grid.active(x, [f"is_{k}" for k in KINDS[:3]])
+
+
+def content_lemmas(spark, sf):
+    w = F.lower("token")
+    x = _docs(spark, sf).select("source", F.col("token").alias("lemma"), w.isin("the", "of", "and", "to", "in").alias("is_stop"), F.col("token").rlike("^[.,;:!?-]+$").alias("is_punct"), F.col("token").rlike("^[0-9]+$").alias("like_num"))
+    return x.where(T.is_content_lemma(F.col("lemma"), F.col("is_stop"), F.col("is_punct"), F.col("like_num"))).groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("lemma").alias("kinds"))
+
+
+def display_distinct(spark, sf):
+    o = _t(spark, sf, "orders").select("o_custkey", "o_orderstatus", "o_orderpriority", "o_orderkey")
+    return segments.first_of_each(o, ["o_custkey", "o_orderstatus", "o_orderpriority"], "o_orderkey")
+
+
+def extreme_orders(spark, sf):
+    low, high = audit.extremes(_t(spark, sf, "orders").select("o_totalprice", "o_orderkey"), "o_totalprice")
+    return low.withColumn("side", F.lit("low")).unionByName(high.withColumn("side", F.lit("high")))
+
+
+def bids_fields(spark, sf):
+    """Subject, session and run from file names that have them, in part or not at all."""
+    k, two = F.col("c_custkey"), lambda c: F.lpad(c.cast("string"), 2, "0")
+    path = F.concat(F.lit("/data/fmri/"), F.when(k % 7 != 0, F.concat(F.when(k % 2 == 0, F.lit("sub-")).otherwise(F.lit("")), F.lit("uts"), two(k % 100))).otherwise(F.lit("other")), F.when(k % 3 != 0, F.concat(F.lit("_ses-"), two(k % 20))).otherwise(F.lit("")), F.when(k % 5 != 0, F.concat(F.lit("_run-"), two(k % 9))).otherwise(F.lit("")), F.lit(".hf5"))
+    return _t(spark, sf, "customer").select("c_custkey", path.alias("path")).select("c_custkey", T.subject_id(F.col("path")).alias("subject_id"), T.session_id(F.col("path")).alias("session_id"), T.run_id(F.col("path")).alias("run_id"), T.stem_of(F.col("path")).alias("stem"))
+
+
+def repeat_counts(spark, sf):
+    return audit.repeated(coverage_left_join(spark, sf), "presentations")
+
+
+def validity_counts(spark, sf):
+    has = _t(spark, sf, "supplier").select(F.col("s_nationkey").alias("n_nationkey"), F.lit(True).alias("valid")).distinct()
+    return audit.validity(_t(spark, sf, "nation").join(has, "n_nationkey", "left"), "n_name", "valid")
+
+
+def missing_features(spark, sf):
+    o = _t(spark, sf, "orders").select(F.col("o_orderstatus").alias("session"), F.col("o_custkey").alias("story"))
+    return modelling.missing_features(o, _t(spark, sf, "customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("story")))
+
+
+def subject_fallback(spark, sf):
+    """Names known with the prefix, without it, and not at all."""
+    k = F.col("c_custkey")
+    rows = _t(spark, sf, "customer").select("c_custkey", k.cast("string").alias("subject"))
+    known = _t(spark, sf, "customer").where(k % 3 != 0).select(F.when(k % 3 == 1, F.concat(F.lit("sub-"), k)).otherwise(k.cast("string")).alias("subject"))
+    return joins.with_fallback(rows, known, "subject", "sub-").select("c_custkey", "name")
+
+
+def syntactic_features(spark, sf):
+    """Tokens of a document as a tree in which place i hangs below place i div 2; sums of the three columns."""
+    x = _docs(spark, sf).select(F.col("doc").alias("story"), F.row_number().over(Window.partitionBy("doc").orderBy("pos")).alias("n")).select("story", (F.col("n") - 1).alias("i")).withColumn("head_i", F.expr("i div 2").cast("int"))
+    return features.syntactic(x).groupBy("story").agg(F.sum("dependency_distance").cast("long").alias("distance"), F.sum("syntactic_depth").cast("long").alias("depth"), F.max("syntactic_depth").cast("long").alias("deepest"), F.sum("is_root").cast("long").alias("roots"))
+
+
+def scaled_by_training(spark, sf):
+    x = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("x"), F.col("l_tax").alias("z"))
+    train, test = modelling.scaled_by_training(x.where("l_orderkey % 4 <> 0"), x.where("l_orderkey % 4 = 0"), ["x", "z"])
+    both = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+    return both.groupBy("part", "l_linenumber").agg(F.count("*").alias("n"), _r(F.avg("x"), "x"), _r(F.avg("z"), "z"), _r(F.max("x"), "max_x"))
+
+
+def strict_offsets(spark, sf):
+    """Offsets found by searching from left to right; here every word is found at its place."""
+    w = segments.punctuated(_transcript(spark, sf)).withColumn("story", F.col("story").cast("string"))
+    return segments.strict_offsets(w).select(F.col("story").cast("long").alias("story"), "ord", "word", F.col("char_start").cast("long").alias("char_start"), F.col("char_end").cast("long").alias("char_end"))
+
+
+def chunks_by_any_pause(spark, sf):
+    return segments.spans(segments.clauses_by_pause(_transcript(spark, sf), 0.0)).select("story", "clause", "words")
+
+
+def _customers(spark, sf):
+    return _t(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+
+
+def csv_round_trip(spark, sf):
+    store.save_csv(_customers(spark, sf), folder := store.shared_folder(spark))
+    return spark.read.csv(folder, header=True, schema=_customers(spark, sf).schema)
+
+
+def json_round_trip(spark, sf):
+    store.save_json(_customers(spark, sf), folder := store.shared_folder(spark))
+    return spark.read.json(folder, schema=_customers(spark, sf).schema)
+
+
+def parts_round_trip(spark, sf):
+    """Parts by nation; those of one nation are written again with other values and take the place of their own alone."""
+    c = _customers(spark, sf)
+    store.save_parts(c, folder := store.shared_folder(spark), ["c_nationkey"])
+    store.save_parts(c.where("c_nationkey = 7").withColumn("c_acctbal", F.lit(0.0)), folder, ["c_nationkey"])
+    return spark.read.parquet(folder).select(*c.columns[:2], F.col("c_nationkey").cast(c.schema["c_nationkey"].dataType).alias("c_nationkey"), *c.columns[3:])
+
+
+def table_round_trip(spark, sf):
+    """A table written and asked with a parameter."""
+    store.save_table(_customers(spark, sf), name := "tidegrid_" + uuid.uuid4().hex)
+    return store.query(spark, f"SELECT c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) + 0.0 AS balance FROM {name} WHERE c_acctbal > :least GROUP BY c_mktsegment", {"least": 100})
+
+
+def _grids(spark, sf):
+    """story, content: each user's events as an interval file, long or chronological by turns; every fifth is broken."""
+    x = _intervals(spark, sf).withColumn("a", F.round("t0", 4)).withColumn("b", F.round("t1", 4))
+    rows = x.groupBy("story").agg(F.array_sort(F.collect_list(F.struct("ord", "a", "b", "event_type"))).alias("r"))
+    number, quote = lambda c: c.cast("decimal(18,4)").cast("string"), lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+
+    def long_tier(i: int, name: str, rows_):
+        each = F.transform(rows_, lambda v, at: F.concat(F.lit("intervals ["), (at + 1).cast("string"), F.lit("]:\nxmin = "), number(v["a"]), F.lit("\nxmax = "), number(v["b"]), F.lit("\ntext = "), quote(v["text"]), F.lit("\n")))
+        return F.concat(F.lit(f'item [{i}]:\nclass = "IntervalTier"\nname = "{name}"\n'), F.array_join(each, ""))
+
+    said = lambda text: F.transform("r", lambda v: F.struct(v["a"].alias("a"), v["b"].alias("b"), text(v["event_type"]).alias("text")))
+    tiers = [said(lambda e: e), said(lambda e: F.upper(F.substring(e, 1, 2)))]
+    long = F.concat(F.lit('File type = "ooTextFile"\nObject class = "TextGrid"\nitem []:\n'), long_tier(1, "words", tiers[0]), long_tier(2, "phones", tiers[1]))
+    timed = lambda i, rows_: F.transform(rows_, lambda v: F.concat(F.lit(f"{i} "), number(v["a"]), F.lit(" "), number(v["b"]), F.lit("\n"), quote(v["text"]), F.lit("\n")))
+    # a line that is no time lies between the tiers' intervals
+    chronological = F.concat(F.lit('"Praat chronological TextGrid text file"\n0 1\n2\n"IntervalTier" "words" 0 1\n"IntervalTier" "phones" 0 1\n'), F.array_join(timed(1, tiers[0]), ""), F.lit("stray\n"), F.array_join(timed(2, tiers[1]), ""))
+    story = F.col("story")
+    return rows.select(story.cast("string").alias("story"), F.when(story % 5 == 4, F.lit("broken")).when(story % 2 == 0, long).otherwise(chronological).alias("content"))
+
+
+def textgrid_round_trip(spark, sf):
+    """Interval files written as files of their own, read back and parsed; broken ones give a row with an error."""
+    textgrid.save_repaired(_grids(spark, sf), folder := store.shared_folder(spark))
+    got = textgrid.parsed(textgrid.load_repaired(spark, folder))
+    return got.groupBy(F.col("story").cast("long").alias("story"), "tier").agg(F.count("t0").alias("n"), _r(F.sum("t0"), "t0", 4), _r(F.sum("t1"), "t1", 4), F.count("error").alias("errors"))
+
+
+def repair_statuses(spark, sf):
+    """What becomes of each file: valid ones stay, chronological ones are written anew, every tenth was repaired before."""
+    files_ = _grids(spark, sf).select("story", F.concat(F.lit("/raw/"), "story", F.lit(".TextGrid")).alias("path"), F.lit(0).alias("rank"), F.col("content").cast("binary").alias("content"))
+    done = _t(spark, sf, "events").where("user_id % 10 = 1").select(F.col("user_id").cast("string").alias("story")).distinct()
+    wanted = _t(spark, sf, "events").select((F.col("user_id") + 3).cast("string").alias("story")).distinct()
+    return textgrid.repair_summary(textgrid.repair(files_, done), wanted)
+
+
+def corpus_diagnosis(spark, sf):
+    """The first stage that stops each story; every third has no annotated token."""
+    grids_ = textgrid.parsed(_grids(spark, sf))
+    told = grids_.where("tier = 'words'").groupBy("story").agg(F.concat_ws(" ", F.collect_list("text")).alias("text"))
+    found = textgrid.diagnosed(grids_, told, told.where("cast(story AS bigint) % 3 <> 0"), told)
+    return found.select(F.col("story").cast("long").alias("story"), "status", "stage")
+
+
+def raw_text_head(spark, sf):
+    """The first five lines of one story's backup."""
+    g = _grids(spark, sf).where("story = '1'")
+    both = [g.select("story", F.lit(f"/raw/1.TextGrid{end}").alias("path"), F.concat(F.lit(first), "content").cast("binary").alias("content")) for end, first in (("", ""), (".bak", "backup\n"))]
+    return textgrid.raw_head(both[0].unionByName(both[1]), "1", 5).select(F.col("line").cast("long").alias("line"), "value")
+
+
 def kernel_shapes(spark, sf):
     d, s = signal.double_gamma(10.0), signal.single_gamma(10.0)
     return spark.createDataFrame([(i, float(np.round(a, 9)), float(np.round(b, 9))) for i, (a, b) in enumerate(zip(d, s))], "k long, double_gamma double, single_gamma double")
@@ -390,6 +607,8 @@ QUERIES = {f.__name__: f for f in (
     noise_and_clean_tokens, url_field_extract, name_contains_join, source_precedence, clause_segmentation, punctuation_inference, text_rebuild_offsets, text_rebuild, fit_clauses,
     char_token_containment, token_class_priority, phone_features, lexical_features, parent_depth, tfidf_top_terms, lexical_coverage, lsa_projection, lsa_top_terms, fir_lag_features,
     fir_convolve_decimate, response_series, session_zscore, repeat_average, noise_ceiling, r2_and_delta, circular_shift_null, bh_fdr, voxel_metrics_report, subject_markdown,
-    across_subjects, layer_masks, ridge_two_feature_cv, ridge_many_targets, checkpoint_antijoin, upsert_latest, balanced_folds, kernel_shapes,
+    subject_report, report_document, simulation_summary, significance_summary, across_subjects, layer_masks, ridge_chosen, ridge_many_targets, banded_search, encoder_results, checkpoint_antijoin, upsert_latest, balanced_folds, kernel_shapes, pulse_response,
+    lsa_fit_report, silence_relabel, attach_marks, active_rows, content_lemmas, display_distinct, extreme_orders, bids_fields, repeat_counts, validity_counts, missing_features, subject_fallback, syntactic_features,
+    scaled_by_training, strict_offsets, chunks_by_any_pause, csv_round_trip, json_round_trip, parts_round_trip, table_round_trip, textgrid_round_trip, repair_statuses, corpus_diagnosis, raw_text_head,
 )}
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from tidegrid.config import PHONE_CLASSES
+from tidegrid.config import PHONE_CLASSES, STOP_LEMMAS
 
 _INTERVALS = """iv AS (SELECT user_id AS story, CAST(row_number() OVER w AS BIGINT) AS ord, event_type, value, h AS t0,
   least(COALESCE(lead(h) OVER w, h + 6), h + 6) AS t1
@@ -29,8 +29,8 @@ _PRED = _LONG + """, ml AS (SELECT label, t, avg(v) AS f FROM lg GROUP BY ALL),
   pr AS (SELECT vec_id, label, t, v, f, l FROM lg JOIN ml USING (label, t) JOIN ma USING (t)),
   r2 AS (SELECT vec_id, label, 1 - sum((v - f) * (v - f)) / (count(*) * var_pop(v)) AS rg, 1 - sum((v - l) * (v - l)) / (count(*) * var_pop(v)) AS rr FROM pr GROUP BY ALL)"""
 _NULL = _PRED + """, nu AS (SELECT a.vec_id, s, round((sum((a.v - b.l) * (a.v - b.l)) - sum((a.v - b.f) * (a.v - b.f))) / (count(*) * var_pop(a.v)), 9) AS delta
-    FROM pr a, range(10, 54) sh(s), pr b WHERE a.label < 4 AND b.vec_id = a.vec_id AND b.t = (a.t - s + 64) % 64 GROUP BY a.vec_id, s),
-  ob AS (SELECT vec_id, label, rg AS r2_global, rr AS r2_restricted, round(rg - rr, 9) AS obs FROM r2 WHERE label < 4),
+    FROM pr a, range(10, 54) sh(s), pr b WHERE b.vec_id = a.vec_id AND b.t = (a.t - s + 64) % 64 GROUP BY a.vec_id, s),
+  ob AS (SELECT vec_id, label, rg AS r2_global, rr AS r2_restricted, round(rg - rr, 9) AS obs FROM r2),
   pv AS (SELECT vec_id, any_value(label) AS label, any_value(r2_global) AS r2_global, any_value(r2_restricted) AS r2_restricted, any_value(obs) AS delta, count(*) AS n_shifts, count(*) FILTER (s BETWEEN 16 AND 48) AS n_shifts_sensitivity,
     round((count(*) FILTER (delta >= obs) + 1)::DOUBLE / (count(*) + 1), 9) AS p_value, round((count(*) FILTER (delta >= obs AND s BETWEEN 16 AND 48) + 1)::DOUBLE / (count(*) FILTER (s BETWEEN 16 AND 48) + 1), 9) AS p_value_sensitivity FROM nu JOIN ob USING (vec_id) GROUP BY vec_id)"""
 
@@ -48,6 +48,9 @@ _RESULTS = f"""{_NULL}, {_CEIL}, f1 AS {_bh("pv", "p_value", "p_value_fdr")}, f2
     quantile_cont(delta_r2, 0.75) - quantile_cont(delta_r2, 0.25) AS delta_iqr, quantile_cont(delta_r2, 0.05) AS delta_p5, quantile_cont(delta_r2, 0.95) AS delta_p95, avg((delta_r2 > 0)::INT) * 100 AS delta_positive_pct,
     avg((p_value_fdr < 0.05)::INT) * 100 AS sig_pct, avg((dn IS NOT NULL)::INT) * 100 AS ceiling_pct, avg((p_value_fdr_sensitivity < 0.05)::INT) * 100 AS sig_sensitivity_pct, count(*) FILTER (p_value_fdr < 0.05) AS sig_count,
     count(*) FILTER (p_value_fdr_sensitivity < 0.05) AS sig_sensitivity_count, COALESCE(printf('%.5f', avg(delta_r2) FILTER (p_value_fdr < 0.05)), 'N/A') AS sig_delta_mean,
+    COALESCE(printf('%.5f', median(delta_r2) FILTER (p_value_fdr < 0.05)), 'N/A') AS sig_delta_median, COALESCE(printf('%.5f', max(delta_r2) FILTER (p_value_fdr < 0.05)), 'N/A') AS sig_delta_max, min(delta_r2) AS delta_min, max(delta_r2) AS delta_max,
+    COALESCE(printf('%.5f', median(rn) FILTER (dn IS NOT NULL)), 'N/A') AS r2_global_normalized_median, COALESCE(printf('%.5f', median(dn)), 'N/A') AS delta_normalized_median, COALESCE(printf('%.5f', quantile_cont(dn, 0.95)), 'N/A') AS delta_normalized_p95, COALESCE(printf('%.5f', avg(dn) FILTER (p_value_fdr < 0.05)), 'N/A') AS sig_delta_normalized_mean,
+    max(n_shifts) AS n_exhaustive_shifts, max(1.0::DOUBLE / (n_shifts + 1)) AS p_resolution_min, max(n_shifts_sensitivity) AS n_far, max(1.0::DOUBLE / (n_shifts_sensitivity + 1)) AS p_far,
     COALESCE(printf('%.2f', count(*) FILTER (p_value_fdr < 0.05 AND p_value_fdr_sensitivity < 0.05) * 100.0::DOUBLE / nullif(count(*) FILTER (p_value_fdr < 0.05), 0)), 'N/A') AS sensitivity_stability_pct FROM rs GROUP BY label)"""
 
 
@@ -55,18 +58,64 @@ def _rounded(names: str, places: int = 6) -> str:
     return ", ".join(f"round({n}, {places}) + 0.0 AS {n}" for n in names.split())
 
 
-_PHONES = ", ".join(f"sum(CAST(ph IN ({', '.join(repr(x) for x in PHONE_CLASSES[c].split())}) AS INT))::BIGINT AS {c}" for c in ("vocalic", "consonantal", "voiced", "fricative", "nasal", "approximant"))
-_TERMS = _DOCS + f", te AS (SELECT doc, source, term FROM (SELECT doc, source, {_CLEAN.format('token')} AS term FROM tk WHERE lang = 'en') WHERE length(term) > 1)"
+_PHONES = ", ".join(f"sum(CAST(ph IN ({', '.join(repr(x) for x in PHONE_CLASSES[c].split())}) AS INT) * n)::BIGINT AS {c}" for c in PHONE_CLASSES)
+_TERMS = _DOCS + f", te AS (SELECT doc, source, term FROM (SELECT doc, source, {_CLEAN.format('token')} AS term FROM tk) WHERE length(term) > 1)"
+
+
+def _said(level: str = "0.05") -> str:
+    """A participant's section, from mt."""
+    f = lambda c, n: f"printf('%.{n}f', round({c}, {n}))"
+    n = lambda c: f"format('{{:,}}', {c})"
+    lines = [
+        "'### ' || label || chr(10)",
+        f"'- Targets: ' || {n('total')}",
+        f"'- Full model: median R2 ' || {f('r2_global_median', 4)} || ', largest R2 ' || {f('r2_global_max', 4)} || ', above zero in ' || {f('r2_global_positive_pct', 2)} || '% of targets'",
+        f"'- Gain over the controls, all targets: median ' || {f('delta_median', 5)} || ', interquartile range ' || {f('delta_iqr', 5)} || ', 5th percentile ' || {f('delta_p5', 5)} || ', 95th ' || {f('delta_p95', 5)} || ', from ' || {f('delta_min', 5)} || ' to ' || {f('delta_max', 5)} || ', above zero in ' || {f('delta_positive_pct', 2)} || '%'",
+        f"'- Significant (q < {level}): ' || {n('sig_count')} || ' targets (' || {f('sig_pct', 2)} || '%)'",
+        "CASE WHEN sig_count > 0 THEN '  - their gain: mean ' || sig_delta_mean || ', median ' || sig_delta_median || ', largest ' || sig_delta_max ELSE '  - their gain: N/A, no target passed the corrected level' END",
+        f"'  - resolution: ' || {n('n_exhaustive_shifts')} || ' shifts, smallest p ' || {f('p_resolution_min', 5)}",
+        f"CASE WHEN ceiling_pct > 0 THEN '- Against the noise ceiling (estimable in ' || {f('ceiling_pct', 2)} || '% of targets): median R2 ' || r2_global_normalized_median || ', median gain ' || delta_normalized_median || ', 95th percentile of gain ' || delta_normalized_p95 || ', mean gain where significant ' || sig_delta_normalized_mean ELSE '- Against the noise ceiling: N/A, no target has repeats that agree' END",
+        f"'- With the larger margin (' || {n('n_far')} || ' shifts, smallest p ' || {f('p_far', 5)} || '): ' || {n('sig_sensitivity_count')} || ' significant targets (' || {f('sig_sensitivity_pct', 2)} || '%)' || CASE WHEN sig_count > 0 THEN ', which keep ' || sensitivity_stability_pct || '% of those above' ELSE '' END",
+    ]
+    return f"concat_ws(chr(10), {', '.join(lines)})"
+
+
+def _document() -> str:
+    f = lambda c, n: f"printf('%.{n}f', round(avg({c}), {n}))"
+    return f"""concat_ws(chr(10) || chr(10), '# Report', '## Each participant', string_agg({_said()}, chr(10) || chr(10) ORDER BY label), concat_ws(chr(10), '## All participants' || chr(10),
+      '- Significant targets (q < 0.05) in ' || count(*) FILTER (sig_count > 0) || ' of ' || count(*), '- Full model: mean of medians R2 ' || {f('r2_global_median', 4)} || ', above zero in ' || {f('r2_global_positive_pct', 2)} || '% of targets on average',
+      '- Gain: mean of medians ' || {f('delta_median', 5)} || ', above zero in ' || {f('delta_positive_pct', 2)} || '% of targets on average', '- Noise ceiling estimable in ' || {f('ceiling_pct', 2)} || '% of targets on average', '- Significant with the larger margin: ' || {f('sig_sensitivity_pct', 2)} || '% of targets on average'))"""
 
 
 def _ridge() -> str:
+    """Closed form of two features, by folds of keys; the penalty of the best mean score, refitted on all."""
     names = ["xx", "xz", "zz", "xy", "zy", "yy"]
     sums = ", ".join(f"sum({n[0]} * {n[1]}) AS {n}" for n in names)
-    rest = ", ".join(f"sum({n}) OVER () - {n} AS r_{n}" for n in names)
-    return f"""WITH b AS (SELECT l_linenumber % 3 AS fold, l_quantity - 25 AS x, l_tax - 0.04::DOUBLE AS z, l_extendedprice / 10000 - 3 AS y FROM lineitem), s AS (SELECT fold, {sums} FROM b GROUP BY fold),
-    r AS (SELECT *, {rest} FROM s), f AS (SELECT *, (r_xx + a) * (r_zz + a) - r_xz * r_xz AS det FROM r, (VALUES (0.01::DOUBLE), (1.0), (100.0)) v(a)),
-    w AS (SELECT *, ((r_zz + a) * r_xy - r_xz * r_zy) / det AS w, ((r_xx + a) * r_zy - r_xz * r_xy) / det AS v FROM f)
-    SELECT a AS alpha, round(avg(1 - (yy - 2 * (w * xy + v * zy) + w * w * xx + 2 * w * v * xz + v * v * zz) / yy), 6) + 0.0 AS score FROM w GROUP BY a"""
+    rest = ", ".join(f"sum({n}) OVER (PARTITION BY target) - {n} AS r_{n}, sum({n}) OVER (PARTITION BY target) AS t_{n}" for n in names)
+    det = lambda p: f"(({p}_xx + a) * ({p}_zz + a) - {p}_xz * {p}_xz)"
+    on_x = lambda p: f"(({p}_zz + a) * {p}_xy - {p}_xz * {p}_zy) / {det(p)}"
+    on_z = lambda p: f"(({p}_xx + a) * {p}_zy - {p}_xz * {p}_xy) / {det(p)}"
+    return f"""WITH b AS (SELECT o_orderkey % 3 AS fold, CAST(o_orderkey % 97 - 48 AS DOUBLE) AS x, CAST(o_custkey % 13 - 6 AS DOUBLE) AS z, unnest([o_totalprice / 100000 - 2.5::DOUBLE, o_orderkey % 89 / 10.0::DOUBLE - 4]) AS y, unnest([0, 1]) AS target FROM orders),
+    s AS (SELECT target, fold, {sums} FROM b GROUP BY ALL), r AS (SELECT *, {rest} FROM s), f AS (SELECT *, {on_x('r')} AS w, {on_z('r')} AS v, {on_x('t')} AS tw, {on_z('t')} AS tv FROM r, (VALUES (100.0::DOUBLE), (1e5), (1e8)) p(a)),
+    c AS (SELECT target, a, avg(1 - (yy - 2 * (w * xy + v * zy) + w * w * xx + 2 * w * v * xz + v * v * zz) / yy) AS score, any_value(tw) AS tw, any_value(tv) AS tv FROM f GROUP BY ALL)
+    SELECT target::BIGINT AS target, a AS alpha, round(score, 6) + 0.0 AS score, round(tw, 6) + 0.0 AS w_x, round(tv, 6) + 0.0 AS w_z FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, a) AS i FROM c) WHERE i = 1"""
+
+
+def _kernel(rate: str) -> str:
+    """kr(d, h): the double gamma of 32 s at so many samples a second."""
+    return f"""kg AS (SELECT i AS d, i / {rate}::DOUBLE AS t FROM range(0, 32 * {rate}) r(i)), ku AS (SELECT d, t ** 5 * exp(-t) / {math.factorial(5)} - t ** 15 * exp(-t) / {math.factorial(15)} / 6 AS h FROM kg), kr AS (SELECT d, h / sum(h) OVER () AS h FROM ku)"""
+
+
+def _low_pass(down: int) -> str:
+    """lp(m, h): a sinc under a Kaiser window (Bessel's I0 by its series) of 20 * down + 1 taps."""
+    half = 10 * down
+    return f"""ls AS (SELECT m, (m - {half}) / {down}::DOUBLE AS u, 2.5::DOUBLE * sqrt(greatest(0, 1 - ((m - {half}) / {half}::DOUBLE) ** 2)) AS z FROM range(0, {2 * half + 1}) r(m)),
+    lb AS (SELECT m, any_value(u) AS u, sum(CASE WHEN i = 0 THEN 1 ELSE z ** (2 * i) / gamma(i + 1.0) ** 2 END) AS w FROM ls, range(0, 40) s(i) GROUP BY m),
+    lw AS (SELECT m, w * CASE WHEN u = 0 THEN 1 ELSE sin(pi() * u) / (pi() * u) END AS h FROM lb), lp AS (SELECT m, h / sum(h) OVER () AS h FROM lw)"""
+
+
+_GRIDS = _INTERVALS + """, gr AS (SELECT story, round(t0, 4) AS a, round(t1, 4) AS b FROM iv WHERE story % 5 <> 4)"""
+_CUSTOMERS = "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer"
 
 
 ORACLES = {
@@ -81,7 +130,7 @@ ORACLES = {
     "pause_statistics": f"""WITH {_INTERVALS}, g AS (SELECT event_type, lead(t0) OVER (PARTITION BY story ORDER BY ord) - t0 AS gap FROM iv)
       SELECT event_type, count(*) AS n, round(avg(gap), 6) AS mean, round(min(gap), 6) AS min, round(quantile_cont(gap, 0.25), 6) AS p25, round(median(gap), 6) AS median, round(quantile_cont(gap, 0.75), 6) AS p75, round(max(gap), 6) AS max FROM g WHERE gap IS NOT NULL GROUP BY event_type""",
     "token_inventory": f"WITH {_DOCS} SELECT lower(token) AS token, count(*) AS n FROM tk GROUP BY 1 ORDER BY n DESC, token LIMIT 50",
-    "chunk_describe": f"""WITH {_DOCS}, c AS (SELECT source, doc, COALESCE(sum(CAST(regexp_matches(token, '[.!?]$') AS INT)) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS clause FROM tk WHERE lang = 'en'),
+    "chunk_describe": f"""WITH {_DOCS}, c AS (SELECT source, doc, COALESCE(sum(CAST(regexp_matches(token, '[.!?]$') AS INT)) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS clause FROM tk),
       n AS (SELECT source, doc, clause, count(*) AS words FROM c GROUP BY ALL) SELECT source, count(*) AS n, round(avg(words), 6) AS mean, round(stddev_samp(words), 6) AS std, CAST(min(words) AS DOUBLE) AS min, round(quantile_cont(words, 0.25), 6) AS p25, round(median(words), 6) AS median, round(quantile_cont(words, 0.75), 6) AS p75, CAST(max(words) AS DOUBLE) AS max FROM n GROUP BY source""",
     "noise_and_clean_tokens": f"""WITH {_DOCS}, x AS (SELECT source, {_NOISE.format('token')} AS noise, {_CLEAN.format('token')} AS word FROM tk)
       SELECT source, count(*) AS tokens, count(*) FILTER (noise) AS noise_tokens, count(*) FILTER (NOT noise AND word <> '') AS words, count(*) FILTER (NOT noise AND word = '') AS neither, CAST(sum(length(word)) FILTER (NOT noise) AS BIGINT) AS letters FROM x GROUP BY source""",
@@ -97,15 +146,16 @@ ORACLES = {
     "text_rebuild": f"WITH {_TRANSCRIPT} SELECT story, string_agg(word || mark, ' ' ORDER BY ord) AS text FROM pw GROUP BY story",
     "fit_clauses": f"""WITH {_TRANSCRIPT}, i AS (SELECT story, ord, pause, sum(CAST(pause AND d >= 0.65::DOUBLE AS INT)) OVER (PARTITION BY story ORDER BY ord) AS island FROM tr), c AS (SELECT story, dense_rank() OVER (PARTITION BY story ORDER BY island) - 1 AS clause FROM i WHERE NOT pause)
       SELECT story, CAST(clause AS INT) AS clause, count(*) AS words FROM c GROUP BY ALL""",
-    "char_token_containment": f"""WITH {_DOCS}, o AS (SELECT doc, pos, token, COALESCE(sum(length(token) + 1) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM tk WHERE lang = 'es'),
+    "char_token_containment": f"""WITH {_DOCS}, o AS (SELECT doc, pos, token, COALESCE(sum(length(token) + 1) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM tk),
       m AS (SELECT *, (a + a + length(token)) // 2 AS mid FROM o) SELECT doc AS story, count(*) AS matched, CAST(sum(pos) AS BIGINT) AS sum_i, CAST(sum(greatest(1, length(token) - 1)) AS BIGINT) AS letters FROM m WHERE mid < a + greatest(1, length(token) - 1) GROUP BY doc""",
-    "token_class_priority": f"""WITH {_DOCS}, x AS (SELECT source, lower(token) AS w FROM tk WHERE lang = 'en'), p AS (SELECT *, CASE WHEN regexp_matches(w, '(ed|ing|en)$') THEN 'VERB' WHEN regexp_matches(w, 'ly$') THEN 'ADV' WHEN w IN ('the', 'a', 'an') THEN 'DET' ELSE 'NOUN' END AS pos,
+    "token_class_priority": f"""WITH {_DOCS}, x AS (SELECT source, lower(token) AS w FROM tk), p AS (SELECT *, CASE WHEN regexp_matches(w, '(ed|ing|en)$') THEN 'VERB' WHEN regexp_matches(w, 'ly$') THEN 'ADV' WHEN w IN ('the', 'a', 'an') THEN 'DET' ELSE 'NOUN' END AS pos,
       CASE WHEN regexp_matches(w, 'ing$') THEN 'VBG' WHEN regexp_matches(w, '[ae]ted$') THEN 'VBN' WHEN regexp_matches(w, '(ed|en)$') THEN 'VBD' ELSE 'NN' END AS tag FROM x)
       SELECT source, count(*) FILTER (pos = 'NOUN') AS noun, count(*) FILTER (pos = 'ADV') AS adverb, count(*) FILTER (pos = 'DET') AS determiner, count(*) FILTER (pos = 'VERB' AND tag IN ('VBG', 'VBN')) AS non_finite_verb, count(*) FILTER (pos = 'VERB' AND tag = 'VBD' AND w LIKE '%ed') AS past_regular,
       count(*) FILTER (pos = 'VERB' AND tag = 'VBD' AND w NOT LIKE '%ed') AS past_irregular, count(*) FILTER (pos = 'VERB' AND tag = 'VBD') AS past_total FROM p GROUP BY source""",
-    "phone_features": f"WITH {_DOCS}, x AS (SELECT source, upper(regexp_replace(substring(token, 1, 2), '[^a-zA-Z]', '', 'g')) AS ph FROM tk WHERE lang = 'en') SELECT source, {_PHONES} FROM x GROUP BY source",
+    "phone_features": f"""WITH {_DOCS}, w AS (SELECT source, upper(regexp_replace(token, '[^a-zA-Z]', '', 'g')) AS w, count(*) AS n FROM tk GROUP BY ALL),
+      x AS (SELECT source, n, substring(w, i, 2) AS ph FROM (SELECT source, n, w, CAST(unnest(range(1, greatest(2, length(w)))) AS BIGINT) AS i FROM w)) SELECT source, {_PHONES} FROM x GROUP BY source""",
     "lexical_features": f"""WITH {_DOCS}, f AS (SELECT token, log10(count(*)) + 3 AS zipf FROM tk GROUP BY token HAVING log10(count(*)) + 3 >= 4) SELECT source, round(CAST(count(*) AS DOUBLE), 6) AS presence, round(avg(COALESCE(zipf, 0)), 6) AS frequency, round(avg(length(token)), 6) AS chars, round(sum(0.25::DOUBLE), 6) AS seconds
-      FROM tk LEFT JOIN f USING (token) WHERE lang = 'de' GROUP BY source""",
+      FROM tk LEFT JOIN f USING (token) GROUP BY source""",
     "parent_depth": """SELECT 'r' || r_regionkey AS i, 'r' || r_regionkey AS head_i, 0::BIGINT AS depth FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 1 FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 2 FROM customer UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 2 FROM supplier""",
     "tfidf_top_terms": f"""WITH {_TERMS}, nd AS (SELECT count(DISTINCT doc) AS n FROM te), v AS (SELECT term, ln((1.0::DOUBLE + n) / (1 + count(DISTINCT doc))) + 1 AS idf FROM te, nd GROUP BY term, n HAVING count(DISTINCT doc) >= 3 AND count(DISTINCT doc) <= 0.85::DOUBLE * n),
       w AS (SELECT doc, term, count(*) * any_value(idf) AS w FROM te JOIN v USING (term) GROUP BY doc, term), z AS (SELECT doc, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc)), 9) AS w FROM w)
@@ -121,15 +171,60 @@ ORACLES = {
     "r2_and_delta": f"WITH {_PRED} SELECT vec_id, round(rg, 6) + 0.0 AS r2_global, round(rr, 6) + 0.0 AS r2_restricted, round(rg - rr, 6) + 0.0 AS delta_r2 FROM r2",
     "circular_shift_null": f"WITH {_NULL} SELECT vec_id, n_shifts, n_shifts_sensitivity, {_rounded('delta p_value p_value_sensitivity')} FROM pv",
     "bh_fdr": f"WITH {_NULL}, f AS {_bh('pv', 'p_value', 'p_fdr')} SELECT vec_id, label, {_rounded('p_value p_fdr')} FROM f",
-    "voxel_metrics_report": f"""WITH {_RESULTS} SELECT label, total, {_rounded('r2_global_median r2_global_max r2_global_positive_pct delta_median delta_iqr delta_p5 delta_p95 delta_positive_pct sig_pct ceiling_pct sig_sensitivity_pct')}, sig_count, sig_sensitivity_count, sig_delta_mean, sensitivity_stability_pct FROM mt""",
+    "voxel_metrics_report": f"""WITH {_RESULTS} SELECT label, total, {_rounded('r2_global_median r2_global_max r2_global_positive_pct delta_median delta_iqr delta_p5 delta_p95 delta_positive_pct sig_pct ceiling_pct sig_sensitivity_pct')}, sig_count, sig_sensitivity_count, sig_delta_mean, r2_global_normalized_median, delta_normalized_median, delta_normalized_p95, sig_delta_normalized_mean, sensitivity_stability_pct, n_exhaustive_shifts, round(p_resolution_min, 6) AS p_resolution_min FROM mt""",
+    "subject_report": f"WITH {_RESULTS} SELECT label, {_said()} AS report FROM mt",
+    "report_document": f"WITH {_RESULTS} SELECT {_document()} AS report FROM mt",
+    "simulation_summary": f"WITH {_PRED}, f AS (SELECT rg, round(rg - rr, 9) AS d FROM r2) SELECT count(*) AS targets, count(*) FILTER (rg > 0) AS valid, round(avg(rg) FILTER (rg > 0), 6) + 0.0 AS mean_r2_global, round(avg(d) FILTER (rg > 0), 6) + 0.0 AS mean_delta_r2, CASE WHEN count(*) FILTER (rg > 0) > 0 THEN round(max(d), 6) + 0.0 END AS max_delta_r2 FROM f",
+    "significance_summary": f"WITH {_NULL}, f AS {_bh('pv', 'p_value', 'p_fdr')} SELECT count(*) AS targets, count(*) FILTER (p_fdr < 0.05) AS significant, round(avg(delta) FILTER (p_fdr < 0.05), 6) + 0.0 AS mean_delta_r2, round(max(delta) FILTER (p_fdr < 0.05), 6) + 0.0 AS max_delta_r2 FROM f",
     "subject_markdown": f"WITH {_RESULTS} SELECT label, '# ' || label || chr(10) || chr(10) || '- total: ' || total || chr(10) || '- sig_count: ' || sig_count || chr(10) || '- sig_delta_mean: ' || sig_delta_mean AS report FROM mt",
     "across_subjects": f"WITH {_RESULTS} SELECT count(*) AS subjects, count(*) FILTER (sig_count > 0) AS subjects_with_effect, round(avg(sig_pct), 6) + 0.0 AS mean_sig_pct, round(avg(delta_median), 6) + 0.0 AS mean_delta_median FROM mt",
     "layer_masks": f"""WITH {_RESULTS}, ly AS (SELECT label, CASE WHEN r2_global > 0.01 THEN r2_global END AS a, CASE WHEN p_value_fdr < 0.05 THEN delta_r2 END AS b, delta_r2 AS c FROM rs)
       SELECT label, count(a) AS n_r2, count(b) AS n_significant, round(greatest(COALESCE(quantile_cont(a, 0.99), 0.05), 0.05), 6) AS limit_r2, round(greatest(COALESCE(quantile_cont(b, 0.99), 0.01), 0.01), 6) AS limit_significant, round(greatest(COALESCE(quantile_cont(abs(c), 0.99), 0.005), 0.005), 6) AS limit_delta FROM ly GROUP BY label""",
-    "ridge_two_feature_cv": _ridge(),
+    "ridge_chosen": _ridge(),
     "checkpoint_antijoin": "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_linenumber) >= 6)",
     "upsert_latest": """SELECT script_name, subject_id, execution_time_seconds, timestamp FROM (SELECT o_orderpriority AS script_name, CAST(o_custkey AS VARCHAR) AS subject_id, o_totalprice AS execution_time_seconds, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS timestamp,
       row_number() OVER (PARTITION BY o_orderpriority, o_custkey ORDER BY o_orderdate DESC, o_totalprice DESC) AS i FROM orders) WHERE i = 1""",
     "kernel_shapes": f"""WITH t AS (SELECT i AS k, i / 10.0::DOUBLE AS t FROM range(0, 320) r(i)), g AS (SELECT k, t ** 5 * exp(-t) / {math.factorial(5)} AS a, t ** 15 * exp(-t) / {math.factorial(15)} AS b FROM t)
       SELECT k, round((a - b / 6) / sum(a - b / 6) OVER (), 9) + 0.0 AS double_gamma, round(a / sum(a) OVER (), 9) + 0.0 AS single_gamma FROM g""",
+    "response_series": f"""WITH {_HOURLY}, {_kernel("1")}, {_low_pass(2)}, ln AS (SELECT story, max(k) + 1 AS len FROM hr GROUP BY story),
+      y1 AS (SELECT story, k + d AS k, sum(n * h) AS y FROM hr, kr WHERE n <> 0 GROUP BY ALL), y2 AS (SELECT story, (k + m - 20) // 2 AS j, sum(y * h) AS n FROM y1 JOIN ln USING (story), lp WHERE k < len AND k + m - 20 >= 0 AND (k + m - 20) % 2 = 0 GROUP BY ALL)
+      SELECT g.story, g.j, round(COALESCE(n, 0), 6) + 0.0 AS n FROM (SELECT story, unnest(range(0, (len + 1) // 2)) AS j FROM ln) g LEFT JOIN y2 USING (story, j)""",
+    "pulse_response": f"""WITH {_kernel("100")}, {_low_pass(200)}, g AS (SELECT r_regionkey::BIGINT AS story, r_regionkey * 150 + 20 AS t, unnest(range(0, 6000)) AS k FROM region), f AS (SELECT story, k, COALESCE(h, 0) AS y FROM g LEFT JOIN kr ON d = k - t),
+      c AS (SELECT story, k + m - 2000 AS k, sum(y * h) AS y FROM f, lp WHERE y <> 0 AND (k + m - 2000) % 200 = 0 GROUP BY ALL) SELECT f.story, f.k, round(f.y, 9) + 0.0 AS fine, CASE WHEN f.k % 200 = 0 THEN round(COALESCE(c.y, 0), 9) + 0.0 END AS coarse FROM f LEFT JOIN c USING (story, k)""",
+    "balanced_folds": """WITH RECURSIVE s AS (SELECT source, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, source) AS i FROM documents GROUP BY source),
+      r AS (SELECT 0::BIGINT AS i, 0::BIGINT AS a, 0::BIGINT AS b, 0::BIGINT AS c, NULL::VARCHAR AS source, 0 AS fold UNION ALL
+        SELECT i, a + CASE WHEN f = 0 THEN n ELSE 0 END, b + CASE WHEN f = 1 THEN n ELSE 0 END, c + CASE WHEN f = 2 THEN n ELSE 0 END, source, f FROM (SELECT s.i, a, b, c, s.source, n, CASE WHEN a <= b AND a <= c THEN 0 WHEN b <= c THEN 1 ELSE 2 END AS f FROM r JOIN s ON s.i = r.i + 1))
+      SELECT source, fold::BIGINT AS fold FROM r WHERE i > 0""",
+    "lsa_fit_report": f"""WITH {_TERMS}, tr AS (SELECT doc, term FROM te WHERE source <> 'src3'), nd AS (SELECT count(DISTINCT doc) AS n FROM tr), v AS (SELECT term, ln((1.0::DOUBLE + n) / (1 + count(DISTINCT doc))) + 1 AS idf FROM tr, nd GROUP BY term, n HAVING count(DISTINCT doc) >= 3 AND count(DISTINCT doc) <= 0.85::DOUBLE * n),
+      h AS (SELECT count(*) AS t, count(v.term) AS c FROM (SELECT term FROM te WHERE source = 'src3') x LEFT JOIN v USING (term))
+      SELECT n AS documents, 10 AS components, 3 AS min_df, 0.85::DOUBLE AS max_df, (SELECT count(*) FROM v) AS vocabulary_size, t AS held_out_tokens, c AS held_out_covered, t - c AS held_out_unknown, round(c * 100.0::DOUBLE / t, 2) AS held_out_coverage_pct, (SELECT count(*) FROM v) AS axis_terms, (SELECT round(sum(idf), 4) FROM v) AS idf_sum FROM nd, h""",
+    "silence_relabel": f"WITH {_INTERVALS} SELECT CASE WHEN event_type IN ('click', 'view') THEN '<EMPTY_SILENCE>' ELSE event_type END AS label, count(*) AS n FROM iv GROUP BY ALL",
+    "attach_marks": r"SELECT doc_id, length(regexp_replace(regexp_replace(text, '([.,])', ' \1', 'g'), '\s+([.,])', '\1', 'g')) AS letters, length(regexp_replace(text, '\s+([.,])', '\1', 'g')) AS own_letters FROM documents WHERE text IS NOT NULL",
+    "active_rows": f"""WITH {_GRID}, {_OWN.format(where="WHERE e > s AND event_type IN ('click', 'error', 'purchase')")} SELECT story, k, {', '.join(f"CAST(event_type = '{k}' AS BIGINT) AS is_{k}" for k in ('click', 'error', 'purchase'))} FROM own JOIN iv USING (story, ord)""",
+    "content_lemmas": f"""WITH {_DOCS} SELECT source, count(*) AS n, count(DISTINCT token) AS kinds FROM tk WHERE lower(token) NOT IN ('the', 'of', 'and', 'to', 'in') AND NOT regexp_matches(token, '^[.,;:!?-]+$') AND NOT regexp_matches(token, '^[0-9]+$') AND lower(token) NOT IN ({', '.join(repr(x) for x in STOP_LEMMAS)}) GROUP BY source""",
+    "display_distinct": "SELECT o_custkey, o_orderstatus, o_orderpriority, min(o_orderkey) AS o_orderkey FROM orders GROUP BY ALL",
+    "extreme_orders": "SELECT * FROM (SELECT o_totalprice, o_orderkey, 'low' AS side FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 5) UNION ALL SELECT * FROM (SELECT o_totalprice, o_orderkey, 'high' AS side FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5)",
+    "bids_fields": """WITH k AS (SELECT c_custkey, c_custkey AS k, CASE WHEN c_custkey % 7 <> 0 THEN lpad((c_custkey % 100)::VARCHAR, 2, '0') END AS s FROM customer) SELECT c_custkey, 'sub-UTS' || s AS subject_id, CASE WHEN k % 3 <> 0 THEN 'ses-' || (k % 20) ELSE 'ses-unknown' END AS session_id, CASE WHEN k % 5 <> 0 THEN 'run-' || (k % 9) ELSE 'run-1' END AS run_id,
+      COALESCE(CASE WHEN k % 2 = 0 THEN 'sub-' ELSE '' END || 'uts' || s, 'other') || CASE WHEN k % 3 <> 0 THEN '_ses-' || lpad((k % 20)::VARCHAR, 2, '0') ELSE '' END || CASE WHEN k % 5 <> 0 THEN '_run-' || lpad((k % 9)::VARCHAR, 2, '0') ELSE '' END AS stem FROM k""",
+    "repeat_counts": "WITH c AS (SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderpriority = '1-URGENT' GROUP BY c_custkey) SELECT count(*) AS subjects, count(*) FILTER (n = 0) AS without, count(*) FILTER (n = 1) AS single, count(*) FILTER (n > 1) AS multiple FROM c",
+    "validity_counts": "WITH n AS (SELECT n_name, n_nationkey IN (SELECT s_nationkey FROM supplier) AS ok FROM nation) SELECT count(*) AS stories, count(*) FILTER (ok) AS valid, count(*) FILTER (NOT ok) AS invalid, COALESCE(string_agg(n_name, ', ' ORDER BY n_name) FILTER (NOT ok), '') AS invalid_list FROM n",
+    "missing_features": "SELECT DISTINCT o_orderstatus AS session, o_custkey AS story FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 4 <> 0)",
+    "subject_fallback": "SELECT c_custkey, CASE c_custkey % 3 WHEN 1 THEN 'sub-' || c_custkey WHEN 2 THEN c_custkey::VARCHAR END AS name FROM customer",
+    "syntactic_features": f"""WITH {_DOCS}, i AS (SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY pos) - 1 AS i FROM tk), d AS (SELECT doc, i, CASE WHEN i = 0 THEN 0 ELSE length(format('{{:b}}', i)) END AS depth FROM i)
+      SELECT doc AS story, sum(i - i // 2)::BIGINT AS distance, sum(depth)::BIGINT AS depth, max(depth)::BIGINT AS deepest, count(*) FILTER (i = 0) AS roots FROM d GROUP BY doc""",
+    "scaled_by_training": """WITH m AS (SELECT avg(l_extendedprice) AS mx, stddev_pop(l_extendedprice) AS sx, avg(l_tax) AS mz, stddev_pop(l_tax) AS sz FROM lineitem WHERE l_orderkey % 4 <> 0)
+      SELECT CASE WHEN l_orderkey % 4 <> 0 THEN 'train' ELSE 'test' END AS part, l_linenumber, count(*) AS n, round(avg((l_extendedprice - mx) / sx), 6) + 0.0 AS x, round(avg((l_tax - mz) / sz), 6) + 0.0 AS z, round(max((l_extendedprice - mx) / sx), 6) + 0.0 AS max_x FROM lineitem, m GROUP BY ALL""",
+    "strict_offsets": f"WITH {_TRANSCRIPT}{_OFFSETS} SELECT story, ord, word, char_start, char_start + length(word) AS char_end FROM ofs",
+    "chunks_by_any_pause": f"""WITH {_TRANSCRIPT}, i AS (SELECT story, ord, pause, sum(CAST(pause AND d >= 0 AS INT)) OVER (PARTITION BY story ORDER BY ord) AS island FROM tr), c AS (SELECT story, dense_rank() OVER (PARTITION BY story ORDER BY island) - 1 AS clause FROM i WHERE NOT pause)
+      SELECT story, CAST(clause AS INT) AS clause, count(*) AS words FROM c GROUP BY ALL""",
+    "csv_round_trip": _CUSTOMERS,
+    "json_round_trip": _CUSTOMERS,
+    "parts_round_trip": "SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_nationkey = 7 THEN 0.0::DOUBLE ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM customer",
+    "table_round_trip": "SELECT c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) + 0.0 AS balance FROM customer WHERE c_acctbal > 100 GROUP BY c_mktsegment",
+    "textgrid_round_trip": f"""WITH {_GRIDS} SELECT story, tier, count(*) AS n, round(sum(a), 4) + 0.0 AS t0, round(sum(b), 4) + 0.0 AS t1, 0::BIGINT AS errors FROM gr, (VALUES ('words'), ('phones')) v(tier) GROUP BY ALL
+      UNION ALL SELECT story, NULL, 0, NULL, NULL, 1 FROM (SELECT DISTINCT story FROM iv WHERE story % 5 = 4)""",
+    "repair_statuses": """WITH u AS (SELECT DISTINCT user_id AS s FROM events), k AS (SELECT CASE WHEN s % 10 = 1 THEN 'repaired' WHEN s % 5 = 4 THEN 'failed' WHEN s % 2 = 0 THEN 'valid' ELSE 'repaired' END AS k FROM u UNION ALL SELECT 'skipped' FROM u WHERE s + 3 NOT IN (SELECT s FROM u))
+      SELECT count(*) FILTER (k = 'valid') AS valid, count(*) FILTER (k = 'repaired') AS repaired, count(*) FILTER (k = 'skipped') AS skipped, count(*) FILTER (k = 'failed') AS failed, count(*) AS total FROM k""",
+    "corpus_diagnosis": """SELECT story, CASE WHEN stage IS NULL THEN 'ok' ELSE 'failed' END AS status, stage FROM (SELECT DISTINCT user_id AS story, CASE WHEN user_id % 5 = 4 THEN 'read' WHEN user_id % 3 = 0 THEN 'annotate' END AS stage FROM events)""",
+    "raw_text_head": """SELECT line::BIGINT AS line, value FROM (VALUES (1, 'backup'), (2, '"Praat chronological TextGrid text file"'), (3, '0 1'), (4, '2'), (5, '"IntervalTier" "words" 0 1')) v(line, value)""",
 }
