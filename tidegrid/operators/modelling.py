@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.config import ALPHAS, FDR_LEVEL, FOLDS, SHIFT_MARGIN
 from tidegrid.operators import ridge, stats
+from tidegrid.sources.store import settled
 
 KEYS = ["session", "story", "j"]
 
@@ -40,8 +41,9 @@ def assembled(series: DataFrame, responses: DataFrame, features: list[str], test
     x = sessions.join(series.select("story", "j", *features), "story")
     x = x.join(responses.select(*KEYS).distinct(), KEYS, "left_semi")
     y = responses.join(series.select("story", "j"), ["story", "j"], "left_semi").select(*KEYS, "target", "y")
-    x = stats.standardised(x, ["session", "story"], features)
-    y = stats.standardised(y, ["session", "story", "target"], ["y"])
+    # read by every later step, so both are written once
+    x = settled(stats.standardised(x, ["session", "story"], features))
+    y = settled(stats.standardised(y, ["session", "story", "target"], ["y"]))
     test = F.col("story") == test_story
     runs = x.where(test).groupBy("session").agg((F.max("j") + 1).alias("n"))
     first = runs.agg(F.min("session").alias("session"), F.min("n").alias("n"))
@@ -66,7 +68,7 @@ def encoded(m: Matrices, controls: list[str], alphas: tuple[float, ...] = ALPHAS
     sizes = {r["story"]: r["count"] for r in m.x_train.groupBy("story").count().collect()}
     fold = ridge.folds(sizes, folds)
     gram = ridge.gram(m.x_train, "story", m.features)
-    sums = ridge.cross(m.x_train, m.y_train, KEYS, "story", m.features).persist()
+    sums = settled(ridge.cross(m.x_train, m.y_train, KEYS, "story", m.features))
     n = m.x_test.count()
     lo, hi = stats.shifts(n, margin)
     use = [m.features.index(c) for c in controls]
@@ -74,7 +76,7 @@ def encoded(m: Matrices, controls: list[str], alphas: tuple[float, ...] = ALPHAS
     less = ridge.chosen(gram, sums, "story", fold, alphas, use)
     y = m.y_test.groupBy("target").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "y"))), lambda s: s["y"]).alias("y"))
     rows = y.join(ridge.predicted(m.x_test, whole, m.features, "j").withColumnRenamed("p", "full"), "target").join(ridge.predicted(m.x_test, less, controls, "j").withColumnRenamed("p", "less"), "target")
-    fit = stats.tested(rows, ["target"], "y", "full", "less", n, margin)
+    fit = settled(stats.tested(rows, ["target"], "y", "full", "less", n, margin))
     top = stats.ceiling(without_session(m.repeats), ["target"], "j", "repeat", "y")
     out = fit.join(top, "target", "left").withColumn("_one", F.lit(1))
     out = stats.adjusted(stats.adjusted(out, ["_one"], "p_value", "p_fdr"), ["_one"], "p_value_sensitivity", "p_fdr_sensitivity")

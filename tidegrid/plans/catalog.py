@@ -12,7 +12,7 @@ from tidegrid.config import PHONE_CLASSES
 from tidegrid.functions import text as T
 from tidegrid.operators import audit, features, grid, joins, lsa, modelling, report, ridge, segments, signal, stats
 from tidegrid.plans.oracle import ORACLES
-from tidegrid.sources import store, textgrid
+from tidegrid.sources import media, store, textgrid
 
 FLAGSHIP = "grid_projection"
 HOUR = 3600.0
@@ -411,12 +411,20 @@ def banded_search(spark, sf):
 
 
 def encoder_results(spark, sf):
-    """Assembly and fit end to end: labels are stories, the last eight dimensions targets, the first eight features."""
-    x = _vectors(spark, sf).withColumn("j", (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).cast("long")).withColumn("story", F.concat(F.lit("g"), "label"))
-    names = [f"x{i}" for i in range(8)]
-    series = x.select("story", "j", *[F.col("y")[i].alias(n) for i, n in enumerate(names)])
-    bold = modelling.long_form(x.select(F.lit("ses-1").alias("session"), "story", "j", F.slice("y", 57, 8).alias("y")))
-    return modelling.encoded(modelling.assembled(series, bold, names, "g9"), names[:6], margin=5)
+    """Assembly and fit end to end. Labels are stories, vectors of even and odd id two sessions; two dimensions of the even
+    ones are the features, the last eight of all the targets; label 9 is held out."""
+    place = F.row_number().over(Window.partitionBy("label", "s").orderBy("vec_id")) - 1
+    x = _vectors(spark, sf).withColumn("s", F.col("vec_id") % 2).withColumn("j", place.cast("long")).withColumn("story", F.concat(F.lit("g"), "label"))
+    series = x.where("s = 0").select("story", "j", F.col("y")[0].alias("x"), F.col("y")[1].alias("z"))
+    bold = modelling.long_form(x.select(F.concat(F.lit("ses-"), "s").alias("session"), "story", "j", F.slice("y", 57, 8).alias("y")))
+    got = modelling.encoded(modelling.assembled(series, bold, ["x", "z"], "g9"), ["x"], margin=5)
+    return got.select("voxel_idx", *[_r(F.col(c).cast("double"), c, 3) for c in got.columns if dict(got.dtypes)[c] in ("float", "double")], F.col("n_exhaustive_shifts").cast("long").alias("n_exhaustive_shifts"), F.col("n_exhaustive_shifts_sensitivity").cast("long").alias("n_exhaustive_shifts_sensitivity"))
+
+
+def listed_parts(spark, sf):
+    """Files below a folder, by the part they lie in."""
+    store.save_parts(_customers(spark, sf), folder := store.shared_folder(spark), ["c_nationkey"])
+    return media.listed(spark, folder, "*.parquet").where("length > 0").select(F.regexp_extract("path", r"c_nationkey=(\d+)", 1).cast("long").alias("c_nationkey")).distinct()
 
 
 def checkpoint_antijoin(spark, sf):
@@ -609,6 +617,6 @@ QUERIES = {f.__name__: f for f in (
     fir_convolve_decimate, response_series, session_zscore, repeat_average, noise_ceiling, r2_and_delta, circular_shift_null, bh_fdr, voxel_metrics_report, subject_markdown,
     subject_report, report_document, simulation_summary, significance_summary, across_subjects, layer_masks, ridge_chosen, ridge_many_targets, banded_search, encoder_results, checkpoint_antijoin, upsert_latest, balanced_folds, kernel_shapes, pulse_response,
     lsa_fit_report, silence_relabel, attach_marks, active_rows, content_lemmas, display_distinct, extreme_orders, bids_fields, repeat_counts, validity_counts, missing_features, subject_fallback, syntactic_features,
-    scaled_by_training, strict_offsets, chunks_by_any_pause, csv_round_trip, json_round_trip, parts_round_trip, table_round_trip, textgrid_round_trip, repair_statuses, corpus_diagnosis, raw_text_head,
+    scaled_by_training, strict_offsets, chunks_by_any_pause, csv_round_trip, json_round_trip, parts_round_trip, table_round_trip, listed_parts, textgrid_round_trip, repair_statuses, corpus_diagnosis, raw_text_head,
 )}
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]

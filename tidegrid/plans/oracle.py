@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from tidegrid.config import PHONE_CLASSES, STOP_LEMMAS
+from tidegrid.config import ALPHAS, PHONE_CLASSES, STOP_LEMMAS
 
 _INTERVALS = """iv AS (SELECT user_id AS story, CAST(row_number() OVER w AS BIGINT) AS ord, event_type, value, h AS t0,
   least(COALESCE(lead(h) OVER w, h + 6), h + 6) AS t1
@@ -101,6 +101,47 @@ def _ridge() -> str:
     SELECT target::BIGINT AS target, a AS alpha, round(score, 6) + 0.0 AS score, round(tw, 6) + 0.0 AS w_x, round(tv, 6) + 0.0 AS w_z FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, a) AS i FROM c) WHERE i = 1"""
 
 
+def _encoder() -> str:
+    """Assembly, two ridge fits in closed form, shift null, false-discovery rate and ceiling."""
+    scaled = lambda c, over: f"({c} - avg({c}) OVER {over}) / CASE WHEN stddev_pop({c}) OVER {over} = 0 THEN 1 ELSE stddev_pop({c}) OVER {over} END"
+    names = ("xx", "xz", "zz", "xy", "zy", "yy")
+    alphas = ", ".join(f"({a!r}::DOUBLE)" for a in ALPHAS)
+    det = lambda p: f"(({p}_xx + a) * ({p}_zz + a) - {p}_xz * {p}_xz)"
+    both = lambda p: (f"(({p}_zz + a) * {p}_xy - {p}_xz * {p}_zy) / {det(p)}", f"(({p}_xx + a) * {p}_zy - {p}_xz * {p}_xy) / {det(p)}")
+    one = lambda p: (f"{p}_xy / ({p}_xx + a)", "0::DOUBLE")
+
+    def best(form) -> str:
+        (w, v), (tw, tv) = form("r"), form("t")
+        return f"""(SELECT t, w, v FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY score DESC, a) AS i FROM (SELECT t, a, avg(1 - (yy - 2 * (w * xy + v * zy) + w * w * xx + 2 * w * v * xz + v * v * zz) / yy) AS score, any_value(tw) AS w, any_value(tv) AS v
+          FROM (SELECT *, {w} AS w, {v} AS v, {tw} AS tw, {tv} AS tv FROM sm, (VALUES {alphas}) al(a)) GROUP BY ALL)) WHERE i = 1)"""
+
+    bh = lambda source, p, name: f"""(SELECT *, CASE WHEN {p} IS NOT NULL THEN least(1.0, min(q_) OVER (ORDER BY {p} DESC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) END AS {name}
+      FROM (SELECT *, {p} * count({p}) OVER () / count({p}) OVER (ORDER BY {p} NULLS LAST) AS q_ FROM {source}))"""
+    columns = "r2_global r2_restricted delta_r2_tense p_value_raw p_value_fdr p_resolution_min r2_noise_ceiling r2_global_normalized r2_restricted_normalized delta_r2_tense_normalized p_value_raw_sensitivity p_value_fdr_sensitivity p_resolution_min_sensitivity"
+    return f"""WITH RECURSIVE e AS (SELECT label, vec_id % 2 AS s, row_number() OVER (PARTITION BY label, vec_id % 2 ORDER BY vec_id) - 1 AS j, embedding FROM embeddings),
+    ser AS (SELECT label, j, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS z FROM e WHERE s = 0),
+    bold AS (SELECT s, label, j, unnest(range(0, 8)) AS t, CAST(unnest(embedding[57:64]) AS DOUBLE) AS y FROM e),
+    px AS (SELECT s, label, j, x, z FROM e JOIN ser USING (label, j)), py AS (SELECT s, label, j, t, y FROM bold SEMI JOIN ser USING (label, j)),
+    zx AS (SELECT s, label, j, {scaled('x', 'w')} AS x, {scaled('z', 'w')} AS z FROM px WINDOW w AS (PARTITION BY s, label)), zy AS (SELECT s, label, j, t, {scaled('y', 'w')} AS y FROM py WINDOW w AS (PARTITION BY s, label, t)),
+    sz AS (SELECT label, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, label) AS i FROM zx WHERE label <> 9 GROUP BY label),
+    fo AS (SELECT 0::BIGINT AS i, 0::BIGINT AS a, 0::BIGINT AS b, 0::BIGINT AS c, -1 AS label, 0 AS fold UNION ALL
+      SELECT i, a + CASE WHEN f = 0 THEN n ELSE 0 END, b + CASE WHEN f = 1 THEN n ELSE 0 END, c + CASE WHEN f = 2 THEN n ELSE 0 END, label, f FROM (SELECT sz.i, a, b, c, sz.label, n, CASE WHEN a <= b AND a <= c THEN 0 WHEN b <= c THEN 1 ELSE 2 END AS f FROM fo JOIN sz ON sz.i = fo.i + 1)),
+    pr AS (SELECT fold, t, x, z, y FROM zx JOIN zy USING (s, label, j) JOIN fo USING (label)), su AS (SELECT t, fold, {', '.join(f'sum({n[0]} * {n[1]}) AS {n}' for n in names)} FROM pr GROUP BY ALL),
+    sm AS (SELECT *, {', '.join(f'sum({n}) OVER (PARTITION BY t) - {n} AS r_{n}, sum({n}) OVER (PARTITION BY t) AS t_{n}' for n in names)} FROM su),
+    fu AS {best(both)}, le AS {best(one)}, ln AS (SELECT min(n) AS n FROM (SELECT s, max(j) + 1 AS n FROM zx WHERE label = 9 GROUP BY s)),
+    rp AS (SELECT s, j, t, y FROM zy, ln WHERE label = 9 AND j < n), yt AS (SELECT j, t, avg(y) AS y FROM rp GROUP BY ALL),
+    te AS (SELECT yt.t, yt.j, yt.y, fu.w * x + fu.v * z AS f, le.w * x AS l FROM yt JOIN zx ON zx.label = 9 AND zx.s = 0 AND zx.j = yt.j JOIN fu ON fu.t = yt.t JOIN le ON le.t = yt.t),
+    ob AS (SELECT t, 1 - sum((y - f) ** 2) / (count(*) * var_pop(y)) AS rg, 1 - sum((y - l) ** 2) / (count(*) * var_pop(y)) AS rr FROM te GROUP BY t),
+    nu AS (SELECT a.t, s, any_value(n) AS n, (sum((a.y - b.l) ** 2) - sum((a.y - b.f) ** 2)) / (count(*) * var_pop(a.y)) AS d FROM te a, ln, range(5, 200) sh(s), te b WHERE s <= n - 6 AND b.t = a.t AND b.j = (a.j - s + n) % n GROUP BY a.t, s),
+    pv AS (SELECT t, any_value(rg) AS r2_global, any_value(rr) AS r2_restricted, any_value(rg - rr) AS delta_r2_tense, count(*) AS n_exhaustive_shifts, count(*) FILTER (s BETWEEN 16 AND n - 16) AS n_exhaustive_shifts_sensitivity, (count(*) FILTER (d >= rg - rr) + 1)::DOUBLE / (count(*) + 1) AS p_value_raw,
+      CASE WHEN count(*) FILTER (s BETWEEN 16 AND n - 16) > 0 THEN (count(*) FILTER (d >= rg - rr AND s BETWEEN 16 AND n - 16) + 1)::DOUBLE / (count(*) FILTER (s BETWEEN 16 AND n - 16) + 1) END AS p_value_raw_sensitivity FROM nu JOIN ob USING (t) GROUP BY t),
+    ce AS (SELECT t, CASE WHEN max(r) >= 2 AND var_pop(m) > 0 THEN least(1.0, greatest(0.0, var_pop(m) - avg(w) * max(r) / (max(r) - 1) / max(r)) / var_pop(m)) END AS c FROM (SELECT t, j, avg(y) AS m, var_pop(y) AS w, count(*) AS r FROM rp GROUP BY ALL) GROUP BY t),
+    f1 AS {bh('pv', 'p_value_raw', 'p_value_fdr')}, f2 AS {bh('(SELECT * EXCLUDE (q_) FROM f1)', 'p_value_raw_sensitivity', 'p_value_fdr_sensitivity')},
+    al AS (SELECT *, c AS r2_noise_ceiling, CASE WHEN c > 0.01 THEN r2_global / c END AS r2_global_normalized, CASE WHEN c > 0.01 THEN r2_restricted / c END AS r2_restricted_normalized, CASE WHEN c > 0.01 THEN r2_global / c - r2_restricted / c END AS delta_r2_tense_normalized,
+      1.0::DOUBLE / (n_exhaustive_shifts + 1) AS p_resolution_min, CASE WHEN n_exhaustive_shifts_sensitivity > 0 THEN 1.0::DOUBLE / (n_exhaustive_shifts_sensitivity + 1) END AS p_resolution_min_sensitivity FROM f2 JOIN ce USING (t))
+    SELECT t::BIGINT AS voxel_idx, {_rounded(columns, 3)}, n_exhaustive_shifts, n_exhaustive_shifts_sensitivity FROM al"""
+
+
 def _kernel(rate: str) -> str:
     """kr(d, h): the double gamma of 32 s at so many samples a second."""
     return f"""kg AS (SELECT i AS d, i / {rate}::DOUBLE AS t FROM range(0, 32 * {rate}) r(i)), ku AS (SELECT d, t ** 5 * exp(-t) / {math.factorial(5)} - t ** 15 * exp(-t) / {math.factorial(15)} / 6 AS h FROM kg), kr AS (SELECT d, h / sum(h) OVER () AS h FROM ku)"""
@@ -186,6 +227,8 @@ ORACLES = {
       row_number() OVER (PARTITION BY o_orderpriority, o_custkey ORDER BY o_orderdate DESC, o_totalprice DESC) AS i FROM orders) WHERE i = 1""",
     "kernel_shapes": f"""WITH t AS (SELECT i AS k, i / 10.0::DOUBLE AS t FROM range(0, 320) r(i)), g AS (SELECT k, t ** 5 * exp(-t) / {math.factorial(5)} AS a, t ** 15 * exp(-t) / {math.factorial(15)} AS b FROM t)
       SELECT k, round((a - b / 6) / sum(a - b / 6) OVER (), 9) + 0.0 AS double_gamma, round(a / sum(a) OVER (), 9) + 0.0 AS single_gamma FROM g""",
+    "encoder_results": _encoder(),
+    "listed_parts": "SELECT DISTINCT c_nationkey::BIGINT AS c_nationkey FROM customer",
     "response_series": f"""WITH {_HOURLY}, {_kernel("1")}, {_low_pass(2)}, ln AS (SELECT story, max(k) + 1 AS len FROM hr GROUP BY story),
       y1 AS (SELECT story, k + d AS k, sum(n * h) AS y FROM hr, kr WHERE n <> 0 GROUP BY ALL), y2 AS (SELECT story, (k + m - 20) // 2 AS j, sum(y * h) AS n FROM y1 JOIN ln USING (story), lp WHERE k < len AND k + m - 20 >= 0 AND (k + m - 20) % 2 = 0 GROUP BY ALL)
       SELECT g.story, g.j, round(COALESCE(n, 0), 6) + 0.0 AS n FROM (SELECT story, unnest(range(0, (len + 1) // 2)) AS j FROM ln) g LEFT JOIN y2 USING (story, j)""",
