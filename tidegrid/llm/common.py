@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import re
 import tempfile
@@ -28,6 +29,13 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def sweep(spark: SparkSession) -> None:
+    """Lets the cleaner delete files of shuffles that no table still needs: it learns of them by the driver's collections,
+    which may be far apart."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Deletes a folder of tables that no later step reads."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
