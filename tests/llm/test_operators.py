@@ -384,7 +384,8 @@ def lm_plain(rows, held, corpus, spelled, tables):
 
     def say(w):
         if w not in said:
-            said[w] = 10.0 ** float(np.float32(spelled.score(pa.array(["" if w == ">" else w], pa.large_string()))[0]) if w != ">" else spelled.score(pa.array([""]))[0])
+            exact = float(spelled.score(pa.array(["" if w == ">" else w], pa.large_string()))[0])
+            said[w] = 10.0**exact if w == ">" else 2.0 ** (-np.ceil(-exact * np.log2(10) * 16) / 16)  # words are rounded down
         return said[w]
 
     def walk(w, lang, train, tokens=None):
