@@ -469,6 +469,31 @@ def test_lm_bits_are_a_distribution():
     assert abs(np.exp(total).sum() - 1) < 1e-5
 
 
+def test_lm_spelled_learns_from_all_words(spark):
+    """Every bucket's training words teach the weights, whatever its number; counts beyond two bytes stay exact."""
+    import pickle
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    some = ["".join(rng.choice(list("aeionrst"), int(n))) for n in rng.integers(2, 9, 66_000)]
+    some = sorted(set(some) | {f"x{i}" for i in range(70_000)})
+    dealt = {1: some[::2], 7: some[1::2], 16: ["only", "here"], 18: ["unseen"]}
+    seen = {b: np.full(len(w), int(b != 18)) for b, w in dealt.items()}
+    lexicon = spark.createDataFrame([(b, lmscore.pack_words(w), pickle.dumps([lmscore.squeeze(seen[b])])) for b, w in dealt.items()], "bucket long, words binary, counts binary")
+    got = lmscore.fit_spelled(lexicon, len(some) + 2)
+    table = np.zeros(got.counts.shape, np.int64)
+    for b in (1, 7, 16):
+        lmscore.add_counts(table, pa.array(dealt[b], pa.large_string()))
+    assert table.max() > 65_535 and (got.counts == table).all()
+    weights, refined, n = 0, 0, len(some) + 2
+    for b in (1, 7, 16):
+        own = lmscore.Spelled(table)
+        own.learn(pa.array(dealt[b], pa.large_string()))
+        weights, refined = weights + own.weights.astype(float) * len(dealt[b]) / n, refined + own.refined * len(dealt[b]) / n
+    assert np.allclose(got.weights, weights, atol=1e-5) and np.allclose(got.refined, refined, atol=1e-5)
+
+
 def test_lm_columns_round_trip():
     rng = np.random.default_rng(2)
     for a in (np.zeros(0, np.int64), rng.integers(0, 3, 50), rng.integers(0, 1 << 60, 9).astype(np.uint64), rng.normal(size=7), np.array([2.5], np.float32)):
