@@ -494,6 +494,24 @@ def test_lm_spelled_learns_from_all_words(spark):
     assert np.allclose(got.weights, weights, atol=1e-5) and np.allclose(got.refined, refined, atol=1e-5)
 
 
+def test_lm_lets_go_of_files(spark, docs, monkeypatch):
+    """Requests are no part of the plan that codes chunks, and a sweep comes before it; the spelled route travels packed."""
+    import pickle
+
+    from tidegrid.llm.common import cut
+
+    steps = []
+    monkeypatch.setattr(lmscore, "cut", lambda df: steps.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    monkeypatch.setattr(lmscore, "sweep", lambda s: steps.append("sweep"))
+    _, _, _, spelled = lmscore.prepare(docs, crc_mod("doc_id", 10) == 0)
+    coding = next(i for i, x in enumerate(steps) if "FlatMapCoGroupsInPandas" in x)
+    assert "FlatMapGroupsInPandas" not in steps[coding] and steps[coding - 1] == "sweep"
+    raw = pickle.dumps(spelled)
+    back = pickle.loads(raw)
+    assert len(raw) < spelled.counts.nbytes / 2 and back.counts.dtype == spelled.counts.dtype
+    assert (back.counts == spelled.counts).all() and (back.weights == spelled.weights).all() and (back.refined == spelled.refined).all()
+
+
 def test_lm_columns_round_trip():
     rng = np.random.default_rng(2)
     for a in (np.zeros(0, np.int64), rng.integers(0, 3, 50), rng.integers(0, 1 << 60, 9).astype(np.uint64), rng.normal(size=7), np.array([2.5], np.float32)):
