@@ -2,15 +2,74 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def char_to_token(words: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Each word with the token that covers its middle character: tokens are spread over their characters, so
-    this is an equality on (story, character). words: story, char_start, char_end; tokens: story, idx, text."""
-    spread = tokens.where(F.length("text") > 0).withColumn("_char", F.explode(F.expr("sequence(idx, idx + length(text) - 1)"))).withColumnRenamed("text", "token")
-    return words.withColumn("_char", F.expr("(char_start + char_end) div 2")).join(spread, ["story", "_char"]).drop("_char")
+    """Each word with every token that covers its middle character. words: story, char_start, char_end; tokens: story,
+    idx, text. Both are gathered by story, a row each, and meet there. The tokens' text is named token."""
+    token = tokens.withColumnRenamed("text", "token").drop("story").columns
+    w = words.where("story IS NOT NULL").groupBy("story").agg(F.collect_list(F.struct(*[c for c in words.columns if c != "story"])).alias("words"))
+    t = tokens.withColumnRenamed("text", "token").where("story IS NOT NULL").groupBy("story").agg(F.collect_list(F.struct(*token)).alias("tokens"))
+    return matched(w.join(t, "story"))
+
+
+#: Words and tokens that lie side by side in NumPy at most, one story's apart.
+SPREAD = 200_000
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of a batch's stories, views of SPREAD words and tokens or one story."""
+    n = sum(pc.list_value_length(batch[c]).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("words", "tokens"))
+    ends, a = np.cumsum(n), 0
+    while a < len(n):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SPREAD, "right")))
+        yield batch.slice(a, b - a)
+        a = b
+
+
+def matched(stories: DataFrame) -> DataFrame:
+    """As char_to_token, of stories that are a row each: story, words (array of char_start, char_end, ...), tokens (array of
+    idx, token, ...). Nothing is shuffled; the stories of a batch lie one behind the other on one line of places, and a
+    search finds the tokens begun by a word's middle (where tokens overlap: as far back as the longest reaches)."""
+    fields = [stories.schema[c].dataType.elementType.fields for c in ("words", "tokens")]
+    kind = T.StructType([stories.schema["story"], *fields[0], *fields[1]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in _parts(whole)):
+            words, tokens = batch["words"], batch["tokens"]
+            of = lambda x: np.repeat(np.arange(len(x)), pc.list_value_length(x).fill_null(0))
+            row, on, w, t = of(words), of(tokens), words.flatten(), tokens.flatten()
+            number = lambda x, c: x.field(c).cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
+            size = pc.utf8_length(t.field("token")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            idx, a, b = number(t, "idx"), number(w, "char_start"), number(w, "char_end")
+            use = np.flatnonzero((size > 0) & (idx >= 0))
+            known = np.flatnonzero((a >= 0) & (b >= 0))
+            middle, row = (a + b)[known] // 2, row[known]
+            # a story's places begin after all of the one before it
+            line = int(max((idx + size)[use].max(initial=0), middle.max(initial=0))) + 1
+            use = use[np.argsort(on[use] * line + idx[use], kind="stable")]
+            begin = on[use] * line + idx[use]
+            end, at = begin + size[use], row * line + middle
+            last = np.searchsorted(begin, at, "right")
+            overlap = len(use) > 1 and (begin[1:] < end[:-1]).any()
+            first = np.searchsorted(begin, at - size[use].max(initial=0), "right") if overlap else np.maximum(last - 1, 0)
+            n = last - first
+            word = np.repeat(np.arange(len(at)), n)
+            token = np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+            hit = end[token] > at[word]
+            word, token = word[hit], token[hit]
+            w, t = w.take(pa.array(known[word])), t.take(pa.array(use[token]))
+            yield pa.RecordBatch.from_arrays([batch["story"].take(pa.array(row[word])), *w.flatten(), *t.flatten()], kind.names)
+
+    return stories.select("story", "words", "tokens").mapInArrow(run, kind)
 
 
 def name_in_name(files: DataFrame, names: DataFrame, file: str, name: str) -> DataFrame:
