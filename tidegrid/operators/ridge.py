@@ -41,18 +41,22 @@ def gram(x: DataFrame, group: str, features: list[str]) -> dict[str, np.ndarray]
     return out
 
 
-#: Targets that meet a group's features in one matrix product.
-BLOCK = 256
+#: Targets that meet a group's features in one matrix product, and values of targets in a part of a group.
+BLOCK, PART = 256, 2_000_000
 
 
 def cross(x: DataFrame, y: DataFrame, keys: list[str], group: str, features: list[str], target: str = "target", value: str = "y", block: int = BLOCK) -> DataFrame:
     """group, target, b (X'y), q (y'y): a row for each group and target. y is long: keys, target (a whole number from 0),
-    y. A group's features meet a block of targets in one product, so they travel once for each block."""
+    y. A group's features meet a block of targets in one product, so they travel once for each block. Rows are dealt over
+    parts by their keys, as many as keep a part's values below PART, and the parts' sums are added."""
     last = y.agg(F.max(target).alias("n")).first()["n"]
+    parts = x.count() * min(block, int(last or 0) + 1) // PART + 1
+    kinds = dict(x.dtypes)
+    part = F.pmod(F.xxhash64(*[F.col(c).cast(kinds[c]) for c in keys]), F.lit(parts)).alias("_part")
     ids = list(dict.fromkeys([*keys, group]))
     blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(int(last or 0) // block).cast("long")))
-    left = x.select(*ids, F.array(*[F.col(c).cast("double") for c in features]).alias("_x")).withColumn("_block", blocks)
-    right = y.where(F.col(value).isNotNull()).select(*keys, F.col(target).cast("long").alias("_target"), F.col(value).cast("double").alias("_y"), F.floor(F.col(target) / block).alias("_block"))
+    left = x.select(*ids, F.array(*[F.col(c).cast("double") for c in features]).alias("_x"), part).withColumn("_block", blocks)
+    right = y.where(F.col(value).isNotNull()).select(*keys, F.col(target).cast("long").alias("_target"), F.col(value).cast("double").alias("_y"), F.floor(F.col(target) / block).alias("_block"), part)
     if group not in keys:
         right = right.join(x.select(*keys, group), keys)
     kind = dict(x.dtypes)[group]
@@ -69,7 +73,9 @@ def cross(x: DataFrame, y: DataFrame, keys: list[str], group: str, features: lis
         b_ = np.stack(a["_x"].to_numpy()).T @ v
         return pd.DataFrame({group: key[0], target: names, "b": b_.T.tolist(), "q": (v * v).sum(0)})
 
-    return left.groupBy(group, "_block").cogroup(right.groupBy(group, "_block")).applyInPandas(run, f"`{group}` {kind}, `{target}` {dict(y.dtypes)[target]}, b array<double>, q double")
+    by = [group, "_block", "_part"]
+    sums = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(run, f"`{group}` {kind}, `{target}` {dict(y.dtypes)[target]}, b array<double>, q double")
+    return sums.groupBy(group, target).agg(F.array(*[F.sum(F.col("b")[i]) for i in range(len(features))]).alias("b"), F.sum("q").alias("q"))
 
 
 def chosen(g: dict[str, np.ndarray], stats: DataFrame, group: str, fold: dict[str, int], alphas: tuple[float, ...] = ALPHAS, use: list[int] | None = None, target: str = "target") -> DataFrame:
