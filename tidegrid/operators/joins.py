@@ -72,20 +72,25 @@ def matched(stories: DataFrame) -> DataFrame:
     return stories.select("story", "words", "tokens").mapInArrow(run, kind)
 
 
+#: Names that are sent to the files; more meet them in a shuffle.
+FEW_NAMES = 1_000_000
+
+
 def name_in_name(files: DataFrame, names: DataFrame, file: str, name: str) -> DataFrame:
     """Each file with the longest name that it contains, in either case (ties: the first in order); no match, no row.
-    Every substring of the names' lengths is an equality key, so no pair is compared that does not match."""
-    lengths = [r[0] for r in names.select(F.length(name).alias("n")).distinct().orderBy("n").collect() if r[0]]
-    if not lengths:
+    A name is looked for by its beginning, the largest power of two of its letters, at every place of a file: as many
+    keys a place as there are such powers. Files that are alike are searched once."""
+    keyed = names.select(name, F.lower(name).alias("_key")).where("_key <> ''").dropDuplicates([name])
+    keyed = keyed.withColumn("_size", F.pow(F.lit(2), F.floor(F.log2(F.length("_key").cast("double")))).cast("int"))
+    sizes = {r["_size"]: r["count"] for r in keyed.groupBy("_size").count().collect()}
+    if not sizes:
         return files.withColumn(name, F.lit(None).cast("string")).where("false")
-    keyed = names.select(name, F.lower(name).alias("_key")).where(F.col("_key") != "").dropDuplicates([name])
-    low = F.lower(F.col(file))
-
-    def of(n: int):
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(low) - n + 1)), lambda i: F.substring(low, i, F.lit(n)))
-
-    pieces = F.array_distinct(F.flatten(F.array(*map(of, lengths))))
-    best = files.select(file, F.explode(pieces).alias("_key")).distinct().join(keyed, "_key").groupBy(file).agg(F.min(F.struct((-F.length(name)).alias("n"), F.col(name).alias("v"))).alias("_b"))
+    keyed = keyed.withColumn("_head", F.expr("substring(_key, 1, _size)"))
+    low = files.select(file).where(F.length(file) > 0).distinct().withColumn("_low", F.lower(file))
+    places = low.select(file, "_low", F.explode(F.sequence(F.lit(1), F.length("_low"))).alias("_at"))
+    heads = places.select(file, "_low", "_at", F.explode(F.array(*[F.substring("_low", F.col("_at"), F.lit(n)) for n in sorted(sizes)])).alias("_head"))
+    found = heads.join(F.broadcast(keyed) if sum(sizes.values()) <= FEW_NAMES else keyed, "_head").where("substring(_low, _at, length(_key)) = _key")
+    best = found.groupBy(file).agg(F.min(F.struct((-F.length(name)).alias("n"), F.col(name).alias("v"))).alias("_b"))
     return files.join(best.select(file, F.col("_b.v").alias(name)), file)
 
 
